@@ -65,16 +65,18 @@ def tokens_from_offsets(df: DataFrame, text_col: str = "text", offsets_col: str
                         out_col: str = "tokens") -> DataFrame:
     """Offsets + text -> tokens (inverse view of ``token_offsets``)."""
     def body(both: Column) -> Column:
-        off, text = both["o"], both["t"]
+        off, chars = both["o"], both["c"]
         k = (F.size(off) / 2).cast("int")
+        # slicing a character array is O(token length); substring on UTF-8 text would rescan
+        # the text from its start for every token
         return F.transform(
             F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
-            lambda j: F.substring(text, F.get(off, 2 * j) + 1, F.get(off, 2 * j + 1) - F.get(off, 2 * j)),
+            lambda j: F.array_join(F.slice(chars, F.get(off, 2 * j) + 1, F.get(off, 2 * j + 1) - F.get(off, 2 * j)), ""),
         )
 
     # Bind offsets and text once: if the optimizer inlines the offsets expression, it still
     # runs once per row rather than once per token.
-    toks = let(F.struct(F.col(offsets_col).alias("o"), F.col(text_col).alias("t")), body)
+    toks = let(F.struct(F.col(offsets_col).alias("o"), F.split(F.col(text_col), "").alias("c")), body)
     return df.withColumn(out_col, F.when(F.size(offsets_col) > 0, toks).otherwise(F.array().cast("array<string>")))
 
 
