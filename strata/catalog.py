@@ -821,13 +821,13 @@ def _vector_rows(spark, d) -> DataFrame:
     return sp.unionByName(dn)
 
 
-def _vector_long(df: DataFrame) -> DataFrame:
+def _vector_long(df: DataFrame, extra=()) -> DataFrame:
     v = F.col("v")
     idx = F.when(v["type"] == 1, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(v["indices"])
     size = F.when(v["type"] == 1, F.size(v["values"])).otherwise(v["size"])
-    ex = df.select("id", v["type"].cast("long").alias("type"), size.cast("long").alias("size"),
+    ex = df.select("id", *extra, v["type"].cast("long").alias("type"), size.cast("long").alias("size"),
                    F.posexplode(F.arrays_zip(idx.alias("i"), v["values"].alias("x"))).alias("k", "p"))
-    return ex.select("id", "type", "size", F.col("k").cast("long"), F.col("p.i").cast("long").alias("idx"),
+    return ex.select("id", *extra, "type", "size", F.col("k").cast("long"), F.col("p.i").cast("long").alias("idx"),
                      F.col("p.x").alias("value"))
 
 
@@ -852,7 +852,7 @@ def q_read_labeled_points(spark, d):
     lines = sp.select("id", TF.format_labeled_point("label", TF.sparse_vector("features")).alias("value"))
     parsed = lines.select("id", TF.parse_labeled_point("value").alias("p")).select(
         "id", "p.label", F.col("p.features").alias("v"))
-    return _vector_long(parsed).select("id", "label", "type", "size", "k", "idx", "value")
+    return _vector_long(parsed, ["label"])
 
 
 # ============================================================================= SAMPLING / SPLITS

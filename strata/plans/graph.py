@@ -58,7 +58,8 @@ def expand_state(state: DataFrame, hot: DataFrame, id_col: str = "id") -> DataFr
     """One row per (vertex, salt): hot vertices are replicated over their salts."""
     j = state.join(F.broadcast(hot), state[id_col] == hot._hot_id, "left")
     salts = F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1)
-    return j.select(*state.columns, F.explode(salts).cast("int").alias("salt"))
+    ex = j.select(*state.columns, F.explode(salts).alias("_salt"))
+    return ex.select(*state.columns, F.col("_salt").cast("int").alias("salt"))
 
 
 def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, normalize: bool = False,
@@ -96,41 +97,43 @@ def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, n
     return out
 
 
-def bfs(edges: DataFrame, root: int, max_iter: int | None = None, partitions: int | None = None,
-        checkpoint_every: int = 5) -> DataFrame:
+def bfs(edges: DataFrame, root: int, max_iter: int | None = None, partitions: int | None = None) -> DataFrame:
     """Hop distance from ``root`` following edge direction: (id, dist double).
 
     Unreachable vertices (and every vertex when the root is absent) get +inf.  Frontier loop:
     expand the frontier along out-edges, drop already-visited vertices with an anti join, stop
-    when the frontier is empty."""
+    when the frontier is empty.  Each new frontier is checkpointed, so every level's plan reads
+    a fixed set of materialised leaves (visited = union of the frontiers so far) instead of
+    re-deriving earlier levels."""
     p = partitions or _partitions(edges)
     salted, hot = prepare_edges(edges.select("src", "dst"), p)
     vertices = graph_from_edges(edges.select("src", "dst")).select("id")
-    spark = edges.sparkSession
-    frontier = vertices.filter(F.col("id") == F.lit(int(root))).select("id")
-    visited = frontier.select("id", F.lit(0).cast("long").alias("dist"))
+    frontier = cut_lineage(vertices.filter(F.col("id") == F.lit(int(root))).select(
+        "id", F.lit(0).cast("long").alias("dist")))
+    levels = [frontier]
     level = 0
     while frontier.limit(1).count() > 0:
         if max_iter is not None and level >= max_iter:
             break
         level += 1
-        st = expand_state(frontier, hot)
+        visited = levels[0]
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv)
+        st = expand_state(frontier.select("id"), hot)
         nxt = salted.join(st, (salted.src == st.id) & (salted.salt == st.salt)).select(F.col("dst").alias("id"))
         nxt = nxt.distinct().join(visited.select("id"), "id", "left_anti")
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        visited = visited.unionByName(nxt.select("id", F.lit(level).cast("long").alias("dist")))
-        if checkpoint_every and level % checkpoint_every == 0:
-            visited = cut_lineage(visited)
-        frontier = nxt
-    del spark
-    out = vertices.join(visited, "id", "left").select(
+        frontier = cut_lineage(nxt.select("id", F.lit(level).cast("long").alias("dist")))
+        levels.append(frontier)
+    visited = levels[0]
+    for lv in levels[1:]:
+        visited = visited.unionByName(lv)
+    return vertices.join(visited, "id", "left").select(
         "id", F.coalesce(F.col("dist").cast("double"), F.lit(INF)).alias("dist"))
-    return out
 
 
 def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[Column, Column], Column],
            send_msg: Callable[[Column, Column, Column], Column], merge: str = "min",
-           max_iter: int = 2 ** 31 - 1, checkpoint_every: int = 5) -> DataFrame:
+           max_iter: int = 2 ** 31 - 1) -> DataFrame:
     """Generic message passing along edge direction: (id, attr).
 
     * ``vprog(attr, msg)`` -> new attribute (column expressions);
@@ -160,19 +163,18 @@ def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[
         m = t.select("dst", send_msg(F.col("src_attr"), F.col("dst_attr"), F.col("eattr")).alias("_m"))
         return m.filter(F.col("_m").isNotNull()).groupBy("dst").agg(merges[merge]("_m").alias("msg"))
 
-    msgs = messages(state, active).persist(StorageLevel.MEMORY_AND_DISK)
+    # State and messages are checkpointed every round: each round's plan then starts from
+    # two materialised leaves (no mutual re-derivation), and a lost executor costs one round.
+    state = cut_lineage(state)
+    msgs = cut_lineage(messages(state, active))
     i = 0
     while i < max_iter and msgs.limit(1).count() > 0:
         j = state.join(msgs.withColumnRenamed("dst", "id"), "id", "left")
         new_attr = F.when(F.col("msg").isNotNull(), vprog(F.col("attr"), F.col("msg"))).otherwise(F.col("attr"))
-        state = j.select("id", new_attr.alias("attr"))
+        state = cut_lineage(j.select("id", new_attr.alias("attr")))
         i += 1
-        if checkpoint_every and i % checkpoint_every == 0:
-            state = cut_lineage(state)
-        else:
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
         active = msgs.select(F.col("dst").alias("id"))
-        msgs = messages(state, active).persist(StorageLevel.MEMORY_AND_DISK)
+        msgs = cut_lineage(messages(state, active))
     return state
 
 

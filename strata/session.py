@@ -9,6 +9,7 @@ private folder is created only when the setting is absent (local runs, tests).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,10 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder and return a plan that reads it back.
+    """Write ``df`` as parquet into the shared checkpoint folder and return a plan that reads it.
 
-    Reliable checkpoints survive executor loss (unlike local checkpoints, which live in
-    executor block managers), and they keep iterative plans from growing without bound.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    The result is a plain file scan: durable (a lost executor does not lose it, unlike local
+    checkpoints), and a fresh leaf, so iterative plans neither grow nor carry statistics of
+    their origin plans (which ``Dataset.checkpoint`` re-derives on every round)."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/strata-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
