@@ -30,6 +30,7 @@ from strata.operators import vectors as VO
 from strata.plans import graph as GP
 from strata.plans import kmeans as KM
 from strata.plans import tree as TR
+from strata.session import spread
 from strata.sources import text_formats as TF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,13 +60,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def points(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"),
-                    F.col("label").cast("long").alias("label"))
+    return spread(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"),
+                           F.col("label").cast("long").alias("label")))
 
 
 def thresholded(col="features"):

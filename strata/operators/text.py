@@ -172,6 +172,11 @@ def tfidf_job(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               min_doc_freq: int = 0) -> DataFrame:
     """End-to-end TF-IDF over a documents table (long form)."""
     docs = documents.select(id_col, text_col)
-    tf = hashing_tf(docs, id_col, text_col, num_features, algo=algo)
+    # The term-frequency rows feed two consumers (the document-frequency aggregate and the
+    # final product).  Routing them through one exchange lets Spark reuse its shuffle output
+    # for both instead of tokenising every document twice; keyed by document id, so even a
+    # term that occurs everywhere cannot concentrate rows in one partition.
+    parts = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tf = hashing_tf(docs, id_col, text_col, num_features, algo=algo).repartition(int(parts), id_col)
     idf = idf_fit(tf, documents=docs.select(id_col), min_doc_freq=min_doc_freq)
     return tfidf(tf, idf, "idx", num_features)

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from strata.operators.linalg import collect_centers, nearest_center_expr
 from strata.operators.layout import unpack_blocks, untranspose
 
-_PARTIAL_SCHEMA = "cluster int, n long, cost double, sums array<double>"
 
 
 def centers_frame(spark, centers: list[tuple[int, list[float]]]) -> DataFrame:
@@ -65,15 +64,17 @@ def cluster_sizes(assigned: DataFrame, cluster_col: str = "cluster") -> DataFram
 
 
 # ----------------------------------------------------------------------------- partial sums
+#
+# One long aggregate per step: (cluster, pos, s) where pos < dim are coordinate sums,
+# pos = dim is the point count and pos = dim + 1 the cost.  Each task contributes at most
+# k * (dim + 2) rows after its partial aggregate, whatever the number of points.
 
 def _partials_sql(points: DataFrame, cs, col: str) -> DataFrame:
     nc = nearest_center_expr(col, cs)
     a = points.select(nc.alias("_nc"), F.col(col).alias("_x"))
-    a = a.select(F.col("_nc.cluster").alias("cluster"), F.col("_nc.sqdist").alias("sqdist"), "_x")
-    per_cluster = a.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("sqdist").alias("cost"))
-    sums = (a.select("cluster", F.posexplode("_x").alias("pos", "x"))
-            .groupBy("cluster", "pos").agg(F.sum("x").alias("s")))
-    return per_cluster, sums
+    ext = F.concat(F.col("_x"), F.array(F.lit(1.0), F.col("_nc.sqdist")))
+    ex = a.select(F.col("_nc.cluster").alias("cluster"), F.posexplode(ext).alias("pos", "x"))
+    return ex.groupBy("cluster", "pos").agg(F.sum("x").alias("s"))
 
 
 def _arrow_partials_fn(cs):
@@ -87,50 +88,47 @@ def _arrow_partials_fn(cs):
             if len(col) == 0:
                 continue
             x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), d)
-            dist = np.empty((x.shape[0], k))
+            n = x.shape[0]
+            dist = np.empty((n, k))
             for j in range(k):
                 diff = x - cmat[j]
                 dist[:, j] = np.einsum("ij,ij->i", diff, diff)
             lab = np.argmin(dist, axis=1)  # first minimum -> lowest center id (centers sorted by id)
-            best = dist[np.arange(x.shape[0]), lab]
-            onehot = np.zeros((k, x.shape[0]))
-            onehot[lab, np.arange(x.shape[0])] = 1.0
-            sums = onehot @ x
-            counts = np.bincount(lab, minlength=k)
-            costs = np.bincount(lab, weights=best, minlength=k)
-            present = counts > 0
+            best = dist[np.arange(n), lab]
+            onehot = np.zeros((k, n))
+            onehot[lab, np.arange(n)] = 1.0
+            stats = np.concatenate([onehot @ x, np.bincount(lab, minlength=k)[:, None].astype(np.float64),
+                                    np.bincount(lab, weights=best, minlength=k)[:, None]], axis=1)
+            present = np.flatnonzero(stats[:, d] > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[present]), pa.array(counts[present].astype(np.int64)), pa.array(costs[present]),
-                 pa.array(list(sums[present]), type=pa.list_(pa.float64()))],
-                names=["cluster", "n", "cost", "sums"])
+                [pa.array(np.repeat(ids[present], d + 2)), pa.array(np.tile(np.arange(d + 2, dtype=np.int32), len(present))),
+                 pa.array(stats[present].ravel())],
+                names=["cluster", "pos", "s"])
 
     return fn
 
 
-def _partials_arrow(points: DataFrame, cs, col: str):
+def _partials_arrow(points: DataFrame, cs, col: str) -> DataFrame:
     parts = points.select(F.col(col).cast("array<double>").alias("x")).mapInArrow(
-        _arrow_partials_fn(cs), _PARTIAL_SCHEMA)
-    per_cluster = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
-    sums = (parts.select("cluster", F.posexplode("sums").alias("pos", "x"))
-            .groupBy("cluster", "pos").agg(F.sum("x").alias("s")))
-    return per_cluster, sums
+        _arrow_partials_fn(cs), "cluster int, pos int, s double")
+    return parts.groupBy("cluster", "pos").agg(F.sum("s").alias("s"))
 
 
-def _step_stats(points: DataFrame, cs, col: str, method: str):
+def _step_stats(points: DataFrame, cs, col: str, method: str) -> DataFrame:
     if method == "sql":
-        per_cluster, sums = _partials_sql(points, cs, col)
-    elif method == "arrow":
-        per_cluster, sums = _partials_arrow(points, cs, col)
-    else:
-        raise ValueError("method must be 'sql' or 'arrow'")
-    return per_cluster, sums
+        return _partials_sql(points, cs, col)
+    if method == "arrow":
+        return _partials_arrow(points, cs, col)
+    raise ValueError("method must be 'sql' or 'arrow'")
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame, col: str = "features", method: str = "sql") -> DataFrame:
     """One Lloyd step as a plan: (center_id, center).  A center without points keeps its value."""
     cs = collect_centers(centers)
-    per_cluster, sums = _step_stats(points, cs, col, method)
-    means = (sums.join(per_cluster, "cluster")
+    d = len(cs[0][1])
+    st = _step_stats(points, cs, col, method)
+    cnt = st.filter(F.col("pos") == d).select("cluster", F.col("s").alias("n"))
+    means = (st.filter(F.col("pos") < d).join(cnt, "cluster")
              .select(F.col("cluster").alias("center_id"), "pos", (F.col("s") / F.col("n")).alias("m")))
     new = means.groupBy("center_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_p")).select(
         "center_id", F.transform("_p", lambda p: p["m"]).alias("new_center"))
@@ -139,20 +137,21 @@ def lloyd_step(points: DataFrame, centers: DataFrame, col: str = "features", met
 
 
 def _driver_step(points: DataFrame, cs, col: str, method: str):
-    """Run one step; return (new centers list, cost before the update)."""
-    per_cluster, sums = _step_stats(points, cs, col, method)
-    pc = {int(r["cluster"]): (int(r["n"]), float(r["cost"])) for r in per_cluster.collect()}
+    """Run one step (one job); return (new centers list, cost before the update)."""
+    d = len(cs[0][1])
     acc: dict[int, dict[int, float]] = {}
-    for r in sums.collect():  # k * dim rows
+    for r in _step_stats(points, cs, col, method).collect():  # k * (dim + 2) rows
         acc.setdefault(int(r["cluster"]), {})[int(r["pos"])] = float(r["s"])
     new = []
+    cost = 0.0
     for cid, c in cs:
-        if cid in pc and pc[cid][0] > 0:
-            n = pc[cid][0]
-            new.append((cid, [acc[cid][i] / n for i in range(len(c))]))
+        st = acc.get(cid)
+        if st and st.get(d, 0.0) > 0:
+            n = st[d]
+            cost += st.get(d + 1, 0.0)
+            new.append((cid, [st.get(i, 0.0) / n for i in range(len(c))]))
         else:
             new.append((cid, list(c)))
-    cost = sum(v[1] for v in pc.values())
     return new, cost
 
 

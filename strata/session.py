@@ -62,3 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/strata-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over ``factor`` x the default parallelism, but only when the scan
+    produced fewer partitions than the cluster has cores (e.g. one large parquet row group).
+
+    On large inputs the scan already yields many more splits than cores and the frame is
+    returned unchanged, so no shuffle is added where it would not pay for itself."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
