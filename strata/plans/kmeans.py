@@ -15,8 +15,6 @@ where the loop decides convergence.  Two interchangeable step engines:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -84,10 +82,12 @@ def _arrow_partials_fn(cs):
 
     def fn(batches):
         for rb in batches:
-            col = rb.column(0)
-            if len(col) == 0:
+            # rows of points, or flat row-major blocks: either way the flattened values are
+            # consecutive points of length d
+            vals = rb.column(0).flatten()
+            if len(vals) == 0:
                 continue
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), d)
+            x = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
             n = x.shape[0]
             dist = np.empty((n, k))
             for j in range(k):
@@ -351,11 +351,10 @@ def kmeans_fit_columns(columns: DataFrame, init_centers: DataFrame, num_iter: in
 
 
 def kmeans_fit_blocks(blocks: DataFrame, init_centers: DataFrame, num_iter: int, method: str = "arrow") -> DataFrame:
-    """Same fit from packed blocks (flat or per-column)."""
+    """Same fit from packed blocks.  Flat blocks go to NumPy as they are (one zero-copy reshape
+    per Arrow batch); per-column blocks and the SQL engine unpack to rows first."""
+    if method == "arrow" and "flat" in blocks.columns:
+        return kmeans_fit_fixed(blocks.select(F.col("flat").alias("features")), init_centers, num_iter,
+                                "features", method)
     pts = unpack_blocks(blocks, "features", "row")
     return kmeans_fit_fixed(pts, init_centers, num_iter, "features", method)
-
-
-def check_k(k: int) -> None:
-    if k <= 0 or math.isnan(k):
-        raise ValueError("k must be positive")
