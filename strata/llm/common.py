@@ -47,13 +47,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose ``column`` text sums to about ``max_bytes`` (one row at
-    least), so the arrays made for a run stay bounded whatever the row count."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of at most ``max_rows`` rows whose ``column`` text sums to about
+    ``max_bytes`` (one row at least), so the arrays made for a run stay bounded."""
     if batch.num_rows == 0:
         return
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
-    group = np.cumsum(sizes) // max_bytes
+    group = (np.cumsum(sizes) // max_bytes) * (batch.num_rows + 1) + np.arange(batch.num_rows) // max_rows
     edges = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip(np.r_[0, edges], np.r_[edges, batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, packing, secrets
-from strata.llm.common import table
+from strata.llm import ann, chat, language, packing, secrets
+from strata.llm.common import id_fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER, with_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 3) == 1)
+    model = language.fit(docs.filter(~F.col("held_out")).select("text", "lang"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -76,5 +87,5 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_language_id, op8_ann_search, op10_chat_format)}
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
