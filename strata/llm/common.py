@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,3 +67,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
+
+
+_MARKS = re.compile(r"\W+")
+
+
+def word_codes(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Codes of all words one after the other, the distinct words, words for each text.  Words
+    stand between white space and lose case and marks; one of marks only stays as it is."""
+    lists = [t.split() for t in texts]
+    flat = [w for ws in lists for w in ws]
+    codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
+    clean = [w.lower() if w.isalnum() else _MARKS.sub("", w.lower()) or w for w in distinct]
+    return codes, clean, np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word's code points, the same in every process."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    points = np.frombuffer("".join(f"{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.cumsum(size) - size
+    place = (np.arange(len(points)) - np.repeat(start, size)).astype(np.uint64)
+    return mix64(np.add.reduceat(mix64(points + place * np.uint64(0x9E3779B97F4A7C15)), start))
