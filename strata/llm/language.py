@@ -22,7 +22,7 @@ CENTROIDS = 3
 #: Bounds of the fitted sample: labelled rows for each language, and rows in all.
 PER_LANGUAGE, SAMPLE_ROWS = 400, 8000
 #: A text is rejected if its cosine is below this share of the lowest one seen in fitting.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, chat, html_crf, language, packing, secrets, toxicity
+from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, secrets, toxicity
 from strata.llm.common import id_fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_fold("doc_id", 5) == 0)
     labels = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -99,5 +107,5 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op7_toxicity, op8_ann_search, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op10_chat_format)}
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
