@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, secrets, toxicity
+from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
 from strata.llm.common import id_fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -107,5 +111,5 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format)}
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
