@@ -16,7 +16,10 @@ items up to a third then go, largest first, to the fullest sequence that still h
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,12 @@ from strata.llm.common import ranges, slices, staged, whole_text
 CAPACITY = 2048
 END_ID = 0
 #: Words kept in a worker's cache of token ids (a bound on memory, never on results).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
+
+
+#: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the
+#: letters, in lower case, and the marks as two separate pieces.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-^`{-~]*)")
 
 
 class WordCache:
@@ -42,6 +50,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,41 +61,75 @@ class WordCache:
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.at)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[n + 1:n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.starts[at], self.starts[at + 1] - self.starts[at]
+
     def add(self, words: list[str]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
-            ids, n = enc.ids, len(self.at)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            if n + 2 > len(self.starts):
-                self.starts = np.resize(self.starts, 2 * len(self.starts))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.at[word] = n
-            self.starts[n + 1] = self.used
+        """Letters-only words are encoded as one text and told apart by their end tokens; words with
+        marks after them are put together from two known ones; all others are encoded singly."""
+        plain, other, split = [], [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                other.append(w)
+            elif m[2] or not w.islower():
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                plain.append(w)
+        known = self.at
+        parts = dict.fromkeys(p for _, a, b in split for p in (a, b) if p and p not in known)
+        plain = list(dict.fromkeys([*plain, *(p for p in parts if p.isalpha())]))
+        other += [p for p in parts if not p.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(plain):
+                self._store(plain, ids, np.diff(np.r_[-1, last]))
+            else:
+                other += plain
+        if other:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._store(other, np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        if split := [x for x in split if x[0] not in known]:
+            both = np.array([[known[a], known[b] if b else -1] for _, a, b in split], np.int64).ravel()
+            start, size = self._rows(np.maximum(both, 0))
+            size = np.where(both < 0, 0, size)
+            self._store([w for w, _, _ in split], self.ids[ranges(start, size)], size[::2] + size[1::2])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the offset of each text's first id."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.at) > self.limit:
             self.clear()
-        get = self.at.get
-        found = [list(map(get, ws)) for ws in words]
-        missing = list(dict.fromkeys(w for ws, f in zip(words, found, strict=True) if None in f for w, i in zip(ws, f, strict=True) if i is None))
-        if missing:
-            self.add(missing)
-            found = [list(map(get, ws)) if None in f else f for ws, f in zip(words, found, strict=True)]
-        per_text = np.fromiter(map(len, found), np.int64, len(found))
-        at = np.concatenate([np.asarray(f, np.int64) for f in found])
-        size = self.starts[at + 1] - self.starts[at]
-        text_of = np.repeat(np.arange(len(found)), per_text)
-        lengths = np.bincount(text_of, weights=size, minlength=len(found)).astype(np.int64)
-        flat = self.ids[ranges(self.starts[at], size)]
+        flat = list(itertools.chain.from_iterable(words))
+        if missing := set(flat).difference(self.at):
+            self.add(list(missing))
+        per_text = np.fromiter(map(len, words), np.int64, len(words))
+        start, size = self._rows(np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat)))
+        lengths = np.add.reduceat(size, np.cumsum(per_text) - per_text)  # a text has one word at least
         offsets = np.r_[0, np.cumsum(lengths + 1)]
         out = np.full(int(offsets[-1]), END_ID, np.uint32)
-        out[ranges(offsets[:-1], lengths)] = flat
+        out[ranges(offsets[:-1], lengths)] = self.ids[ranges(start, size)]
         return out, offsets
 
 
+@functools.lru_cache(maxsize=1)
+def _cache(path: str) -> WordCache:
+    """One for each worker process, kept from task to task."""
+    return WordCache(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, unless ``with_ids`` is
@@ -94,9 +139,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
     fields = f"doc_id {dtype}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = _cache(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 ids, offsets = cache.encode(batch.column("text").to_pylist())
                 lengths = np.diff(offsets)
                 n_pieces = -(-lengths // capacity)
