@@ -9,6 +9,7 @@ network itself.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -247,12 +248,13 @@ class Model:
         return _sigmoid(self.slope * (worst - self.shift))
 
 
-def sample(labelled: DataFrame, per_label: int = PER_LABEL, max_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Bounded ``(text, toxic)`` rows: for each label the first by the hash of the text."""
-    keyed = labelled.filter(F.col("toxic").isin(0, 1) & (F.length("text").between(1, max_chars))).withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    picked = keyed.select("toxic", "h").distinct().withColumn("r", rank).filter(F.col("r") <= per_label).drop("r")
-    return keyed.join(F.broadcast(picked), ["toxic", "h"], "left_semi").dropDuplicates(["toxic", "h"]).select("text", "toxic", "h")
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Bounded ``(text, toxic)`` rows: for each label the first ids by hash.  Only ids are ranked, so
+    no text is shuffled; an id labelled both ways counts as toxic."""
+    one = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id"))
+    picked = one.withColumn("_r", rank).filter(F.col("_r") <= per_label).select("_id", "toxic")
+    return docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).filter(F.length(text_col).between(1, max_chars)).select(F.col(text_col).alias("text"), "toxic")
 
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rate: float = 0.01, seed: int = 11) -> Model:
@@ -329,11 +331,10 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
     return Model(net, 1.0, float((cut[best[0]] + cut[best[-1]]) / 2))
 
 
-def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Trains on ``sample(labelled)`` of rows ``(text, toxic)``.  Without rows of both labels every
-    text scores low."""
-    rows = sorted(((r["h"], r["text"], int(r["toxic"])) for r in sample(labelled, per_label).collect()))
-    return train([t for _, t, _ in rows], np.array([y for *_, y in rows], dtype=int))
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """Trains on ``sample(docs, labels)``.  Without rows of both labels every text scores low."""
+    rows = sorted({(r["text"], int(r["toxic"])) for r in sample(docs, labels, per_label).collect()}, key=lambda r: hashlib.md5(r[0].encode("utf-8", "surrogatepass")).digest())
+    return train([t for t, _ in rows], np.array([y for _, y in rows], dtype=int))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
