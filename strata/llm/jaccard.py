@@ -1,12 +1,13 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-1. ``sketch``       text -> set of word 5-gram hashes, its MinHash values, a fingerprint of the set.
+1. ``sketch``       text -> MinHash values, size and fingerprint of its set of word 5-grams.
 2. ``classes``      equal sets are one class (a copy costs one row, whatever the number of copies).
 3. ``meetings``     classes that share a band of MinHash values; a bucket whose members all meet in
                     an earlier one is left out; large buckets are cut into blocks that meet in pairs.
 4. ``judge``        in each meeting: MinHash values are compared a few at a time, a pair is dropped
                     once the posterior probability of reaching the threshold falls below the
-                    tolerance, the rest are verified on the sets.  A meeting returns link counts and a
+                    tolerance.  Only then are the sets of the classes still in question made and
+                    brought along, to verify the rest.  A meeting returns link counts and a
                     spanning forest of its links, so a dense group never becomes a row per pair.
 5. ``components``   groups from the forests, by DataFrame joins.
 """
@@ -60,10 +61,11 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, f1, f2, n, sig, grams)``: fingerprint and size of the n-gram set, its MinHash
-    values (little-endian uint32) and the set itself (little-endian uint64, sorted)."""
+def sketch(docs: DataFrame, values: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, f1, f2, n, <values>)``: fingerprint and size of the n-gram set, and its MinHash
+    values (``sig``, little-endian uint32) or the set itself (``grams``, uint64, sorted)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    pack = {"sig": minhash, "grams": lambda s: s}[values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,10 +75,9 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 f2 = [int(mix64(s ^ _P).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([minhash(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "f1", "f2", "n", "sig", "grams"])
+                     pa.array([pack(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "f1", "f2", "n", values])
 
-    return rows.mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, n bigint, sig binary, grams binary")
+    return rows.mapInArrow(run, f"doc_id bigint, f1 bigint, f2 bigint, n bigint, {values} binary")
 
 
 def meetings(cls: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -105,19 +106,17 @@ def fewest_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def judge(band: int, own: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) among the rows of one meeting; pairs that share an earlier band are left to it,
-    and in a meeting of two blocks only pairs across them count."""
-    n = len(sets)
+def in_question(band: int, own: np.ndarray, sig: np.ndarray, sizes: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a meeting the later rows it may be linked to, after incremental pruning; pairs
+    that share an earlier band are left to it, and in a meeting of two blocks only pairs across them
+    count."""
     two = len(set(own.tolist())) > 1
     by_band = np.ascontiguousarray(sig).view(f"V{4 * ROWS}")
-    found_i, found_j = [], []
-    sizes = np.array([len(s) for s in sets])
     need = {k: fewest_matches(k, threshold, tolerance) for k in range(STEP, _K + 1, STEP)}
-    for i in range(n):
-        j = np.flatnonzero(own != own[i]) if two else np.arange(i + 1, n)
+    for i in range(len(sizes)):
+        j = np.flatnonzero(own != own[i]) if two else np.arange(i + 1, len(sizes))
         j = j[j > i]
-        j = j[(np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i]))]
+        j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
         if band and len(j):
             j = j[~(by_band[j, :band] == by_band[i, :band]).any(1)]
         same = np.zeros(len(j), np.int64)
@@ -128,14 +127,22 @@ def judge(band: int, own: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], t
             keep = same >= need[k]
             j, same = j[keep], same[keep]
         if len(j):
-            both = np.concatenate([sets[x] for x in j])
-            at = np.searchsorted(sets[i], both)
-            hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == both
-            common = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[j])[:-1]], dtype=np.int64)
-            linked = j[common >= threshold * (sizes[j] + sizes[i] - common) - 1e-9]
-            found_i.append(np.full(len(linked), i))
-            found_j.append(linked)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
+            yield i, j
+
+
+def judge(band: int, own: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) among the rows of one meeting: pairs still in question, verified on the sets."""
+    found_i, found_j = [np.zeros(0, int)], [np.zeros(0, int)]
+    sizes = np.array([len(s) for s in sets])
+    for i, j in in_question(band, own, sig, sizes, threshold, tolerance):
+        both = np.concatenate([sets[x] for x in j])
+        at = np.searchsorted(sets[i], both)
+        hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == both
+        common = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[j])[:-1]], dtype=np.int64)
+        linked = j[common >= threshold * (sizes[j] + sizes[i] - common) - 1e-9]
+        found_i.append(np.full(len(linked), i))
+        found_j.append(linked)
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -155,10 +162,28 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(cls: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """``(cls, other, n)`` from every meeting: rows with ``other`` null give ``n`` linked documents
-    (copies counted) of ``cls`` found there, the others are edges of the meeting's forest."""
-    met = meetings(cls.select("cls", "n", "sig"), block).join(cls.select("cls", "copies", "sig", "grams"), "cls")
+def links(docs: DataFrame, cls: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """``(cls, other, n, m)`` from every meeting of the classes ``(cls, copies, f1, f2, n, sig)``: rows
+    with ``other`` null give ``n`` linked documents (copies counted, in ``m`` classes) of ``cls`` found
+    there, the others are edges of the meeting's forest.  ``docs`` are the texts ``(doc_id, text)``."""
+    where = ["band", "key", "lo", "hi"]
+
+    def prune(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        own, sizes = np.asarray(t.column("own")), np.asarray(t.column("n"))
+        alive = np.zeros(len(own), bool)
+        if len(own) > 1 and (t.column("lo")[0] == t.column("hi")[0] or len(set(own.tolist())) > 1):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(own), -1)
+            for i, j in in_question(t.column("band")[0].as_py(), own, sig, sizes, threshold, tolerance):
+                alive[i] = alive[j] = True
+        return t.select([*where, "own", "cls"]).filter(pa.array(alive))
+
+    met = meetings(cls.select("cls", "n", "sig"), block).join(cls.select("cls", "n", "sig"), "cls")
+    met = staged(met.groupBy(*where).applyInArrow(prune, "band int, key bigint, lo int, hi int, own int, cls bigint"))
+    wanted = staged(met.select("cls").distinct())
+    grams = sketch(docs.join(wanted, docs["doc_id"] == wanted["cls"], "left_semi"), "grams").withColumnRenamed("doc_id", "cls")
+    full = cls.join(grams, ["cls", "f1", "f2", "n"]).dropDuplicates(["cls"]).select("cls", "copies", "sig", "grams")
+    met = met.join(full, "cls")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -176,7 +201,7 @@ def links(cls: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
         return pa.table({"cls": pa.array(ids[has].tolist() + a, pa.int64()), "other": pa.array([None] * len(has) + b, pa.int64()),
                          "n": pa.array(n[has].tolist() + [0] * len(a), pa.int64()), "m": pa.array(m[has].tolist() + [0] * len(a), pa.int64())})
 
-    return met.groupBy("band", "key", "lo", "hi").applyInArrow(run, "cls bigint, other bigint, n bigint, m bigint")
+    return met.groupBy(*where).applyInArrow(run, "cls bigint, other bigint, n bigint, m bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,12 +233,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     linked group, ``copy_id`` that of the documents with the same set.  Texts without words
     (null, empty) are linked to nothing.  Rows without an id take no part; of rows that repeat an
     id one counts; other columns are ignored, whatever their names."""
-    drawn = staged(sketch(docs, id_col, text_col).filter("doc_id is not null"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    drawn = staged(sketch(texts, "sig"))
     slim = drawn.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("s")).select("doc_id", "s.*")
     by_set = ["f1", "f2", "n"]
-    heads = slim.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies"))
-    cls = staged(heads.join(drawn.withColumnRenamed("doc_id", "cls"), ["cls", *by_set]).dropDuplicates(["cls"]).select("cls", "copies", "n", "sig", "grams"))
-    found = staged(links(cls, threshold, tolerance, block))
+    heads = staged(slim.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies")))
+    cls = staged(heads.join(drawn.withColumnRenamed("doc_id", "cls"), ["cls", *by_set]).dropDuplicates(["cls"]).select("cls", "copies", *by_set, "sig"))
+    found = staged(links(texts, cls, threshold, tolerance, block))
     count = found.filter("other is null").groupBy("cls").agg(F.sum("n").alias("others"))
     group = components(found.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     known = heads.join(count, "cls", "left").join(group.withColumnRenamed("id", "cls"), "cls", "left")
