@@ -28,6 +28,17 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: Rows of an Arrow batch that go to a worker at once; texts may be long, so far fewer than the default.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches of the session's Python workers, unless the session has set its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """The text as it is, null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, slices, staged, whole_text, word_codes
+from strata.llm.common import mix64, slices, small_batches, staged, whole_text, word_codes
 
 #: Tokens of the shortest tile; share of an item's tokens that contaminates, and the least tokens.
 SEED, COVERAGE, LEAST = 4, 0.5, 8
@@ -174,13 +174,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     repeated results; an empty table on either side gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id bigint, n_tokens bigint, covered bigint, n_tiles bigint"
+    small_batches(docs)
     parts = []
     for block in blocks(benchmark):
         items = Items(block, **limits)
 
         def run(batches, items=items):
             for whole in batches:
-                for b in slices(whole, "text", 2 << 20):
+                for b in slices(whole, "text", 1 << 20):
                     got = [(k, i, c, n) for k, x in enumerate(_numbers(b.column("text").to_pylist(), items)) for i, c, n in items.covered(x)]
                     if got:
                         yield pa.RecordBatch.from_arrays(
@@ -198,6 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The documents that no item contaminates, with all their columns; rows are judged where they
     are read, so nothing is shuffled."""
+    small_batches(docs)
     names = docs.columns
     out = docs
     for n, block in enumerate(blocks(benchmark)):
@@ -205,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **limit
 
         def run(batches, items=items):
             for whole in batches:
-                for b in slices(whole, "_text", 2 << 20):
+                for b in slices(whole, "_text", 1 << 20):
                     keep = [not items.covered(x) for x in _numbers(b.column("_text").to_pylist(), items)]
                     kept = b.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names=names)

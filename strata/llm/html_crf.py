@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, whole_text
+from strata.llm.common import slices, small_batches, whole_text
 
 #: Elements of the HTML standard by how they are read here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,6 +290,7 @@ def extract(pages: DataFrame, crf: Crf | None = None, html_col: str = "html", te
     """Adds ``text`` (the kept blocks, one to a line; empty if none) to every row, from the whole
     html.  Null and empty pages give empty text; a column of that name is replaced; equal pages
     give equal texts, and rows are never dropped."""
+    small_batches(pages)
     crf = crf or train(labelled_pages())
     pages = pages.drop(text_col) if text_col != html_col else pages
     names = pages.columns

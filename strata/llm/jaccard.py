@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, slices, staged, whole_text, word_codes, word_hashes
+from strata.llm.common import mix64, slices, small_batches, staged, whole_text, word_codes, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at the threshold shares no band with probability 5e-8.
@@ -65,11 +65,12 @@ def sketch(docs: DataFrame, values: str, id_col: str = "doc_id", text_col: str =
     """``(doc_id, f1, f2, n, <values>)``: fingerprint and size of the n-gram set, and its MinHash
     values (``sig``, little-endian uint32) or the set itself (``grams``, uint64, sorted)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    small_batches(docs)
     pack = {"sig": minhash, "grams": lambda s: s}[values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 sets = shingles(b.column("text").to_pylist())
                 f1 = [int(mix64(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 f2 = [int(mix64(s ^ _P).sum(dtype=np.uint64).astype(np.int64)) for s in sets]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, slices, whole_text
+from strata.llm.common import mix64, slices, small_batches, whole_text
 
 DIMS = 4096
 CENTROIDS = 3
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, dims: int = DIMS, centroids: int = CENTROIDS) -> Mo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20, 256):
+            for b in slices(whole, "text", 1 << 19, 256):
                 x, has = grams(b.column("text").to_pylist(), dims)
                 yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in np.log1p(x)], pa.binary()), pa.array(has)], names=["lang", "x", "has"])
 
@@ -126,13 +126,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """Adds ``lang_pred, score, cosine, rejected`` to every row from its whole text.  Null, empty
     and letterless texts are ``und`` with score 0 and rejected; columns of these names are
     replaced; equal texts get equal results."""
+    small_batches(docs)
     docs = docs.drop("lang_pred", "score", "cosine", "rejected")
     names = docs.columns
     blank = whole_text(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", 1 << 20, 256):
+            for b in slices(whole, "_text", 1 << 19, 256):
                 pred, score, cos, out = model.predict(b.column("_text").to_pylist())
                 cols = [b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pred), pa.array(score, pa.float64()), pa.array(cos, pa.float64()), pa.array(out)],

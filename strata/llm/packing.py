@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import ranges, slices, staged, whole_text
+from strata.llm.common import ranges, slices, small_batches, staged, whole_text
 
 CAPACITY = 2048
 END_ID = 0
@@ -135,6 +135,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, unless ``with_ids`` is
     off, ``ids`` (the tokens).  A null or empty text has the end token alone."""
     pieces = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    small_batches(docs)
     dtype = pieces.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {dtype}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 

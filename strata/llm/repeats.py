@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, ranges, slices, staged, whole_text
+from strata.llm.common import mix64, ranges, slices, small_batches, staged, whole_text
 
 WINDOW, ANCHOR = 100, 32
 #: A perfect difference set: any two positions have exactly one common shift into the cover.
@@ -316,6 +316,7 @@ def marks(ctx: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", occurrences: int = OCCURRENCES) -> tuple[DataFrame, DataFrame]:
     """The texts ``(doc_id, k, dh, text)`` and the byte ranges to remove ``(k, dh, spans)``."""
     spark = docs.sparkSession
+    small_batches(docs)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = whole_text(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash(text).alias("dh"), text.alias("text"))

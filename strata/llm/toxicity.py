@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, ranges, slices, whole_text
+from strata.llm.common import mix64, ranges, slices, small_batches, whole_text
 
 WINDOW, STRIDE = 24, 18
 WORD_ROWS, CHAR_ROWS = 32768, 16384
@@ -341,12 +341,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` to every row from all overlapping windows of its
     whole text.  Null and empty texts score as texts without words; columns of these names are
     replaced; equal texts get equal scores."""
+    small_batches(docs)
     docs = docs.drop("score", "predicted")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", 2 << 20):
+            for b in slices(whole, "_text", 1 << 20):
                 s = model.score(b.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                                                  names=[*names, "score", "predicted"])
