@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -70,6 +71,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_row
     edges = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip(np.r_[0, edges], np.r_[edges, batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
+    _release()
+
+
+def _release() -> None:
+    """Gives memory that a batch no longer needs back to the system; workers live long."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

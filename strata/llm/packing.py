@@ -33,7 +33,7 @@ from strata.llm.common import ranges, slices, small_batches, staged, whole_text
 CAPACITY = 2048
 END_ID = 0
 #: Words kept in a worker's cache of token ids (a bound on memory, never on results).
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 #: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the
@@ -142,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 ids, offsets = cache.encode(batch.column("text").to_pylist())
                 lengths = np.diff(offsets)
                 n_pieces = -(-lengths // capacity)
