@@ -11,12 +11,13 @@ from strata.functions._util import as_col, let
 # (all code points 0x00-0x20), and the token separator (one or more whitespace characters).
 TRIM_CLASS = r"[\x00-\x20]"
 SPLIT_PATTERN = r"\s+"
-_TRIM_RE = rf"^{TRIM_CLASS}+|{TRIM_CLASS}+$"
+# ``$`` would also match before a final U+0085 or U+2028, which the trim keeps.
+TRIM_RE = rf"\A{TRIM_CLASS}+|{TRIM_CLASS}+\z"
 
 
 def tokens(text) -> Column:
     """array<string> of tokens: trim chars <= 0x20 at both ends, split on whitespace, drop empties."""
-    trimmed = F.regexp_replace(as_col(text), _TRIM_RE, "")
+    trimmed = F.regexp_replace(as_col(text), TRIM_RE, "")
     return F.filter(F.split(trimmed, SPLIT_PATTERN), lambda w: w != F.lit(""))
 
 

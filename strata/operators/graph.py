@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import cut_lineage
+
 
 def edges_canonical(edges: DataFrame) -> DataFrame:
     """Orient every edge so that src <= dst."""
@@ -63,7 +65,8 @@ def prefix_sum(df: DataFrame, order_by: list[str], value_col: str, out_col: str)
     """Exclusive running sum of ``value_col`` in ``order_by`` order, computed as partition-local
     sums plus per-partition bases (a table with one row per partition); no global window."""
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    # Written once with the partition number: sums and bases must come from the same ordering.
+    tagged = cut_lineage(ordered.withColumn("_pid", F.spark_partition_id()))
     w_local = Window.partitionBy("_pid").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.withColumn("_loc", F.coalesce(F.sum(value_col).over(w_local), F.lit(0)))
     totals = tagged.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))

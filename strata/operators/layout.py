@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
 from strata.functions._util import let
+from strata.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 4096
 
@@ -27,19 +28,21 @@ _LOCAL_BITS = 33  # monotonically_increasing_id: partition index in the upper 31
 def row_index(df: DataFrame, order_by: str | list[str], out_col: str = "row") -> DataFrame:
     """Contiguous 0-based row numbers in ``order_by`` order (keys should be unique).
 
-    Range-partitions and sorts within partitions, numbers rows locally, then adds each
-    partition's offset from a per-partition count table (one row per partition, broadcast).
-    No global single-partition window is used."""
+    Range-partitions and sorts within partitions, numbers rows locally, and writes that one
+    ordering with its partition number as a column; counts and offsets (one row per partition,
+    broadcast) are then taken from the written rows, so both sides of the join see the same
+    partitions whatever the planner does.  No global single-partition window is used."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
-        "_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
+    tagged = ordered.withColumn("_ri_mid", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_ri_part", F.shiftright("_ri_mid", _LOCAL_BITS)).withColumn(
+        "_ri_local", F.col("_ri_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    tagged = cut_lineage(tagged.drop("_ri_mid"))
+    counts = tagged.groupBy("_ri_part").agg(F.count("*").alias("_ri_n"))
     # The count table has one row per partition; a single-partition window over it is bounded.
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_part")
-    return out.select(*df.columns, (F.col("_off") + F.col("_local")).alias(out_col))
+    offsets = counts.select("_ri_part", (F.sum("_ri_n").over(Window.orderBy("_ri_part")) - F.col("_ri_n")).alias("_ri_off"))
+    out = tagged.join(F.broadcast(offsets), "_ri_part")
+    return out.select(*df.columns, (F.col("_ri_off") + F.col("_ri_local")).alias(out_col))
 
 
 def zip_columns(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import hashing as H
 from strata.functions._util import let
-from strata.functions.text import TRIM_CLASS, run_lengths, tokens
+from strata.functions.text import TRIM_CLASS, TRIM_RE, run_lengths, tokens
 
 # The whitespace characters of the JVM regex class \s, i.e. the token separators.
 WHITESPACE_CHARS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
@@ -43,8 +43,8 @@ def token_offsets(df: DataFrame, text_col: str = "text", out_col: str = "offsets
     Linear per document, evaluated in the JVM: token starts/ends are found from a per-character
     whitespace mask of the trimmed text."""
     text = F.col(text_col)
-    lead = F.length(F.regexp_extract(text, rf"^{TRIM_CLASS}*", 0))
-    trimmed = F.regexp_replace(text, rf"^{TRIM_CLASS}+|{TRIM_CLASS}+$", "")
+    lead = F.length(F.regexp_extract(text, rf"\A{TRIM_CLASS}*", 0))
+    trimmed = F.regexp_replace(text, TRIM_RE, "")
     ws_mask = F.transform(F.split(trimmed, ""), lambda c: c.isin(*WHITESPACE_CHARS))
 
     def body(ws: Column) -> Column:

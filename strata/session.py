@@ -45,7 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises on some versions
             configured = None
     if not configured:
-        # Only reached when nothing is configured (local runs and tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,14 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows over ``factor`` x the default parallelism, but only when the scan
-    produced fewer partitions than the cluster has cores (e.g. one large parquet row group).
-
-    On large inputs the scan already yields many more splits than cores and the frame is
-    returned unchanged, so no shuffle is added where it would not pay for itself."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
