@@ -29,6 +29,7 @@ EMBED, HIDDEN = 10, 8
 PER_LABEL, SAMPLE_CHARS = 1500, 20_000
 #: Share of words hidden from the network at each training step.
 HIDE = 0.15
+LEAST_TEXTS = 3
 _MARKS = re.compile(r"\W+")
 
 
@@ -287,6 +288,13 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
     strength = word_odds ** 2 + np.maximum.reduceat(gram_odds[words.gram], words.first) ** 2
     total = np.r_[0, np.cumsum(strength[codes])]
     guess = total[start + size] - total[start]
+    # Rows of the tables that fewer than LEAST_TEXTS texts would teach stay zero: they'd only be learned by heart.
+    taught_in = ~held[in_text[0]], ~held[by_gram[0]]
+    often = np.bincount(in_text[1][taught_in[0]], minlength=len(words.word)) >= LEAST_TEXTS
+    rows = {"word": np.zeros(WORD_ROWS, bool), "char": np.bincount(by_gram[1][taught_in[1]], minlength=CHAR_ROWS) >= LEAST_TEXTS}
+    rows["word"][words.word[often]] = True
+    for k, on in rows.items():
+        net.p[k][~on] = 0
     net.p["word"][:, 0] = np.bincount(words.word, weights=word_odds, minlength=WORD_ROWS) / np.maximum(1, np.bincount(words.word, minlength=WORD_ROWS)) / 4
     net.p["char"][:, 0] = gram_odds / 4  # the odds are where the embeddings start
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -314,7 +322,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
                 shown = on & (rng.random(on.shape) >= HIDE)
                 done += 1
                 for k, g in net.step(part, back.reshape(at.shape), on, target[mix[lo:lo + batch]], shown).items():
-                    at_rows, g = g if isinstance(g, tuple) else (slice(None), g)
+                    at_rows, g = (g[0][rows[k][g[0]]], g[1][rows[k][g[0]]]) if k in rows else (slice(None), g)
                     m, v = moments[k]
                     m[at_rows] += 0.1 * (g - m[at_rows])
                     v[at_rows] += 0.01 * (g * g - v[at_rows])
@@ -328,7 +336,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
     cut = cut[np.linspace(0, len(cut) - 1, min(len(cut), 800)).astype(int)]
     loss = [(worst[y == 1] < c).mean() + 3 * (worst[y == 0] >= c).mean() for c in cut]  # clean texts weigh more
     best = np.flatnonzero(np.array(loss) <= min(loss) + 1e-12)
-    return Model(net, 1.0, float((cut[best[0]] + cut[best[-1]]) / 2))
+    return Model(net, 1.0, float(0.3 * cut[best[0]] + 0.7 * cut[best[-1]]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:

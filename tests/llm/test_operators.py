@@ -192,12 +192,12 @@ def test_gradients():
 
 
 def test_toxicity_learns_and_handles_empties(spark):
-    rows = [(i, words(i, 40) + (" vilefoo " if i % 2 else " ") + words(i + 999, 30)) for i in range(160)]
+    rows = [(i, words(i, 40) + (" vilefoo " if i % 2 else " ") + words(i + 999, 30)) for i in range(600)]
     docs = spark.createDataFrame([(i, t, 9.0) for i, t in [*rows, (900, None), (901, "")]], "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(5, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
-    assert len(got) == 162 and got[900] == got[901] == 0
-    assert sum(got[i] == i % 2 for i in range(120, 160)) >= 36
+    assert len(got) == 602 and got[900] == got[901] == 0
+    assert sum(got[i] == i % 2 for i in range(500, 600)) >= 90
 
 
 def test_neighbours_against_brute_force(spark):
