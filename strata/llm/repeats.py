@@ -244,7 +244,7 @@ def contexts(found: DataFrame, buckets: int) -> DataFrame:
                     own = (int(k[r]), int(dh[r]), a - int(base[r]))
                     salts = salt_of[int(place[u])]
                     if (prev := seen.get(ctx)) is not None and prev != own:
-                        cols[0].append(int(h[u] % buckets))
+                        cols[0].append(hash(own) % buckets)  # settled: it may go anywhere
                         ctx = None
                     else:
                         seen[ctx] = own
