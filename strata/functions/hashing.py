@@ -55,7 +55,8 @@ def hash_native(c, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and isinstance(dtype, T.LongType):
         # Long.hashCode = (int)(v ^ (v >>> 32)); a value that fits an int hashes to itself.
         folded = F.pmod(col.bitwiseXOR(F.shiftrightunsigned(col, 32)), F.lit(_TWO_32))
-        return let(folded, lambda f: F.when(f >= _TWO_31, f - _TWO_32).otherwise(f)).cast("int")
+        signed = let(folded, lambda f: F.when(f >= _TWO_31, f - _TWO_32).otherwise(f))
+        return F.when(col.between(-_TWO_31, _TWO_31 - 1), col).otherwise(signed).cast("int")
     if dtype is not None and not isinstance(dtype, T.StringType):
         raise TypeError(f"native hash supports string and integral input, not {dtype.simpleString()}")
     unsigned = F.aggregate(

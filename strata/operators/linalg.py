@@ -101,28 +101,37 @@ def gram_matrix(df: DataFrame, col: str = "features", alpha: float = 1.0, upper_
 
 def matvec(a: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0.0, y: DataFrame | None = None,
            n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
-    """alpha * A x + beta * y  ->  (i, v).  A (i, j, v); x (i, v) indexed by column j; y (i, v)."""
+    """alpha * A x + beta * y  ->  (i, v).  A (i, j, v); x (i, v) indexed by column j; y (i, v).
+
+    ``n_rows`` and ``n_cols`` check the indices of A, x and y.  Every row of ``y`` is in the result;
+    with ``beta`` 0 its values (NaN too) count as zero."""
     if n_cols is not None:
         _check_index_range(x, "i", n_cols, "x")
+        _check_index_range(a, "j", n_cols, "A's columns")
+    if n_rows is not None:
+        _check_index_range(a, "i", n_rows, "A's rows")
+        if y is not None:
+            _check_index_range(y, "i", n_rows, "y")
     ax = (a.join(x.select(F.col("i").alias("j"), F.col("v").alias("_x")), "j")
           .groupBy("i").agg((F.lit(float(alpha)) * F.sum(F.col("v") * F.col("_x"))).alias("_ax")))
-    if y is None or beta == 0.0:
+    if y is None:
         return ax.select("i", F.col("_ax").alias("v"))
-    yy = y.select("i", (F.lit(float(beta)) * F.col("v")).alias("_by"))
+    yy = y.select("i", (F.lit(float(beta)) * F.col("v") if beta else F.lit(0.0)).alias("_by"))
     out = ax.join(yy, "i", "full_outer")
     return out.select("i", (F.coalesce("_ax", F.lit(0.0)) + F.coalesce("_by", F.lit(0.0))).alias("v"))
 
 
 def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0,
            c: DataFrame | None = None) -> DataFrame:
-    """alpha * A B + beta * C -> (i, j, v).  Join on A.j = B.i, aggregate by (i, j)."""
+    """alpha * A B + beta * C -> (i, j, v).  Join on A.j = B.i, aggregate by (i, j).  Every entry of
+    ``c`` is in the result; with ``beta`` 0 its values count as zero."""
     left = a.select(F.col("i"), F.col("j").alias("_k"), F.col("v").alias("_av"))
     right = b.select(F.col("i").alias("_k"), F.col("j"), F.col("v").alias("_bv"))
     ab = (left.join(right, "_k").groupBy("i", "j")
           .agg((F.lit(float(alpha)) * F.sum(F.col("_av") * F.col("_bv"))).alias("_ab")))
-    if c is None or beta == 0.0:
+    if c is None:
         return ab.select("i", "j", F.col("_ab").alias("v"))
-    cc = c.select("i", "j", (F.lit(float(beta)) * F.col("v")).alias("_c"))
+    cc = c.select("i", "j", (F.lit(float(beta)) * F.col("v") if beta else F.lit(0.0)).alias("_c"))
     out = ab.join(cc, ["i", "j"], "full_outer")
     return out.select("i", "j", (F.coalesce("_ab", F.lit(0.0)) + F.coalesce("_c", F.lit(0.0))).alias("v"))
 

@@ -81,12 +81,14 @@ def _arrow_partials_fn(cs):
     k, d = cmat.shape
 
     def fn(batches):
+        stats = np.zeros((k, d + 2))
         for rb in batches:
-            # rows of points, or flat row-major blocks: either way the flattened values are
-            # consecutive points of length d
-            vals = rb.column(0).flatten()
-            if len(vals) == 0:
-                continue
+            # rows of points, or flat row-major blocks: either way a row holds whole points of length d
+            col = rb.column(0)
+            sizes = np.diff(col.offsets.to_numpy())
+            vals = col.flatten()
+            if col.null_count or vals.null_count or (sizes % d).any() or not sizes.all():
+                raise ValueError(f"every point must hold {d} values, none of them null")
             x = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
             n = x.shape[0]
             dist = np.empty((n, k))
@@ -97,13 +99,14 @@ def _arrow_partials_fn(cs):
             best = dist[np.arange(n), lab]
             onehot = np.zeros((k, n))
             onehot[lab, np.arange(n)] = 1.0
-            stats = np.concatenate([onehot @ x, np.bincount(lab, minlength=k)[:, None].astype(np.float64),
-                                    np.bincount(lab, weights=best, minlength=k)[:, None]], axis=1)
-            present = np.flatnonzero(stats[:, d] > 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[present], d + 2)), pa.array(np.tile(np.arange(d + 2, dtype=np.int32), len(present))),
-                 pa.array(stats[present].ravel())],
-                names=["cluster", "pos", "s"])
+            stats[:, :d] += onehot @ x
+            stats[:, d] += np.bincount(lab, minlength=k)
+            stats[:, d + 1] += np.bincount(lab, weights=best, minlength=k)
+        present = np.flatnonzero(stats[:, d] > 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids[present], d + 2)), pa.array(np.tile(np.arange(d + 2, dtype=np.int32), len(present))),
+             pa.array(stats[present].ravel())],
+            names=["cluster", "pos", "s"])
 
     return fn
 

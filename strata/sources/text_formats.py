@@ -89,6 +89,11 @@ def read_points_by_column(spark: SparkSession, path: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- LIBSVM
 
+def _ascending(idx: Column) -> Column:
+    return F.forall(F.sequence(F.lit(1), F.greatest(F.size(idx) - 1, F.lit(1))),
+                    lambda k: (F.size(idx) < 2) | (F.get(idx, k) > F.get(idx, k - 1)))
+
+
 def parse_libsvm_lines(lines: DataFrame, num_features: int = -1, line_col: str = "value", keep=()) -> DataFrame:
     """``label i:v ...`` (1-based ascending indices) -> (label double, features sparse struct).
 
@@ -108,11 +113,7 @@ def parse_libsvm_lines(lines: DataFrame, num_features: int = -1, line_col: str =
         F.transform("_kv", lambda t: F.get(F.split(t, ":"), 0).cast("int") - 1).alias("_i"),
         F.transform("_kv", lambda t: F.get(F.split(t, ":"), 1).cast("double")).alias("_v"))
 
-    def ascending(idx: Column) -> Column:
-        return F.forall(F.sequence(F.lit(1), F.greatest(F.size(idx) - 1, F.lit(1))),
-                        lambda k: (F.size(idx) < 2) | (F.get(idx, k) > F.get(idx, k - 1)))
-
-    ok = let(F.col("_i"), lambda idx: ascending(idx) & (F.coalesce(F.get(idx, 0), F.lit(0)) >= 0))
+    ok = let(F.col("_i"), lambda idx: _ascending(idx) & (F.coalesce(F.get(idx, 0), F.lit(0)) >= 0))
     checked = parsed.select(
         *keep, "label", F.when(ok, F.col("_i")).otherwise(F.raise_error(F.concat(
             F.lit("indices should be one-based and in ascending order; line="), F.col("_l"))).cast("array<int>")).alias("_i"),
@@ -154,22 +155,35 @@ def _num_list(s: Column, cast: str) -> Column:
         F.transform(F.split(s, ","), lambda t: F.trim(t).cast(cast)))
 
 
+def _checked_vector(v: Column, source: Column) -> Column:
+    """The vector struct, or an error naming its source: a dense vector needs its values, a sparse
+    one as many values as indices, the indices ascending within ``[0, size)``."""
+    def fits(x):
+        idx, vals = x["indices"], x["values"]
+        last = F.coalesce(F.try_element_at(idx, F.lit(-1)), F.lit(-1))
+        sparse = (F.size(idx) == F.size(vals)) & _ascending(idx) & (F.coalesce(F.get(idx, 0), F.lit(0)) >= 0) & (last < x["size"])
+        return F.forall(vals, lambda y: y.isNotNull()) & F.when(x["type"] == 1, F.lit(True)).otherwise(sparse)
+
+    return let(v, lambda x: F.when(F.coalesce(fits(x), F.lit(False)), x).otherwise(
+        F.raise_error(F.concat(F.lit("cannot parse vector: "), F.coalesce(source, F.lit("null")))).cast(VECTOR_STRUCT)))
+
+
 def parse_vector_text(s) -> Column:
-    """``[v,...]`` (dense) or ``(size,[i,...],[v,...])`` (sparse) -> VectorUDT-shaped struct."""
+    """``[v,...]`` (dense) or ``(size,[i,...],[v,...])`` (sparse) -> VectorUDT-shaped struct.
+    Anything else raises: open brackets, unequal lengths, indices out of range or order, null."""
     s = F.trim(F.col(s) if isinstance(s, str) else s)
     dense = F.regexp_extract(s, r"^\[(.*)\]$", 1)
     sp_size = F.regexp_extract(s, r"^\(\s*(\d+)\s*,", 1)
     sp_idx = F.regexp_extract(s, r"^\(\s*\d+\s*,\s*\[([^\]]*)\]", 1)
     sp_val = F.regexp_extract(s, r"\]\s*,\s*\[([^\]]*)\]\s*\)$", 1)
-    is_dense = s.startswith("[")
-    is_sparse = s.startswith("(")
+    is_dense = s.rlike(r"^\[[^\[\]()]*\]$")
+    is_sparse = s.rlike(r"^\(\s*\d+\s*,\s*\[[^\[\]()]*\]\s*,\s*\[[^\[\]()]*\]\s*\)$")
     dense_v = F.struct(F.lit(1).cast("tinyint").alias("type"), F.lit(None).cast("int").alias("size"),
                        F.lit(None).cast("array<int>").alias("indices"),
                        _num_list(dense, "double").alias("values"))
     sparse_v = F.struct(F.lit(0).cast("tinyint").alias("type"), sp_size.cast("int").alias("size"),
                         _num_list(sp_idx, "int").alias("indices"), _num_list(sp_val, "double").alias("values"))
-    return (F.when(is_dense, dense_v).when(is_sparse, sparse_v)
-            .otherwise(F.raise_error(F.concat(F.lit("cannot parse vector: "), s)).cast(VECTOR_STRUCT)))
+    return _checked_vector(F.when(is_dense, dense_v).when(is_sparse, sparse_v), s)
 
 
 def format_vector_text(v) -> Column:
@@ -192,15 +206,16 @@ _JSON_SCHEMA = "type int, size int, indices array<int>, values array<double>"
 
 
 def parse_vector_json(s) -> Column:
-    """``{"type":0,"size":n,"indices":[...],"values":[...]}`` or ``{"type":1,"values":[...]}``."""
-    j = F.from_json(F.col(s) if isinstance(s, str) else s, _JSON_SCHEMA)
+    """``{"type":0,"size":n,"indices":[...],"values":[...]}`` or ``{"type":1,"values":[...]}``.
+    Raises where ``parse_vector_text`` would."""
+    s = F.col(s) if isinstance(s, str) else s
+    j = F.from_json(s, _JSON_SCHEMA)
     ok = j["type"].isin(0, 1)
     v = F.struct(j["type"].cast("tinyint").alias("type"),
                  F.when(j["type"] == 0, j["size"]).alias("size"),
                  F.when(j["type"] == 0, j["indices"]).alias("indices"),
                  j["values"].alias("values"))
-    return F.when(ok, v).otherwise(F.raise_error(F.lit("cannot parse vector JSON: type must be 0 or 1"))
-                                   .cast(VECTOR_STRUCT))
+    return _checked_vector(F.when(ok, v), s)
 
 
 def format_vector_json(v) -> Column:

@@ -74,3 +74,11 @@ def test_cluster_model_round_trip(spark, sf, tmp_path):
     back = FI.load_clusters(spark, path)
     assert centers_of(back) == centers_of(c)
     assert [r.center_id for r in back.collect()] == sorted(r.center_id for r in c.collect())
+
+
+@pytest.mark.parametrize("rows", [[[1.0, 2.0, 3.0], [1.0]], [[1.0, 2.0], None], [[1.0, 2.0], []], [[1.0, None]]])
+def test_arrow_engine_refuses_ragged_and_null_points(spark, rows):
+    points = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, features array<double>").coalesce(1)
+    centers = spark.createDataFrame([(0, [0.0, 0.0]), (1, [5.0, 5.0])], "center_id int, center array<double>")
+    with pytest.raises(Exception, match="every point must hold"):
+        KM.lloyd_step(points, centers, method="arrow").collect()

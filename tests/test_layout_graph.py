@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from strata import catalog as C
@@ -85,3 +86,16 @@ def test_adjacency_chunks_hot_source(spark):
     a = G.adjacency(spark.createDataFrame(rows, "src long, dst long"), max_chunk=30)
     hot = a.filter("src = 0").collect()
     assert len(hot) == 4 and sum(r.degree for r in hot) == 100 and max(r.degree for r in hot) < 60
+
+
+def test_matvec_checks_shapes_and_keeps_rows_of_y(spark):
+    from strata.operators import linalg as LA
+
+    a = spark.createDataFrame([(0, 0, 2.0), (1, 5, 1.0)], "i long, j long, v double")
+    x = spark.createDataFrame([(0, 3.0)], "i long, v double")
+    y = spark.createDataFrame([(0, 1.0), (4, float("nan"))], "i long, v double")
+    with pytest.raises(ValueError):
+        LA.matvec(a, x, n_cols=2)
+    with pytest.raises(ValueError):
+        LA.matvec(a, x, n_rows=1)
+    assert sorted(map(tuple, LA.matvec(a, x, y=y, beta=0.0).collect())) == [(0, 6.0), (4, 0.0)]

@@ -73,3 +73,25 @@ def test_documents_and_utf8_repair(spark, tmp_path):
     assert docs["a.txt"] == "hello world\nline two"
     rep = {r.path.rsplit("/", 1)[-1]: r.text for r in FI.read_documents_repaired(spark, str(d)).collect()}
     assert "�" in rep["b.txt"] and rep["b.txt"].startswith("ok ")
+
+
+@pytest.mark.parametrize("text", ["[1,2", "1,2]", "(3,[0,2],[1.0", "(3,[0,9],[1.0,2.0])", "(3,[0,2],[1.0])", "(3,[2,0],[1.0,2.0])",
+                                  "(3,[0,0],[1.0,2.0])", "[1,,2]", "", None])
+def test_malformed_vector_text_raises(spark, text):
+    df = spark.createDataFrame([(text,)], "s string")
+    with pytest.raises(Exception):
+        df.select(TF.parse_vector_text("s").alias("v")).collect()
+
+
+@pytest.mark.parametrize("text", ['{"type":0,"size":3,"indices":[0,1],"values":[1.0]}', '{"type":0,"size":1,"indices":[1],"values":[1.0]}',
+                                  '{"type":1}', '{"type":1,"values":[null]}', "{", None])
+def test_malformed_vector_json_raises(spark, text):
+    df = spark.createDataFrame([(text,)], "s string")
+    with pytest.raises(Exception):
+        df.select(TF.parse_vector_json("s").alias("v")).collect()
+
+
+def test_empty_vectors_parse(spark):
+    df = spark.createDataFrame([("[]",), ("(3,[],[])",)], "s string")
+    got = [(r.v.type, r.v.indices, r.v["values"]) for r in df.select(TF.parse_vector_text("s").alias("v")).collect()]
+    assert got == [(1, None, []), (0, [], [])]

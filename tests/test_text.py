@@ -95,3 +95,15 @@ def test_min_doc_freq(spark):
     tf = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0)], "doc_id long, idx int, tf double")
     idf = {r.idx: r.idf for r in X.idf_fit(tf, min_doc_freq=2).collect()}
     assert idf[1] == 0.0
+
+
+def test_native_hash_of_longs(spark):
+    from pyspark.sql import types as T
+
+    values = [-1, -5, 0, 7, 2**31 - 1, -(2**31), 2**31, 2**32, -(2**31) - 1, 2**63 - 1]
+    def java(v):
+        u = v % 2**64
+        h = (u ^ (u >> 32)) % 2**32
+        return v if -(2**31) <= v < 2**31 else h - 2**32 if h >= 2**31 else h
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert [r.h for r in df.select(hash_native("v", T.LongType()).alias("h")).collect()] == [java(v) for v in values]
