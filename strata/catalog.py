@@ -6,7 +6,7 @@ results compare exactly across engines.  Inputs:
 
 * points      embeddings -> (id = vec_id, features = embedding as array<double>, label)
 * sparse      the same with |x| < 0.1 set to zero, stored sparse
-* edges       src = l_partkey, dst = (l_orderkey * 7 + l_linenumber) % 2000 from lineitem
+* edges       src = l_orderkey, dst = l_partkey from lineitem, every row
               rows with l_returnflag = 'R' and l_quantity > 40
 * centers     the 10 points with the lowest vec_id
 """
@@ -77,9 +77,7 @@ def sparse_points(spark, d) -> DataFrame:
 
 
 def edges(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select(
-        F.col("l_partkey").alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 2000).alias("dst"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
 def lowest_centers(spark, d) -> DataFrame:
@@ -96,8 +94,7 @@ PTS = "(SELECT vec_id AS id, embedding::DOUBLE[] AS f, label::BIGINT AS label FR
 PTS_LONG = f"(SELECT id, unnest(range(len(f))) AS pos, unnest(f) AS x FROM {PTS})"
 THR = f"(SELECT id, label, [CASE WHEN abs(x) < {SPARSE_EPS} THEN 0.0 ELSE x END for x in f] AS f FROM {PTS})"
 SP_LONG = f"(SELECT id, label, pos, x FROM (SELECT id, label, unnest(range(len(f))) AS pos, unnest(f) AS x FROM {THR}) WHERE x <> 0)"
-EDGES = ("(SELECT l_partkey AS src, (l_orderkey * 7 + l_linenumber) % 2000 AS dst FROM lineitem "
-         "WHERE l_returnflag = 'R' AND l_quantity > 40)")
+EDGES = "(SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem)"
 VERTS = f"(SELECT src AS id FROM {EDGES} UNION SELECT dst FROM {EDGES})"
 CENTERS0 = f"(SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cid, f AS c FROM (SELECT * FROM {PTS} ORDER BY id LIMIT {K_CENTERS}))"
 TOKS = f"(SELECT doc_id, {Q.tokens()} AS tk FROM documents)"
@@ -328,7 +325,7 @@ def q_append_bias(spark, d):
                     R(F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)).alias("total"))
 
 
-_SCORE_SQL = "(4.0 * f[1] - 2.0 * f[2] + 0.5)"
+_SCORE_SQL = "(list_sum(f) + 0.5)"
 
 
 _LOSS_TERM = (f"CASE WHEN {_SCORE_SQL} > 0 THEN {_SCORE_SQL} + ln(1 + exp(-{_SCORE_SQL})) "
@@ -338,17 +335,17 @@ _LOSS_TERM = (f"CASE WHEN {_SCORE_SQL} > 0 THEN {_SCORE_SQL} + ln(1 + exp(-{_SCO
 @register("log_loss", f"SELECT {rs(f'avg({_LOSS_TERM})')} AS log_loss FROM {PTS}")
 def q_log_loss(spark, d):
     p = points(spark, d)
-    scored = p.select((F.lit(4.0) * F.get("features", 0) - F.lit(2.0) * F.get("features", 1) + F.lit(0.5)).alias("score"),
+    scored = p.select((F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x) + F.lit(0.5)).alias("score"),
                       (F.col("label") % 2).alias("label"))
     return VO.log_loss(scored).select(R("log_loss").alias("log_loss"))
 
 
 @register("dedupe_vectors", f"""WITH {_MM_CTES}, tf AS ({_htf_sql(_MM_TERMS, None)}),
-vk AS (SELECT doc_id, list(struct_pack(i := idx, v := tf) ORDER BY idx) AS key FROM tf GROUP BY doc_id)
+vk AS (SELECT doc_id, list(struct_pack(i := idx, v := tf) ORDER BY idx) FILTER (idx IS NOT NULL) AS key FROM documents LEFT JOIN tf USING (doc_id) GROUP BY doc_id)
 SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n_copies FROM vk GROUP BY key""")
 def q_dedupe_vectors(spark, d):
     v = X.hashing_tf_vectors(docs(spark, d))
-    dd = VO.dedupe_vectors(v.filter(F.size("features.indices") > 0), "features", "doc_id", is_sparse=True)
+    dd = VO.dedupe_vectors(v, "features", "doc_id", is_sparse=True)
     return dd.select("doc_id", "n_copies")
 
 
@@ -891,10 +888,10 @@ def q_weighted_sample(spark, d):
 
 # ============================================================================= TREE
 
-@register("test_error", f"""SELECT {rs('avg((label <> (list_position(f[1:10], list_max(f[1:10])) - 1))::DOUBLE)')} AS test_error FROM {PTS}""")
+@register("test_error", f"""SELECT {rs('avg((label <> (list_position(f, list_max(f)) - 1))::DOUBLE)')} AS test_error FROM {PTS}""")
 def q_test_error(spark, d):
     p = points(spark, d)
-    pred = p.select("label", V.argmax(F.slice("features", 1, 10)).cast("double").alias("prediction"))
+    pred = p.select("label", V.argmax("features").cast("double").alias("prediction"))
     return TR.test_error(pred).select(R("test_error").alias("test_error"))
 
 
