@@ -34,6 +34,9 @@ SCOPE = {"p": frozenset("article aside body div footer header html li main nav s
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Raw elements that hold tags and comments; the others hold none.
+MARKED = frozenset("template svg math object".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _END = re.compile(r"[.!?…:;\"”»)]$")
 
 
@@ -45,6 +48,22 @@ class Block:
     linked: int              # characters of the text inside links
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where reading goes on after the raw element ``tag`` whose content starts at ``at``: after its
+    end tag, whatever '<' its content holds, and without one at the end of the page."""
+    to = at
+    while tag in MARKED and (m := _TOKEN.search(page, to)):
+        to, name = m.end(), (m[2] or "").lower()
+        if name == tag and m[1]:
+            return to
+        if name in RAW - MARKED and not m[1] and not m[3].rstrip().endswith("/"):
+            if not (inner := _RAW_END[name].search(page, to)):
+                break
+            to = inner.end()
+    m = _RAW_END[tag].search(page, at)
+    return m.end() if m else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """DOM leaf blocks in page order.  Character references are decoded once, white space inside a
     block becomes one space, empty blocks are left out; the content of scripts, styles and other
@@ -53,7 +72,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     linked = pos = 0
-    skip = ""
 
     def flush() -> None:
         nonlocal linked
@@ -71,12 +89,8 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in scope:
                 return
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, pos):
         tag = (m[2] or "").lower()
-        if skip:
-            if tag == skip and m[1]:
-                skip, pos = "", m.end()
-            continue
         if m.start() > pos:
             piece = page[pos:m.start()]
             parts.append(piece)
@@ -87,7 +101,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW and not m[1]:
             if not m[3].rstrip().endswith("/"):
-                skip = tag
+                pos = _raw_end(page, tag, pos)
             parts.append(" ")
         elif tag in VOID:
             parts.append(" ")
@@ -115,7 +129,7 @@ def blocks(page: str) -> list[Block]:
                     close(SAME_CLOSERS[tag], SCOPE[tag])
                 if not m[3].rstrip().endswith("/"):
                     stack.append((tag, _attributes(m[3])))
-    if not skip and pos < len(page):
+    if pos < len(page):
         parts.append(page[pos:])
     flush()
     return out

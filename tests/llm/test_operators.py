@@ -57,6 +57,14 @@ def test_pages():
     assert html_crf.main_text("", crf) == "" and html_crf.main_text("<<< <p", crf) is not None
 
 
+@pytest.mark.parametrize("raw", ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>if(a<b){x()}</SCRIPT >", "<script><!-- a='</p>'</script>",
+                                 "<style>/* <a \" ' */</style>", "<script>if(a<b){x('</scripted>')}</script>", "<noscript><!-- <p '</noscript>", "<template><script>if(a<b){it's}</script>no</template>",
+                                 "<svg><style>a<b</style><!-- </svg> --><text>no</text></svg>", "<svg><path d='</svg>"])
+def test_text_after_raw_elements_stays(raw):
+    page = f"<body>{raw}<article><p>One {raw}two.</p></article>"
+    assert [b.text for b in html_crf.blocks(page)] == ["One two."]
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y")], "page_id long, html string, text string")
     assert [r["text"] for r in html_crf.extract(df).collect()] == ["", ""]
