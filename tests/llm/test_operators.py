@@ -65,6 +65,11 @@ def test_text_after_raw_elements_stays(raw):
     assert [b.text for b in html_crf.blocks(page)] == ["One two."]
 
 
+def test_text_of_formulas_and_fallbacks_stays():
+    page = "<article><p>As <math display='block'><mi>E</mi><mo>=</mo><mrow><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math> says.</p><object data=x><param name=a><p>No film here.</p></object>"
+    assert [b.text for b in html_crf.blocks(page)] == ["As E=mc2 says.", "No film here."]
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y")], "page_id long, html string, text string")
     assert [r["text"] for r in html_crf.extract(df).collect()] == ["", ""]
