@@ -2,11 +2,13 @@
 
 A text is a normalised TF-IDF vector of hashed character 1- to 3-grams of its lower-cased letters;
 each language has a few spherical k-means centroids; the prediction is the language of the closest
-centroid by cosine, and a text too far from all of them is rejected.
+centroid by cosine, and a text farther from it than held-out texts of that language with as many
+n-grams (short ones are farther) is rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,11 @@ DIMS = 4096
 CENTROIDS = 3
 #: Bounds of the fitted sample: labelled rows for each language, and rows in all.
 PER_LANGUAGE, SAMPLE_ROWS = 400, 8000
-#: A text is rejected if its cosine is below this share of the lowest one seen in fitting.
-REJECT_SHARE = 0.25
+#: A text is rejected if its cosine is below this share of a low quantile of the cosines that held-out
+#: texts of the language with about as many distinct n-grams have.
+REJECT_SHARE, REJECT_QUANTILE = 0.8, 0.02
+#: Held-out folds, held-out cosines a quantile is taken of, and where: log2 of the distinct n-grams.
+FOLDS, NEAREST, SIZES = 5, 100, np.arange(1, 13)
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])
@@ -56,7 +61,7 @@ class Model:
     of_centroid: np.ndarray   # index of the language of each centroid
     centroids: np.ndarray     # unit rows
     idf: np.ndarray
-    reject_below: np.ndarray  # by language
+    reject_below: np.ndarray  # by language and SIZES
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores (0 to 1), cosines, rejected."""
@@ -70,7 +75,12 @@ class Model:
         share = np.exp(20.0 * (best - near[:, None])).sum(1)
         score = np.where(has, np.clip(near, 0, 1) ** 0.25 / share, 0.0)
         return ([self.languages[k] if h else UNKNOWN for k, h in zip(top, has, strict=True)], score, np.where(has, near, 0.0),
-                ~has | (near < self.reject_below[top]))
+                ~has | (near < self._cut(top, (counts > 0).sum(1))))
+
+    def _cut(self, language: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        size = np.clip(np.log2(np.maximum(distinct, 1)), SIZES[0], SIZES[-1]) - SIZES[0]
+        low = np.minimum(size.astype(int), len(SIZES) - 2)
+        return self.reject_below[language, low] * (1 - size + low) + self.reject_below[language, low + 1] * (size - low)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -88,6 +98,38 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
+def _idf(x: np.ndarray) -> np.ndarray:
+    return (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+
+
+def _reject_below(x: np.ndarray, starts: np.ndarray, y: np.ndarray, languages: int, centroids: int) -> np.ndarray:
+    """Thresholds by language and ``SIZES``.  Rows of ``x`` (log counts) and ``starts`` (of the beginnings
+    of the same texts, zero if without a letter) meet centroids that were fitted without their fold."""
+    fold = np.zeros(len(y), int)
+    for k in range(languages):
+        fold[y == k] = np.arange((y == k).sum()) % FOLDS
+    cos, size = np.full((2, len(y)), np.nan), np.zeros((2, len(y)))
+    for f in range(FOLDS):
+        idf = _idf(x[fold != f])
+        for k in range(languages):
+            own, rest = np.flatnonzero((y == k) & (fold == f)), (y == k) & (fold != f)
+            if not len(own) or not rest.any():
+                continue
+            centers = _clusters(_unit(x[rest] * idf), centroids)
+            for i, rows in enumerate((x[own], starts[own].astype(np.float32))):
+                distinct = (rows > 0).sum(1)
+                cos[i, own] = np.where(distinct > 0, (_unit(rows * idf) @ centers.T).max(1), np.nan)
+                size[i, own] = np.log2(np.maximum(distinct, 1))
+    out = np.zeros((languages, len(SIZES)))
+    for k in range(languages):
+        c, s = cos[:, y == k].ravel(), size[:, y == k].ravel()
+        c, s = c[~np.isnan(c)], s[~np.isnan(c)]
+        for i, at in enumerate(SIZES):
+            if len(c):  # a language with one text has no threshold
+                out[k, i] = REJECT_SHARE * np.quantile(c[np.argsort(np.abs(s - at), kind="stable")[:NEAREST]], REJECT_QUANTILE)
+    return out
+
+
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """A bounded sample ``(text, lang)`` of rows ``(text, lang)``, spread over the languages, by the
     hash of the text.  Only hashes are ranked; the chosen texts are fetched afterwards."""
@@ -104,22 +146,26 @@ def fit(labelled: DataFrame, dims: int = DIMS, centroids: int = CENTROIDS) -> Mo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 1 << 19, 256):
-                x, has = grams(b.column("text").to_pylist(), dims)
-                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in np.log1p(x)], pa.binary()), pa.array(has)], names=["lang", "x", "has"])
+                texts = b.column("text").to_pylist()
+                x, has = grams(texts, dims)
+                starts, _ = grams([t[:4 << zlib.crc32(t.encode("utf-8", "surrogatepass")) % 8] for t in texts], dims)
+                packed = [pa.array([r.astype(np.float16).tobytes() for r in np.log1p(c)], pa.binary()) for c in (x, starts)]
+                yield pa.RecordBatch.from_arrays([b.column("lang"), *packed, pa.array(has)], names=["lang", "x", "start", "has"])
 
-    got = sample(labelled).mapInArrow(count, "lang string, x binary, has boolean").filter("has").toArrow()
+    got = sample(labelled).mapInArrow(count, "lang string, x binary, start binary, has boolean").filter("has").toArrow()
     langs = got.column("lang").to_pylist()
     order = sorted(range(len(langs)), key=lambda i: (langs[i], got.column("x")[i].as_py()))  # the same model whatever the order of rows
     names = sorted(set(langs))
     if not names:
-        return Model([UNKNOWN], np.zeros(1, int), np.zeros((1, dims), np.float32), np.ones(dims, np.float32), np.ones(1))
+        return Model([UNKNOWN], np.zeros(1, int), np.zeros((1, dims), np.float32), np.ones(dims, np.float32), np.ones((1, len(SIZES))))
     x = np.stack([np.frombuffer(got.column("x")[i].as_py(), np.float16) for i in order]).astype(np.float32)
     y = np.array([names.index(langs[i]) for i in order])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    starts = np.stack([np.frombuffer(got.column("start")[i].as_py(), np.float16) for i in order])
+    reject_below = _reject_below(x, starts, y, len(names), centroids)
+    idf = _idf(x)
     x = _unit(x * idf)
     parts = [_clusters(x[y == k], centroids) for k in range(len(names))]
-    lowest = np.array([(x[y == k] @ parts[k].T).max(1).min() for k in range(len(names))])
-    return Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.vstack(parts), idf, REJECT_SHARE * lowest)
+    return Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.vstack(parts), idf, reject_below)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -1,13 +1,17 @@
 """Small tables with nulls, empties, ties, repeats, clashing columns and planted cases."""
 
+import base64
 import hashlib
+import inspect
 import random
+import string
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
+from strata.llm.common import id_fold
 from strata.llm.queries import TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,6 +143,19 @@ def test_languages(spark):
     assert empty.predict(["abc"])[3].all()
 
 
+def test_unlearned_languages_go_and_held_out_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", id_fold("doc_id", 3) == 1)
+    model = language.fit(docs.filter("not held").select("text", "lang"))
+    rnd = random.Random(7)
+    foreign = ["Il governo ha annunciato ieri che le nuove misure entreranno in vigore dal prossimo anno, mentre le opposizioni chiedono un dibattito in parlamento.",
+               "Rząd ogłosił wczoraj, że nowe przepisy wejdą w życie w przyszłym roku, podczas gdy opozycja domaga się debaty w parlamencie.",
+               "Hükümet dün yeni önlemlerin gelecek yıldan itibaren yürürlüğe gireceğini duyurdu, muhalefet ise mecliste bir tartışma istiyor.",
+               inspect.getsource(language.grams), base64.b64encode(rnd.randbytes(900)).decode(), " ".join("".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(80))]
+    assert model.predict(foreign)[3].all()
+    held = language.identify(docs.filter("held and text rlike '[a-z]'"), model).select("rejected").collect()
+    assert len(held) > 250 and sum(r["rejected"] for r in held) <= len(held) // 100
+
+
 def test_jaccard_against_brute_force(docs):
     got = {r["doc_id"]: r for r in jaccard.join(docs).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id is not null").collect()}
