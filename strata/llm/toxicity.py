@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import mix64, ranges, slices, small_batches, whole_text
 
-WINDOW, STRIDE = 24, 18
+WINDOW = 24
+#: Windows of a text that start in the same run of this many words teach once, by their best.
+TEACH = 12
 WORD_ROWS, CHAR_ROWS = 32768, 16384
 EMBED, HIDDEN = 10, 8
 #: Bounds of the fitted sample: rows of each label, and characters of a row that may be in it.
@@ -70,13 +72,12 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray]:
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, words) of every window: they overlap, and together cover each text."""
-    count = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1) * (sizes > 0)
+    """(text, first word, words) of every window: one starts at each word that a whole window follows,
+    and a shorter text is one window."""
+    count = np.maximum(1, sizes - WINDOW + 1) * (sizes > 0)
     text = np.repeat(np.arange(len(sizes)), count)
-    nth = ranges(np.zeros(len(sizes), np.int64), count)
-    start = np.minimum(nth * STRIDE, np.maximum(sizes[text] - WINDOW, 0))
     base = np.cumsum(sizes) - sizes
-    return text, base[text] + start, np.minimum(WINDOW, sizes[text])
+    return text, ranges(base, count), np.minimum(WINDOW, sizes[text])
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,25 +109,37 @@ class Net:
         return np.concatenate([self.p["word"][words.word], words.mean_grams(self.p["char"])], axis=1)
 
     def logits(self, words: Words, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Of windows; word projections are computed once for each distinct word."""
+        """Of windows in order of their starts.  Words are projected once for each distinct word; whole
+        windows that start side by side share their rows, and positions between texts are left out."""
         if not len(start):
             return np.zeros(0, np.float32)
         x = self.inputs(words)
-        proj = {d: np.vstack([x @ self.p[f"w{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for d in "fb"}
+        proj, mix = {}, {}
+        for d, i in (("f", 0), ("b", HIDDEN)):
+            proj[d] = np.vstack([(x @ self.p[f"w{d}"] + self.p[f"c{d}"]) * _SIGN, np.zeros((1, 3 * HIDDEN), np.float32)])
+            mix[d] = np.vstack([(self.p[f"u{d}"] * _SIGN).T, *(self.p[k][None, i:i + HIDDEN] for k in ("pool", "out"))])
         out = np.empty(len(start), np.float32)
-        pool, h = self.p["pool"], HIDDEN
-        for lo in range(0, len(start), 1024):
-            s, n = start[lo:lo + 1024], size[lo:lo + 1024]
-            t = np.arange(int(n.max()))[:, None]
-            on = t < n
-            at = np.where(on, codes[np.minimum(s + t, len(codes) - 1)], len(x))
-            f, b = _gru_fast(proj["f"], self.p["uf"], at, on), _gru_fast(proj["b"], self.p["ub"], at[::-1], on[::-1])[::-1]
-            a = np.where(on, np.einsum("thb,h->tb", f, pool[:h]) + np.einsum("thb,h->tb", b, pool[h:]), -1e9)
-            a = np.exp(a - a.max(0))
-            a /= a.sum(0)
-            out[lo:lo + 1024] = (np.einsum("thb,h,tb->b", f, self.p["out"][:h], a, optimize=["einsum_path", (0, 1), (0, 1)])
-                                 + np.einsum("thb,h,tb->b", b, self.p["out"][h:], a, optimize=["einsum_path", (0, 1), (0, 1)]) + self.p["bias"])
-        return out
+        whole, short = np.flatnonzero(size == WINDOW), np.flatnonzero(size < WINDOW)
+        lo = 0
+        while lo < len(whole):
+            first = start[whole[lo]]
+            these = whole[lo:lo + int(np.searchsorted(start[whole[lo:lo + 1024]], first + 1024))]
+            n = int(start[these[-1]] - first) + 1
+            g = {d: np.ascontiguousarray(proj[d][codes[first:first + n + WINDOW - 1]].T) for d in "fb"}
+            steps = [slice(t, t + n) for t in range(WINDOW)]
+            both = _gru_heads([g["f"][:, t] for t in steps], mix["f"]) + _gru_heads([g["b"][:, t] for t in steps[::-1]], mix["b"])[::-1]
+            out[these] = _pooled(both)[start[these] - first]
+            lo += len(these)
+        for lo in range(0, len(short), 1024):
+            these = short[lo:lo + 1024]
+            t = np.arange(int(size[these].max()))[:, None]
+            on = t < size[these]
+            at = np.where(on, codes[np.minimum(start[these] + t, len(codes) - 1)], len(x))
+            g = {d: proj[d][at].transpose(0, 2, 1) for d in "fb"}
+            both = _gru_heads(g["f"], mix["f"], on) + _gru_heads(g["b"][::-1], mix["b"], on[::-1])[::-1]
+            both[:, 0] = np.where(on, both[:, 0], -1e9)
+            out[these] = _pooled(both)
+        return out + self.p["bias"]
 
     def step(self, words: Words, at: np.ndarray, on: np.ndarray, y: np.ndarray, shown: np.ndarray) -> dict:
         """Gradient of the mean log loss of a batch of windows ``at`` (rows of word numbers); words
@@ -165,39 +178,40 @@ class Net:
         return g
 
 
-def _quick_tanh(x):
-    """x (27 + x^2) / (27 + 9 x^2) within -3..3: at most 0.03 off, far cheaper than exp."""
-    x = np.clip(x, -3, 3)
-    q = x * x
-    x *= q + 27
-    q *= 9
-    q += 27
-    x /= q
-    return x
-
-
-def _gru_fast(proj, u, at, on):
-    """States (steps x hidden x windows) of the network over word rows ``at`` (steps x windows)."""
-    s = HIDDEN
-    steps, n = at.shape
-    g = np.ascontiguousarray(np.take(proj, at.ravel(), axis=0).reshape(steps, n, 3 * s).transpose(0, 2, 1))
-    ut, h = np.ascontiguousarray(u.T), np.zeros((s, n), np.float32)
-    out, full = np.empty((steps, s, n), np.float32), on.all(1)
-    for t in range(steps):
-        r = ut @ h
-        zq = g[t, :2 * s]
-        zq += r[:2 * s]
-        zq *= 0.5
-        zq = _quick_tanh(zq)
-        zq += 1
-        zq *= 0.5
-        new = r[2 * s:]
-        new *= zq[s:]
-        new += g[t, 2 * s:]
-        new = _quick_tanh(new)
-        nh = new + zq[:s] * (h - new)
-        h = nh if full[t] else np.where(on[t], nh, h)
-        out[t] = h
+#: Signs and scales of the gates' arguments, so that each gate is one exponential.
+_SIGN = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+
+
+def _pooled(heads: np.ndarray) -> np.ndarray:
+    a = np.exp(heads[:, 0] - heads[:, 0].max(0))
+    return (a * heads[:, 1]).sum(0) / a.sum(0)
+
+
+def _gru_heads(g, mix, on=None) -> np.ndarray:
+    """Products (steps x 2 x windows) of the last rows of ``mix`` with the states of the network, whose
+    inputs are ``g`` (by step: gates x windows); a window that isn't ``on`` keeps its state."""
+    s, n = HIDDEN, g[0].shape[1]
+    h, r = np.zeros((s, n), np.float32), np.zeros((len(mix), n), np.float32)
+    zq, out = np.empty((2 * s, n), np.float32), np.empty((len(g), len(mix) - 3 * s, n), np.float32)
+    with np.errstate(over="ignore"):
+        for t, x in enumerate(g):
+            np.add(x[:2 * s], r[:2 * s], out=zq)
+            np.exp(zq, out=zq)
+            zq += 1
+            np.reciprocal(zq, out=zq)
+            new = r[2 * s:3 * s]
+            new *= zq[s:]
+            new += x[2 * s:]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1  # the hyperbolic tangent
+            nh = h - new
+            nh *= zq[:s]
+            nh += new
+            h = nh if on is None else np.where(on[t], nh, h)
+            np.matmul(mix, h, out=r)
+            out[t] = r[3 * s:]
     return out
 
 
@@ -266,6 +280,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
     rng = np.random.default_rng(seed)
     codes, words, sizes = tokens(texts)
     text, start, size = windows(sizes)
+    run = (start - (np.cumsum(sizes) - sizes)[text]) // TEACH
     net = Net.fresh()
     if len(set(y[sizes > 0].tolist())) < 2:
         return Model(net, 1.0, 30.0)
@@ -302,7 +317,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 7, batch: int = 96, rat
     for phase in range(3):
         if phase:
             guess = net.logits(words, codes, start, size)
-        order = np.lexsort([-guess, text])
+        order = np.lexsort([-guess, run, text])
+        order = order[np.r_[True, (np.diff(text[order]) != 0) | (np.diff(run[order]) != 0)]]
+        order = order[np.lexsort([-guess[order], text[order]])]
         nth = np.arange(len(order)) - np.searchsorted(text[order], text[order], "left")
         positive = order[(taught[text[order]] == 1) & (nth < 2) & (guess[order] > (0 if not phase else -1))]
         spare = rng.permutation(np.flatnonzero(taught[text] == 0))

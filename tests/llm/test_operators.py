@@ -230,6 +230,43 @@ def test_toxicity_learns_and_handles_empties(spark):
     assert sum(got[i] == i % 2 for i in range(500, 600)) >= 90
 
 
+def _net_and_logit():
+    net = toxicity.Net.fresh()
+
+    def logit(text):
+        """By the network that training uses."""
+        codes, some, _ = toxicity.tokens([text])
+        x, on = net.inputs(some)[codes][None], np.ones((1, len(codes)), bool)
+        hs = {d: toxicity._gru_forward(x[:, t] @ net.p[f"w{d}"] + net.p[f"c{d}"], net.p[f"u{d}"], on[:, t])[0][:, t] for d, t in (("f", slice(None)), ("b", slice(None, None, -1)))}
+        both = np.concatenate([hs["f"], hs["b"]], axis=2)
+        a = np.exp(both @ net.p["pool"])
+        return float((((a / a.sum(1, keepdims=True))[:, :, None] * both).sum(1) @ net.p["out"] + net.p["bias"])[0])
+
+    return net, logit
+
+
+def test_every_window_start_is_scored_as_in_training():
+    net, logit = _net_and_logit()
+    texts = [words(40, 60), "one two", "", words(41, 24), "x", words(42, 1400), words(43, 25)]
+    codes, some, sizes = toxicity.tokens(texts)
+    text, start, size = toxicity.windows(sizes)
+    assert [(text == i).sum() for i in range(7)] == [37, 1, 0, 1, 1, 1377, 2]
+    flat = " ".join(texts).split()
+    got = net.logits(some, codes, start, size)
+    assert max(abs(got[i] - logit(" ".join(flat[start[i]:start[i] + size[i]]))) for i in range(0, len(got), 7)) < 1e-5
+
+
+def test_a_passage_counts_wherever_it_stands():
+    net, logit = _net_and_logit()
+    passage, filler = words(50, toxicity.WINDOW), ["a"] * 120
+    if logit(passage) < logit("a " * toxicity.WINDOW):
+        net.p["out"] *= -1
+    texts = [" ".join(filler[:i]) + f" {passage} " + " ".join(filler[i:]) for i in range(40)]
+    model = toxicity.Model(net, 1.0, 0.0)
+    least = toxicity._sigmoid(logit(passage))
+    assert (model.score(texts) >= least - 1e-6).all()
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 12)) * rng.choice([0.1, 1, 30], size=(600, 1))
