@@ -29,6 +29,8 @@ WORD_ROWS, CHAR_ROWS = 32768, 16384
 EMBED, HIDDEN = 10, 8
 #: Bounds of the fitted sample: rows of each label, and characters of a row that may be in it.
 PER_LABEL, SAMPLE_CHARS = 1500, 20_000
+#: Parts of a label that are ranked on their own first.
+SALTS = 64
 #: Share of words hidden from the network at each training step.
 HIDE = 0.15
 LEAST_TEXTS = 3
@@ -264,11 +266,15 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bounded ``(text, toxic)`` rows: for each label the first ids by hash.  Only ids are ranked, so
-    no text is shuffled; an id labelled both ways counts as toxic."""
+    """Bounded ``(text, toxic)`` rows: for each label the first ids by hash.  Only ids are ranked, first
+    within ``SALTS`` parts of a label and then those left, so no text is shuffled and no task ranks all
+    rows of a label; an id labelled both ways counts as toxic."""
     one = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id"))
-    picked = one.withColumn("_r", rank).filter(F.col("_r") <= per_label).select("_id", "toxic")
+    first = one.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    for part in (["toxic", "_salt"], ["toxic"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64("_id"), "_id"))
+        first = first.withColumn("_r", rank).filter(F.col("_r") <= per_label)
+    picked = first.select("_id", "toxic")
     return docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).filter(F.length(text_col).between(1, max_chars)).select(F.col(text_col).alias("text"), "toxic")
 
 

@@ -230,6 +230,16 @@ def test_toxicity_learns_and_handles_empties(spark):
     assert sum(got[i] == i % 2 for i in range(500, 600)) >= 90
 
 
+def test_sample_ranks_a_label_in_parts(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    got = toxicity.sample(docs, labels, per_label=5)
+    first = labels.orderBy(F.xxhash64("doc_id"))
+    want = {(f"t {r['doc_id']}", y) for y in (0, 1) for r in first.filter(f"toxic = {y}").limit(5).collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _net_and_logit():
     net = toxicity.Net.fresh()
 
