@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
+from strata.llm import ann, bpe, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
 from strata.llm.common import id_fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def _secrets_sql() -> str:
     def spans(rank: int, r: secrets.Rule) -> str:
         p = "'" + r.pattern.replace("'", "''") + "'"
@@ -111,5 +115,5 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format, op12_bpe_round_trip)}
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
