@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, bpe, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
+from strata.llm import ann, bpe, chat, decontam, html_crf, jaccard, language, packing, periods, repeats, secrets, toxicity, variants
 from strata.llm.common import id_fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,10 +76,46 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def with_lost_letters(runs: DataFrame) -> DataFrame:
+    """The contract's input: a run whose crc32 with its document's id is a multiple of 31 loses one letter."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (h % F.length("word")).cast("int") + 1
+    return runs.select(F.when(h % 31 == 0, F.overlay("word", F.lit(""), at, F.lit(1))).otherwise(F.col("word")).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.letter_runs(table(spark, sf_dir, "documents"))  # a run only loses letters, so shorter ones don't matter
+    return variants.group(variants.count_words(with_lost_letters(runs)))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """The contract's input: in documents whose crc32 of the id is a multiple of 10 the words from
+    number ``a`` on go round the first ``p`` of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.greatest(F.size(words), F.lit(1)), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    cycled = F.concat(F.slice(words, F.lit(1), a), F.slice(turns, F.lit(1), n - a))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.size(words) > 0), F.array_join(cycled, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.runs(with_cycles(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("b.less"), F.col("b.period")
+    return found.select("doc_id", "n_runs", F.col("b.start").alias("start"), length.alias("length"), period.alias("period"),
+                        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def _secrets_sql() -> str:
     def spans(rank: int, r: secrets.Rule) -> str:
         p = "'" + r.pattern.replace("'", "''") + "'"
@@ -115,5 +151,5 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format, op12_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format, op11_spelling_variants, op12_bpe_round_trip, op13_periodic_runs)}
 ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
