@@ -7,12 +7,13 @@ results compare exactly across engines.  Inputs:
 * points      embeddings -> (id = vec_id, features = embedding as array<double>, label)
 * sparse      the same with |x| < 0.1 set to zero, stored sparse
 * edges       src = l_orderkey, dst = l_partkey from lineitem, every row
-              rows with l_returnflag = 'R' and l_quantity > 40
+* hub edges   the edges and one vertex, -1, with an edge to the part of every lineitem row
 * centers     the 10 points with the lowest vec_id
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ from strata.operators import vectors as VO
 from strata.plans import graph as GP
 from strata.plans import kmeans as KM
 from strata.plans import tree as TR
+from strata.session import checkpoint_dir
+from strata.sources import files as FI
 from strata.sources import text_formats as TF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +83,21 @@ def edges(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
+def hub_edges(spark, d) -> DataFrame:
+    e = edges(spark, d)
+    return e.unionByName(e.select(F.lit(-1).cast("long").alias("src"), "dst"))
+
+
+def weighted_edges(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"),
+                                              F.col("l_quantity").cast("double").alias("attr"))
+
+
+def shared_path(spark, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def lowest_centers(spark, d) -> DataFrame:
     return KM.initial_centers_lowest(points(spark, d), K_CENTERS)
 
@@ -95,6 +113,7 @@ PTS_LONG = f"(SELECT id, unnest(range(len(f))) AS pos, unnest(f) AS x FROM {PTS}
 THR = f"(SELECT id, label, [CASE WHEN abs(x) < {SPARSE_EPS} THEN 0.0 ELSE x END for x in f] AS f FROM {PTS})"
 SP_LONG = f"(SELECT id, label, pos, x FROM (SELECT id, label, unnest(range(len(f))) AS pos, unnest(f) AS x FROM {THR}) WHERE x <> 0)"
 EDGES = "(SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem)"
+HUB_EDGES = f"(SELECT * FROM {EDGES} UNION ALL SELECT -1, l_partkey FROM lineitem)"
 VERTS = f"(SELECT src AS id FROM {EDGES} UNION SELECT dst FROM {EDGES})"
 CENTERS0 = f"(SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cid, f AS c FROM (SELECT * FROM {PTS} ORDER BY id LIMIT {K_CENTERS}))"
 TOKS = f"(SELECT doc_id, {Q.tokens()} AS tk FROM documents)"
@@ -206,20 +225,23 @@ def q_hash_collisions(spark, d):
     return X.hash_collisions(docs(spark, d))
 
 
-_IDF_SQL_BODY = f"""
-tf AS ({_htf_sql(_MM_TERMS, None)}),
-m AS (SELECT count(*) AS m FROM documents),
-idf AS (SELECT idx, count(*)::BIGINT AS doc_freq, ln((m.m + 1.0) / (count(*) + 1.0)) AS idf FROM tf, m GROUP BY idx, m.m)"""
+def _tfidf_ctes() -> str:
+    """Each step once: term counts, hashes of the distinct terms, term frequencies, idf."""
+    murmur, rel = Q.murmur3_ctes("(SELECT DISTINCT term FROM tc)")
+    return f"""tc AS MATERIALIZED {TERM_COUNTS}, {murmur},
+mm AS MATERIALIZED (SELECT term, {Q.pmod('h', H.DEFAULT_NUM_FEATURES)}::INTEGER AS idx FROM {rel}),
+tf AS MATERIALIZED (SELECT tc.doc_id, mm.idx, sum(tc.tf)::DOUBLE AS tf FROM tc JOIN mm USING (term) GROUP BY tc.doc_id, mm.idx),
+idf AS MATERIALIZED (SELECT idx, count(*)::BIGINT AS doc_freq, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) AS idf FROM tf GROUP BY idx)"""
 
 
-@register("idf_fit", f"WITH {_MM_CTES}, {_IDF_SQL_BODY} SELECT idx, doc_freq, {rs('idf')} AS idf FROM idf")
+@register("idf_fit", f"WITH {_tfidf_ctes()} SELECT idx, doc_freq, {rs('idf')} AS idf FROM idf")
 def q_idf_fit(spark, d):
     dd = docs(spark, d)
     idf = X.idf_fit(X.hashing_tf(dd), documents=dd)
     return idf.select("idx", "doc_freq", R("idf").alias("idf"))
 
 
-@register("tfidf", f"WITH {_MM_CTES}, {_IDF_SQL_BODY} SELECT tf.doc_id, tf.idx, tf.tf, {rs('idf.idf')} AS idf, "
+@register("tfidf", f"WITH {_tfidf_ctes()} SELECT tf.doc_id, tf.idx, tf.tf, {rs('idf.idf')} AS idf, "
                    f"{rs('tf.tf * idf.idf')} AS tfidf FROM tf JOIN idf USING (idx)")
 def q_tfidf(spark, d):
     t = X.tfidf_job(docs(spark, d))
@@ -381,6 +403,40 @@ def q_pairwise_distance(spark, d):
     return sq.join(dt, "id").select("id", R("sqdist").alias("sqdist"), R("dot").alias("dot"))
 
 
+_PAIR_KINDS = [("dense", "dense"), ("dense", "sparse"), ("sparse", "dense"), ("sparse", "sparse")]
+
+
+def _pair_sql(body) -> str:
+    rel = {"dense": PTS, "sparse": THR}
+    return " UNION ALL ".join(
+        f"SELECT a.id, '{x}' AS left_kind, '{y}' AS right_kind, {body} FROM {rel[x]} a JOIN (SELECT id - 1 AS id, f FROM {rel[y]}) b USING (id)"
+        for x, y in _PAIR_KINDS)
+
+
+def _pair_queries(spark, d, make) -> DataFrame:
+    kinds = {"dense": points(spark, d).select("id", "features"), "sparse": sparse_points(spark, d).select("id", "features")}
+    out = None
+    for x, y in _PAIR_KINDS:
+        got = make(kinds[x], kinds[y].withColumn("id", F.col("id") - 1)).withColumn("left_kind", F.lit(x)).withColumn("right_kind", F.lit(y))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("pairwise_sqdist_mixed", _pair_sql(f"{rs(sqdist_sql('a.f', 'b.f'))} AS sqdist"))
+def q_pairwise_sqdist_mixed(spark, d):
+    return _pair_queries(spark, d, lambda a, b: LA.pairwise_sqdist(a, b, "id").withColumn("sqdist", R("sqdist")))
+
+
+@register("pairwise_dot_mixed", _pair_sql(f"{rs('list_dot_product(a.f, b.f)')} AS dot"))
+def q_pairwise_dot_mixed(spark, d):
+    return _pair_queries(spark, d, lambda a, b: LA.pairwise_dot(a, b, "id").withColumn("dot", R("dot")))
+
+
+@register("pairwise_sqdist_from_norms", _pair_sql(f"{rs(sqdist_sql('a.f', 'b.f'))} AS sqdist"))
+def q_pairwise_sqdist_from_norms(spark, d):
+    return _pair_queries(spark, d, lambda a, b: LA.pairwise_sqdist_from_norms(a, b, "id").withColumn("sqdist", R("sqdist")))
+
+
 # ---- k-means: unrolled Lloyd steps for the oracle
 
 def _assign_sql(centers_rel: str) -> str:
@@ -497,15 +553,41 @@ def q_kmeans_fit_blocks(spark, d):
     return centers_long(KM.kmeans_fit_blocks(blocks, lowest_centers(spark, d), N_ITER))
 
 
-@register("kmeans_fit")
+def _centers_values_sql(rel: str) -> str:
+    return f"SELECT cid::INTEGER AS center_id, unnest(range(len(c)))::BIGINT AS pos, unnest([{rs('x')} for x in c]) AS value FROM {rel}"
+
+
+_EPS, _FIT_ITER, _STEPS = 1e-4, 20, 2
+
+
+def _random_ctes(seed: int) -> tuple[list[str], str]:
+    return Q.random_centers("p", K_CENTERS, seed)
+
+
+def _parallel_ctes(seed: int) -> tuple[list[str], str]:
+    return Q.parallel_centers("p", K_CENTERS, _STEPS, seed)
+
+
+def _start_sql(start, seed: int) -> str:
+    ctes, rel = start(seed)
+    return "WITH " + ", ".join([f"p AS MATERIALIZED (SELECT id, f FROM {PTS})", *ctes]) + " " + _centers_values_sql(rel)
+
+
+def _fit_sql(start, seed: int) -> str:
+    ctes, rel = start(seed)
+    more, last = Q.lloyd_until("p", rel, _FIT_ITER, _EPS)
+    return "WITH " + ", ".join([f"p AS MATERIALIZED (SELECT id, f FROM {PTS})", *ctes, *more]) + " " + _centers_values_sql(last)
+
+
+@register("kmeans_fit", _fit_sql(_parallel_ctes, 7))
 def q_kmeans_fit(spark, d):
-    c = KM.kmeans_fit(points(spark, d), k=K_CENTERS, max_iter=20, init="k-means||", seed=7)
+    c = KM.kmeans_fit(points(spark, d), k=K_CENTERS, max_iter=_FIT_ITER, init="k-means||", seed=7)
     return centers_long(c)
 
 
-@register("kmeans_fit_random")
+@register("kmeans_fit_random", _fit_sql(_random_ctes, 7))
 def q_kmeans_fit_random(spark, d):
-    return centers_long(KM.kmeans_fit(points(spark, d), k=K_CENTERS, max_iter=20, init="random", seed=7))
+    return centers_long(KM.kmeans_fit(points(spark, d), k=K_CENTERS, max_iter=_FIT_ITER, init="random", seed=7))
 
 
 @register("kmeans_fit_ml")
@@ -513,14 +595,39 @@ def q_kmeans_fit_ml(spark, d):
     return centers_long(KM.kmeans_fit_ml(points(spark, d), k=K_CENTERS, max_iter=20, seed=7))
 
 
-@register("kmeans_init_random")
+@register("kmeans_init_random", _start_sql(_random_ctes, 3))
 def q_kmeans_init_random(spark, d):
     return centers_long(KM.kmeans_init_random(points(spark, d), K_CENTERS, seed=3))
 
 
-@register("kmeans_init_parallel")
+@register("kmeans_init_parallel", _start_sql(_parallel_ctes, 3))
 def q_kmeans_init_parallel(spark, d):
-    return centers_long(KM.kmeans_init_parallel(points(spark, d), K_CENTERS, steps=2, seed=3))
+    return centers_long(KM.kmeans_init_parallel(points(spark, d), K_CENTERS, steps=_STEPS, seed=3))
+
+
+def _candidates_sql(seed: int) -> str:
+    ctes, rel = Q.parallel_candidates("p", K_CENTERS, _STEPS, seed)
+    return "WITH " + ", ".join([f"p AS MATERIALIZED (SELECT id, f FROM {PTS})", *ctes]) + " " + _centers_values_sql(rel)
+
+
+@register("kmeans_candidates", _candidates_sql(3))
+def q_kmeans_candidates(spark, d):
+    return centers_long(KM.parallel_candidates(points(spark, d), K_CENTERS, steps=_STEPS, seed=3))
+
+
+def _reduce_sql(seed: int) -> str:
+    ctes, rel = Q.reduced_centers("q", K_CENTERS, seed, KM.REDUCE_STEPS)
+    weighed = f"q AS MATERIALIZED (SELECT id AS cid, f AS c, (1 + label)::DOUBLE AS w FROM {PTS})"
+    return "WITH " + ", ".join([weighed, *ctes]) + " " + _centers_values_sql(rel)
+
+
+@register("kmeans_reduce_candidates", _reduce_sql(5))
+def q_kmeans_reduce_candidates(spark, d):
+    """Every point is a candidate, weighted by its label."""
+    p = points(spark, d)
+    cands = p.select(F.col("id").alias("center_id"), F.col("features").alias("center"))
+    weights = p.select(F.col("id").alias("cluster"), (F.col("label") + 1).alias("size"))
+    return centers_long(KM.kmeans_reduce_candidates(cands, weights, K_CENTERS, seed=5))
 
 
 @register("gram_matrix", f"""SELECT a.pos::BIGINT AS i, b.pos::BIGINT AS j, {rs('sum(a.x * b.x)', 4)} AS v
@@ -689,6 +796,20 @@ def q_adjacency(spark, d):
     return ex.select("src", "chunk", F.col("k").cast("long"), "dst", "degree", "offset")
 
 
+_HUB_CHUNK = 4096
+
+
+@register("adjacency_hub", f"""WITH a AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k,
+row_number() OVER (ORDER BY src, dst) - 1 AS g FROM {HUB_EDGES}),
+c AS (SELECT src, (k // {_HUB_CHUNK})::INTEGER AS chunk, (k % {_HUB_CHUNK})::BIGINT AS k, dst, g FROM a),
+o AS (SELECT src, chunk, count(*)::BIGINT AS degree, min(g)::BIGINT AS "offset" FROM c GROUP BY src, chunk)
+SELECT c.src, c.chunk, c.k, c.dst, o.degree, o."offset" FROM c JOIN o USING (src, chunk)""")
+def q_adjacency_hub(spark, d):
+    a = G.adjacency(hub_edges(spark, d), max_chunk=_HUB_CHUNK)
+    ex = a.select("src", "chunk", "degree", "offset", F.posexplode("dsts").alias("k", "dst"))
+    return ex.select("src", "chunk", F.col("k").cast("long"), "dst", "degree", "offset")
+
+
 _VDEG = f"(SELECT v.id, coalesce(o.n, 0)::BIGINT AS attr FROM {VERTS} v LEFT JOIN (SELECT src, count(*) AS n FROM {EDGES} GROUP BY src) o ON v.id = o.src)"
 
 
@@ -706,6 +827,14 @@ def q_triplets(spark, d):
     return G.triplets(e, _vdeg(spark, d)).select("src", "dst", "attr", "src_attr", "dst_attr")
 
 
+@register("triplets_hub", f"""SELECT e.src, e.dst, (s.id % 7)::BIGINT AS src_attr, (t.id % 7)::BIGINT AS dst_attr FROM {HUB_EDGES} e
+JOIN (SELECT src AS id FROM {HUB_EDGES} UNION SELECT dst FROM {HUB_EDGES}) s ON e.src = s.id JOIN {VERTS} t ON e.dst = t.id""")
+def q_triplets_hub(spark, d):
+    e = hub_edges(spark, d)
+    v = G.map_vertices(G.graph_from_edges(e), (F.col("id") % 7).cast("long"))
+    return G.triplets(e, v, threshold=5000).select("src", "dst", "src_attr", "dst_attr")
+
+
 @register("aggregate_messages", f"""SELECT e.dst AS id, sum(s.attr)::BIGINT AS msg FROM {EDGES} e JOIN {_VDEG} s ON e.src = s.id
 JOIN {_VDEG} t ON e.dst = t.id WHERE s.attr > t.attr GROUP BY e.dst""")
 def q_aggregate_messages(spark, d):
@@ -734,8 +863,37 @@ def q_bfs_pregel(spark, d):
     return GP.bfs_pregel(edges(spark, d), ROOT)
 
 
-def _pagerank_sql(n: int, reset: float = 0.15) -> str:
-    ctes = [f"e AS {EDGES}", f"v AS {VERTS}",
+@register("bfs_hub", f"""WITH RECURSIVE e AS {HUB_EDGES}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+r(id, d) AS (SELECT id, 0 FROM v WHERE id = -1 UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id WHERE r.d < 2000)
+SELECT v.id, coalesce(min(r.d)::DOUBLE, 'inf'::DOUBLE) AS dist FROM v LEFT JOIN r USING (id) GROUP BY v.id""")
+def q_bfs_hub(spark, d):
+    return GP.bfs(hub_edges(spark, d), -1, partitions=8)
+
+
+_BOTH_WAYS = f"(SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES})"
+
+
+@register("connected_components", f"""WITH RECURSIVE e AS MATERIALIZED {_BOTH_WAYS},
+r(id, c) USING KEY (id) AS (SELECT id, id FROM {VERTS}
+UNION SELECT e.dst, min(r.c) FROM r JOIN e ON e.src = r.id JOIN recurring.r AS now ON now.id = e.dst WHERE r.c < now.c GROUP BY e.dst)
+SELECT id, c AS component FROM r""")
+def q_connected_components(spark, d):
+    return GP.connected_components(edges(spark, d))
+
+
+_WEIGHTED = "(SELECT l_orderkey AS src, l_partkey AS dst, l_quantity::DOUBLE AS w FROM lineitem)"
+
+
+@register("shortest_paths", f"""WITH RECURSIVE e AS MATERIALIZED {_WEIGHTED},
+r(id, d) USING KEY (id) AS (SELECT id, CASE WHEN id = {ROOT} THEN 0.0 ELSE 'inf'::DOUBLE END FROM {VERTS}
+UNION SELECT e.dst, min(r.d + e.w) FROM r JOIN e ON e.src = r.id JOIN recurring.r AS now ON now.id = e.dst WHERE r.d + e.w < now.d GROUP BY e.dst)
+SELECT id, d AS dist FROM r""")
+def q_shortest_paths(spark, d):
+    return GP.shortest_paths(weighted_edges(spark, d), ROOT)
+
+
+def _pagerank_sql(n: int, reset: float = 0.15, edges_sql: str = EDGES) -> str:
+    ctes = [f"e AS {edges_sql}", "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)",
             "od AS (SELECT src, count(*) AS n FROM e GROUP BY src)",
             "r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"]
     for i in range(1, n + 1):
@@ -750,6 +908,11 @@ def q_static_pagerank(spark, d):
     return GP.static_pagerank(edges(spark, d), PR_ITER).select("id", R("rank").alias("rank"))
 
 
+@register("static_pagerank_hub", _pagerank_sql(PR_ITER, edges_sql=HUB_EDGES))
+def q_static_pagerank_hub(spark, d):
+    return GP.static_pagerank(hub_edges(spark, d), PR_ITER, partitions=8).select("id", R("rank").alias("rank"))
+
+
 @register("label_vertices", _pagerank_sql(PR_ITER).replace(
     f" SELECT id, {rs('rank')} AS rank FROM r{PR_ITER}",
     f" SELECT r.id, {rs('r.rank')} AS rank, p.p_name FROM r{PR_ITER} r JOIN part p ON p.p_partkey = r.id"))
@@ -779,6 +942,31 @@ def q_read_points_by_column(spark, d):
     return long_vec(out, "row", "features", round_values=False)
 
 
+@register("read_edge_list_file", f"SELECT src, dst, 1 AS attr FROM {EDGES}")
+def q_read_edge_list_file(spark, d):
+    path = shared_path(spark, "edges")
+    TF.format_edge_lines(edges(spark, d)).write.text(path)
+    return TF.read_edge_list(spark, path)
+
+
+@register("read_points_file", f"SELECT pos::BIGINT AS pos, x AS value, count(*)::BIGINT AS n FROM {PTS_LONG} GROUP BY pos, x")
+def q_read_points_file(spark, d):
+    path = shared_path(spark, "points")
+    TF.format_point_lines(points(spark, d)).write.text(path)
+    got = TF.read_points(spark, path).select(F.posexplode("features").alias("pos", "value"))
+    return got.groupBy(F.col("pos").cast("long").alias("pos"), "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("read_points_by_column_file", ORACLES["untranspose"])
+def q_read_points_by_column_file(spark, d):
+    """A real file: one line for each dimension, all points long."""
+    cols = L.transpose(_rows(spark, d), block_rows=1 << 40)
+    lines = cols.select("dim", F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("value"))
+    path = shared_path(spark, "columns")
+    lines.repartitionByRange(1, "dim").sortWithinPartitions("dim").select("value").write.text(path)
+    return long_vec(TF.read_points_by_column(spark, path, block_rows=100), "row", "features", round_values=False)
+
+
 def _sparse_long_keyed(parsed: DataFrame, key: str, extra=()) -> DataFrame:
     ex = parsed.select(key, *extra, F.col("features.size").cast("long").alias("size"),
                        F.posexplode(F.arrays_zip(F.col("features.indices").alias("i"),
@@ -800,10 +988,16 @@ def q_read_libsvm(spark, d):
 
 @register("infer_num_features", f"SELECT max(pos)::BIGINT + 1 AS num_features FROM {SP_LONG}")
 def q_infer_num_features(spark, d):
-    sp = sparse_points(spark, d)
-    lines = TF.format_libsvm_lines(sp, keep=["id"])
-    parsed = TF.parse_libsvm_lines(lines, num_features=-1, keep=["id"])
-    return parsed.agg(F.max(F.col("features.size")).cast("long").alias("num_features"))
+    return TF.infer_num_features(sparse_points(spark, d)).select(F.col("num_features").cast("long"))
+
+
+@register("write_libsvm", f"SELECT label::DOUBLE AS label, pos::BIGINT AS idx, x AS value, count(*)::BIGINT AS n FROM {SP_LONG} GROUP BY ALL")
+def q_write_libsvm(spark, d):
+    path = shared_path(spark, "libsvm")
+    TF.write_libsvm(sparse_points(spark, d), path)
+    got = TF.read_libsvm(spark, path)
+    pairs = F.arrays_zip(F.col("features.indices").alias("idx"), F.col("features.values").alias("value"))
+    return got.select("label", F.inline(pairs)).groupBy("label", F.col("idx").cast("long").alias("idx"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 _VEC_SQL = f"""SELECT id, 0::BIGINT AS type, 64::BIGINT AS size,
@@ -842,6 +1036,52 @@ def q_read_vectors_json(spark, d):
     return _vector_long(lines.select("id", TF.parse_vector_json("value").alias("v")))
 
 
+_VEC_COUNTS = f"SELECT type, size, k, idx, value, count(*)::BIGINT AS n FROM ({_VEC_SQL}) GROUP BY ALL"
+
+
+def _vector_counts(read: DataFrame) -> DataFrame:
+    long = _vector_long(read.select(F.lit(0).alias("id"), F.col("features").alias("v")))
+    return long.groupBy("type", "size", "k", "idx", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("write_vectors", _VEC_COUNTS)
+def q_write_vectors(spark, d):
+    path = shared_path(spark, "vectors")
+    TF.write_vectors(_vector_rows(spark, d), path, "v")
+    return _vector_counts(TF.read_vectors(spark, path))
+
+
+@register("write_vectors_json", _VEC_COUNTS)
+def q_write_vectors_json(spark, d):
+    path = shared_path(spark, "vectors-json")
+    TF.write_vectors_json(_vector_rows(spark, d), path, "v")
+    return _vector_counts(TF.read_vectors_json(spark, path))
+
+
+@register("save_load_clusters", f"SELECT cid AS center_id, unnest(range(len(c)))::BIGINT AS pos, unnest(c) AS value FROM {CENTERS0}")
+def q_save_load_clusters(spark, d):
+    path = shared_path(spark, "clusters")
+    FI.save_clusters(lowest_centers(spark, d), path)
+    return long_vec(FI.load_clusters(spark, path), "center_id", "center", round_values=False)
+
+
+@register("read_documents", "SELECT doc_id, text || chr(10) AS text FROM documents WHERE text IS NOT NULL")
+def q_read_documents(spark, d):
+    """Each document as a file of its own, in a folder named after its id, read back whole."""
+    path = shared_path(spark, "documents")
+    docs(spark, d).filter(F.col("text").isNotNull()).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    got = FI.read_documents(spark, f"{path}/*/*.txt")
+    return got.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), "text")
+
+
+@register("repair_utf8", "SELECT doc_id, text || chr(65533) || 'x' || chr(65533) || text AS text FROM documents")
+def q_repair_utf8(spark, d):
+    """Texts with a byte that starts nothing and one that ends nothing between two copies."""
+    raw = F.encode("text", "utf-8")
+    broken = docs(spark, d).select("doc_id", F.concat(raw, F.unhex(F.lit("FF78A0")), raw).alias("text"))
+    return FI.repair_utf8(broken, "text")
+
+
 @register("read_labeled_points", f"""SELECT id, label::DOUBLE AS label, 0::BIGINT AS type, 64::BIGINT AS size,
 (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::BIGINT AS k, pos::BIGINT AS idx, x AS value FROM {SP_LONG}""")
 def q_read_labeled_points(spark, d):
@@ -868,22 +1108,43 @@ def q_random_split(spark, d):
         "id", "split", "label")
 
 
-@register("random_split_hash")
+@register("random_split_hash", f"SELECT id, CASE WHEN {Q.uniform(11, 'id')} < 0.7 THEN 0 ELSE 1 END AS split FROM {PTS}")
 def q_random_split_hash(spark, d):
     return S.split_label(points(spark, d).select("id"), [0.7, 0.3], seed=11, id_col="id")
 
 
-@register("take_sample")
+@register("random_split_seeded", f"SELECT id, CASE WHEN {Q.uniform(11, 'id')} < 0.25 THEN 0 WHEN {Q.uniform(11, 'id')} < 0.75 THEN 1 ELSE 2 END AS split FROM {PTS}")
+def q_random_split_seeded(spark, d):
+    parts = S.random_split(points(spark, d).select("id"), [1, 2, 1], seed=11, id_col="id")
+    out = parts[0].withColumn("split", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("split", F.lit(i)))
+    return out
+
+
+@register("k_fold_seeded", f"""SELECT f AS fold, id, CASE WHEN u >= f / 5.0 AND u < (f + 1) / 5.0 THEN 'validation' ELSE 'training' END AS part
+FROM (SELECT id, {Q.uniform(13, 'id')} AS u FROM {PTS}), (SELECT unnest(range(5))::INTEGER AS f)""")
+def q_k_fold_seeded(spark, d):
+    out = None
+    for f, pair in enumerate(S.k_fold(points(spark, d).select("id"), 5, seed=13, id_col="id")):
+        for df, part in zip(pair, ("training", "validation"), strict=True):
+            df = df.select(F.lit(f).alias("fold"), "id", F.lit(part).alias("part"))
+            out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register("take_sample", f"SELECT id, label FROM {PTS} ORDER BY {Q.uniform(5, 'id')}, id LIMIT 50")
 def q_take_sample(spark, d):
     return KM.take_sample(points(spark, d).select("id", "label"), 50, seed=5)
 
 
-@register("weighted_sample")
+@register("weighted_sample", f"""WITH c0 AS {CENTERS0}, a AS MATERIALIZED (SELECT id, sqdist FROM {_assign_sql('c0')})
+SELECT id, {rs('sqdist')} AS sqdist FROM a WHERE {Q.uniform(9, 'id')} < {2 * K_CENTERS} * sqdist / (SELECT sum(sqdist) FROM a)""")
 def q_weighted_sample(spark, d):
     pts = points(spark, d)
     nc = LA.nearest_center(pts.select("id", "features"), lowest_centers(spark, d))
     total = nc.agg(F.sum("sqdist")).first()[0]
-    return KM.weighted_sample(nc.select("id", "sqdist"), "sqdist", K_CENTERS, total, seed=9)
+    return KM.weighted_sample(nc.select("id", "sqdist"), "sqdist", K_CENTERS, total, seed=9).withColumn("sqdist", R("sqdist"))
 
 
 # ============================================================================= TREE

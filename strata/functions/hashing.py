@@ -83,3 +83,10 @@ def hash_index(c, num_features: int = DEFAULT_NUM_FEATURES, algo: str = "murmur3
     else:
         raise ValueError(f"unknown hash algorithm {algo!r}; use 'murmur3' or 'native'")
     return non_negative_mod(h, num_features)
+
+
+def uniform(seed: int, *cols) -> Column:
+    """A number of [0, 1) drawn from ``seed`` and the columns' text: 52 bits of an MD5, so a row keeps
+    its draw on any partitioning, after a lost task, and in any SQL that has MD5."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(int(seed))), *[as_col(c).cast("string") for c in cols]).cast("binary"))
+    return F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)

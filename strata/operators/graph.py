@@ -6,9 +6,12 @@ edges and self loops are kept (directed multigraph).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators import skew
 from strata.session import cut_lineage
 
 
@@ -43,22 +46,40 @@ def vertex_dictionary(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, sort: bool = True, max_chunk: int = 1 << 16) -> DataFrame:
     """CSR-style rows: (src, chunk, dsts array<bigint>, attrs array, degree, offset).
 
-    A source with more than ``max_chunk`` edges is split into ceil(degree / max_chunk) chunks
-    by a hash of dst, so no row or group grows with the hottest source; ``degree`` is the
-    chunk's edge count and ``offset`` the position of the chunk's first edge in the global
-    (src, chunk, dst) order.  ``sort=False`` keeps the input order inside a chunk."""
-    has_attr = "attr" in edges.columns
-    deg = out_degrees(edges).select("src", F.ceil(F.col("out_degree") / F.lit(max_chunk)).cast("int").alias("_nc"))
-    e = edges.join(deg, "src")  # AQE splits a skewed src partition of this join
-    e = e.withColumn("chunk", F.when(F.col("_nc") > 1, F.pmod(F.xxhash64("dst"), F.col("_nc"))).otherwise(F.lit(0))
-                     .cast("int"))
-    item = F.struct(F.col("dst"), F.col("attr") if has_attr else F.lit(1).alias("attr"))
-    lst = F.collect_list(item)
-    g = e.groupBy("src", "chunk").agg((F.array_sort(lst) if sort else lst).alias("_a"))
-    g = g.select("src", "chunk", F.transform("_a", lambda x: x["dst"]).alias("dsts"),
-                 F.transform("_a", lambda x: x["attr"]).alias("attrs"), F.size("_a").cast("long").alias("degree"))
-    offs = prefix_sum(g.select("src", "chunk", "degree"), ["src", "chunk"], "degree", "offset")
-    return g.join(offs.select("src", "chunk", "offset"), ["src", "chunk"])
+    The edges of a source are numbered in (dst, attr) order, or with ``sort=False`` in the order
+    they are read; edge ``r`` belongs to chunk ``r div max_chunk``, so every chunk but a source's
+    last holds exactly ``max_chunk`` edges.  ``degree`` is the chunk's edge count and ``offset`` the
+    place of its first edge in the order of all edges.
+
+    Equal edges travel as one row with a count, so a pair repeated a million times is one row of
+    the sort; numbers come from a running sum over range partitions, and a source's first number
+    reaches its rows in stretches of ``max_chunk`` numbers.  No step has a group that grows with
+    a source's degree."""
+    if max_chunk <= 0:
+        raise ValueError("max_chunk must be positive")
+    attr = (F.col("attr") if "attr" in edges.columns else F.lit(1)).alias("attr")
+    e = edges.select("src", "dst", attr)
+    if sort:
+        runs, order = e.groupBy("src", "dst", "attr").agg(F.count(F.lit(1)).alias("_n")), ["src", "dst", "attr"]
+    else:
+        runs, order = cut_lineage(e.withColumn("_n", F.lit(1)).withColumn("_at", F.monotonically_increasing_id())), ["src", "_at"]
+    numbered = cut_lineage(prefix_sum(runs, order, "_n", "_first"))
+    width = F.lit(max_chunk)
+    span = numbered.groupBy("src").agg(F.min("_first").alias("_base"), F.max(F.col("_first") + F.col("_n") - 1).alias("_last"))
+    # a source's base, once for each stretch of numbers that its edges touch
+    bases = span.select("src", "_base", F.explode(F.sequence(F.floor(F.col("_base") / width), F.floor(F.col("_last") / width))).alias("_stretch"))
+    placed = numbered.withColumn("_stretch", F.floor(F.col("_first") / width)).join(bases, ["src", "_stretch"])
+    rank = F.col("_first") - F.col("_base")
+    chunks = F.sequence(F.floor(rank / width), F.floor((rank + F.col("_n") - 1) / width))
+    parts = placed.select("src", "dst", "attr", "_n", "_base", rank.alias("_rank"), F.explode(chunks).alias("_c"))
+    begin = F.greatest(F.col("_rank"), F.col("_c") * width)
+    size = (F.least(F.col("_rank") + F.col("_n"), (F.col("_c") + 1) * width) - begin).cast("int")
+    items = F.array_sort(F.collect_list(F.struct(begin.alias("r"), size.alias("n"), "dst", "attr")))
+    g = parts.groupBy("src", F.col("_c").cast("int").alias("chunk")).agg(items.alias("_a"), F.first("_base").alias("_base"))
+    return g.select("src", "chunk", F.flatten(F.transform("_a", lambda x: F.array_repeat(x["dst"], x["n"]))).alias("dsts"),
+                    F.flatten(F.transform("_a", lambda x: F.array_repeat(x["attr"], x["n"]))).alias("attrs"),
+                    F.aggregate("_a", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("degree"),
+                    (F.col("_base") + F.col("chunk") * width).alias("offset"))
 
 
 def prefix_sum(df: DataFrame, order_by: list[str], value_col: str, out_col: str) -> DataFrame:
@@ -75,13 +96,30 @@ def prefix_sum(df: DataFrame, order_by: list[str], value_col: str, out_col: str)
             .withColumn(out_col, (F.col("_base") + F.col("_loc")).cast("long")).drop("_pid", "_loc", "_base"))
 
 
-def triplets(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges with both endpoint attributes: (src, dst, attr, src_attr, dst_attr)."""
-    v = vertices.select("id", "attr")
+def spread(edges: DataFrame, ends: tuple[str, ...] = ("src", "dst"), threshold: int | None = None) -> tuple[DataFrame, dict[str, DataFrame | None]]:
+    """Adds ``<end>_salt`` for each end, 0 but for hot vertices, whose edges are dealt by a hash of the
+    other end; and the hot vertices of each end (None: there are none).  See ``skew.salt_hot``."""
+    if threshold is None:
+        threshold = max(skew.HOT_ROWS, math.ceil(edges.count() / skew.HOT_SHARE))
+    hot: dict[str, DataFrame | None] = {}
+    for end in ends:
+        edges, hot[end] = skew.salt_hot(edges, end, "dst" if end == "src" else "src", f"{end}_salt", threshold)
+    return edges, hot
+
+
+def attach(edges: DataFrame, end: str, state: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Inner join of spread edges with the vertex columns of ``state`` (id, ...) at one end."""
+    return skew.join_hot(edges, end, state.withColumnRenamed("id", end), hot, f"{end}_salt")
+
+
+def triplets(edges: DataFrame, vertices: DataFrame, threshold: int | None = None) -> DataFrame:
+    """Edges with both endpoint attributes: (src, dst, attr, src_attr, dst_attr).  Edges with an
+    endpoint that is no vertex are left out.  Hot endpoints are spread over several tasks."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
-    e = edges.select("src", "dst", *cols)
-    t = e.join(v.select(F.col("id").alias("src"), F.col("attr").alias("src_attr")), "src")
-    return t.join(v.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr")), "dst")
+    e, hot = spread(edges.select("src", "dst", *cols), threshold=threshold)
+    for end in ("src", "dst"):
+        e = attach(e, end, vertices.select("id", F.col("attr").alias(f"{end}_attr")), hot[end])
+    return e.select("src", "dst", *cols, "src_attr", "dst_attr")
 
 
 def map_vertices(vertices: DataFrame, expr: Column) -> DataFrame:

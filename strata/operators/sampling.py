@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.plans.kmeans import _uniform, take_sample, weighted_sample  # noqa: F401  (re-exported)
+from strata.functions.hashing import uniform
+from strata.plans.kmeans import take_sample, weighted_sample  # noqa: F401  (re-exported)
 
 
 def random_split(df: DataFrame, weights: list[float], seed: int = 42, id_col: str | None = None) -> list[DataFrame]:
@@ -23,7 +24,7 @@ def random_split(df: DataFrame, weights: list[float], seed: int = 42, id_col: st
     bounds = [0.0]
     for w in weights:
         bounds.append(bounds[-1] + w / total)
-    u = _uniform(id_col, seed)
+    u = uniform(seed, id_col)
     return [df.filter((u >= lo) & ((u < hi) if i < len(weights) - 1 else F.lit(True)))
             for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
@@ -44,7 +45,7 @@ def split_by_id(df: DataFrame, weights: list[float], id_col: str, prime: int = 7
 def split_label(df: DataFrame, weights: list[float], seed: int, id_col: str, out_col: str = "split") -> DataFrame:
     """Tag every row with its split number (same rule as ``random_split`` with ``id_col``)."""
     total = float(sum(weights))
-    u = _uniform(id_col, seed)
+    u = uniform(seed, id_col)
     expr = F.lit(len(weights) - 1)
     acc = 0.0
     cases = []
@@ -61,7 +62,7 @@ def k_fold(df: DataFrame, k: int, seed: int = 42, id_col: str | None = None) ->
     draw per row and trains on the complement."""
     if k < 2:
         raise ValueError("k must be >= 2")
-    u = _uniform(id_col, seed) if id_col else F.rand(seed)
+    u = uniform(seed, id_col) if id_col else F.rand(seed)
     tagged = df.withColumn("_u", u)
     out = []
     for f in range(k):
@@ -73,7 +74,7 @@ def k_fold(df: DataFrame, k: int, seed: int = 42, id_col: str | None = None) ->
 
 def fold_label(df: DataFrame, k: int, seed: int, id_col: str, out_col: str = "fold") -> DataFrame:
     """Validation fold of each row (same rule as ``k_fold`` with ``id_col``)."""
-    return df.withColumn(out_col, F.least(F.floor(_uniform(id_col, seed) * k), F.lit(k - 1)).cast("int"))
+    return df.withColumn(out_col, F.least(F.floor(uniform(seed, id_col) * k), F.lit(k - 1)).cast("int"))
 
 
 def fold_by_id(df: DataFrame, k: int, id_col: str, prime: int = 7919, out_col: str = "fold") -> DataFrame:

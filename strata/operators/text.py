@@ -4,9 +4,10 @@ Plan shape at scale
 -------------------
 A document is one row, so every per-document step (tokenising, counting terms, hashing) is a
 narrow, in-row transformation: tokens are sorted inside the row and counted as runs, which
-needs no shuffle.  The only exchange in TF-IDF is the document-frequency aggregate, which is
-partially aggregated before the shuffle and has at most ``num_features`` groups; that bounded
-IDF table is then broadcast back to the (much larger) term-frequency rows.
+needs no shuffle.  TF-IDF writes one packed row a document (indices and counts as arrays), so
+texts are tokenised once; document frequencies are aggregated from the packed rows, partially
+before the shuffle and into at most ``num_features`` groups, and that bounded IDF table is
+broadcast back to the packed rows.  No term-frequency row is ever shuffled.
 """
 
 from __future__ import annotations
@@ -17,14 +18,11 @@ from pyspark.sql import functions as F
 from strata.functions import hashing as H
 from strata.functions._util import let
 from strata.functions.text import TRIM_CLASS, TRIM_RE, run_lengths, tokens
+from strata.session import cut_lineage_counted
 
 # The whitespace characters of the JVM regex class \s, i.e. the token separators.
 WHITESPACE_CHARS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
 
-# An IDF table keyed by hashed index has at most num_features rows; broadcast it only while
-# that proven bound stays under this many rows (8 bytes of idf + 4 of index each).
-MAX_BROADCAST_FEATURES = 1 << 22
-
 
 def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
     """Add ``tokens`` = trim(chars <= 0x20), split on whitespace, empties dropped."""
@@ -82,7 +80,7 @@ def tokens_from_offsets(df: DataFrame, text_col: str = "text", offsets_col: str
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf bigint): exact-term frequencies per document, counted inside the row."""
-    runs = run_lengths(F.array_sort(tokens(text_col)))
+    runs = run_lengths(F.sort_array(tokens(text_col)))
     return df.select(id_col, F.inline(runs)).withColumnRenamed("value", "term").withColumnRenamed("n", "tf")
 
 
@@ -101,7 +99,7 @@ def hashing_tf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if num_features <= 0:
         raise ValueError("num_features must be positive")
     idx = F.transform(tokens(text_col), lambda t: H.hash_index(t, num_features, algo))
-    runs = run_lengths(F.array_sort(idx))
+    runs = run_lengths(F.sort_array(idx))
     out = df.select(id_col, F.inline(runs)).select(
         id_col, F.col("value").alias("idx"), F.col("n").cast("double").alias("tf"))
     if binary:
@@ -114,7 +112,7 @@ def hashing_tf_vectors(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        algo: str = "murmur3") -> DataFrame:
     """Vector form: (id, features struct<size, indices, values>) with ascending indices."""
     idx = F.transform(tokens(text_col), lambda t: H.hash_index(t, num_features, algo))
-    runs = F.coalesce(run_lengths(F.array_sort(idx)), F.array().cast("array<struct<value:int,n:bigint>>"))
+    runs = F.coalesce(run_lengths(F.sort_array(idx)), F.array().cast("array<struct<value:int,n:bigint>>"))
     vals = F.transform(runs, lambda r: F.lit(1.0)) if binary else F.transform(runs, lambda r: r["n"].cast("double"))
     return df.select(
         id_col,
@@ -148,35 +146,39 @@ def idf_fit(tf: DataFrame, documents: DataFrame | None = None, key_col: str = "i
         m = documents.agg(F.count("*").alias("_m"))
     else:
         m = tf.select(id_col).distinct().agg(F.count("*").alias("_m"))
-    idf = F.log((F.col("_m") + 1.0) / (F.col("doc_freq") + 1.0))
-    if min_doc_freq > 0:
-        idf = F.when(F.col("doc_freq") >= min_doc_freq, idf).otherwise(F.lit(0.0))
-    return dfreq.crossJoin(F.broadcast(m)).select(key_col, "doc_freq", idf.alias("idf"))
+    return idf_values(dfreq.crossJoin(F.broadcast(m)), F.col("_m"), min_doc_freq).select(key_col, "doc_freq", "idf")
+
+
+def idf_values(doc_freq: DataFrame, n_docs: Column, min_doc_freq: int = 0) -> DataFrame:
+    """Adds ``idf`` = ln((m + 1) / (doc_freq + 1)), 0 below ``min_doc_freq``."""
+    idf = F.log((n_docs + 1.0) / (F.col("doc_freq") + 1.0))
+    return doc_freq.withColumn("idf", F.when(F.col("doc_freq") >= min_doc_freq, idf).otherwise(F.lit(0.0)))
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, key_col: str = "idx", num_features: int | None = None) -> DataFrame:
     """(id, key, tf, idf, tfidf).  Every tf row is kept (a zero idf gives an explicit zero).
 
-    With hashed keys the IDF table has at most ``num_features`` rows, a proven bound, and is
-    broadcast while that bound is small; for exact terms (unbounded vocabulary) the join is
-    left to the planner, which AQE turns into a broadcast only after measuring the side."""
+    ``num_features`` says that keys are hashed: the IDF table then has at most that many rows, as
+    a fitted model has, and is broadcast.  For exact terms (unbounded vocabulary) the join is left
+    to the planner, which AQE turns into a broadcast only after measuring the side."""
     side = idf.select(key_col, "idf")
-    if num_features is not None and num_features <= MAX_BROADCAST_FEATURES:
-        side = F.broadcast(side)
-    joined = tf.join(side, key_col, "left")
+    joined = tf.join(side if num_features is None else F.broadcast(side), key_col, "left")
     return joined.withColumn("idf", F.coalesce("idf", F.lit(0.0))).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
+def unpack_tf(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Long form (id, idx, tf) of packed term frequencies."""
+    pairs = F.arrays_zip(F.col("features.indices").alias("idx"), F.col("features.values").alias("tf"))
+    return packed.select(id_col, F.inline(pairs))
+
+
 def tfidf_job(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               num_features: int = H.DEFAULT_NUM_FEATURES, algo: str = "murmur3",
               min_doc_freq: int = 0) -> DataFrame:
-    """End-to-end TF-IDF over a documents table (long form)."""
-    docs = documents.select(id_col, text_col)
-    # The term-frequency rows feed two consumers (the document-frequency aggregate and the
-    # final product).  Routing them through one exchange lets Spark reuse its shuffle output
-    # for both instead of tokenising every document twice; keyed by document id, so even a
-    # term that occurs everywhere cannot concentrate rows in one partition.
-    parts = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    tf = hashing_tf(docs, id_col, text_col, num_features, algo=algo).repartition(int(parts), id_col)
-    idf = idf_fit(tf, documents=docs.select(id_col), min_doc_freq=min_doc_freq)
-    return tfidf(tf, idf, "idx", num_features)
+    """End-to-end TF-IDF over a documents table (long form).
+
+    The packed term frequencies are written once to the shared checkpoint folder and read twice:
+    their indices alone for the document frequencies, and whole for the product."""
+    packed, n_docs = cut_lineage_counted(hashing_tf_vectors(documents.select(id_col, text_col), id_col, text_col, num_features, algo=algo))
+    counted = packed.select(F.explode("features.indices").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("doc_freq"))
+    return tfidf(unpack_tf(packed, id_col), idf_values(counted, F.lit(n_docs), min_doc_freq), "idx", num_features)

@@ -77,3 +77,77 @@ def native_hash(term: str = "term") -> str:
 
 def pmod(x: str, n: int) -> str:
     return f"((({x}) % {n} + {n}) % {n})"
+
+
+# ----------------------------------------------------------------------------- k-means
+#
+# Relations: points (id, f), centers (cid, c), candidates with a weight (cid, c, w).  Each function
+# returns the CTEs it adds, all materialised, and the name of the last one.
+
+def uniform(seed: int, *cols: str) -> str:
+    """The draw of strata.functions.hashing.uniform."""
+    text = "concat_ws(':', " + ", ".join([f"'{int(seed)}'", *[f"({c})::VARCHAR" for c in cols]]) + ")"
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT::DOUBLE / {1 << 52})"
+
+
+def _dist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _distinct(rel: str) -> str:
+    """Distinct vectors of points as centers, in the order of their lowest id."""
+    return f"SELECT row_number() OVER (ORDER BY id) - 1 AS cid, f AS c FROM (SELECT min(id) AS id, f FROM {rel} GROUP BY f)"
+
+
+def random_centers(points: str, k: int, seed: int) -> tuple[list[str], str]:
+    sample = f"(SELECT id, f FROM {points} ORDER BY {uniform(seed, 'id')}, id LIMIT {k})"
+    return [f"rc AS MATERIALIZED ({_distinct(sample)})"], "rc"
+
+
+def parallel_candidates(points: str, k: int, steps: int, seed: int) -> tuple[list[str], str]:
+    ctes = [f"n0 AS MATERIALIZED (SELECT id, f FROM {points} ORDER BY {uniform(seed, 'id')}, id LIMIT 1)",
+            f"w0 AS MATERIALIZED (SELECT p.id, p.f, {_dist('p.f', 'n0.f')} AS cost FROM {points} p, n0)"]
+    for s in range(steps):
+        ctes.append(f"n{s + 1} AS MATERIALIZED (SELECT id, f FROM w{s} WHERE {uniform(seed + 1 + s, 'id')} < {2.0 * k} * cost / (SELECT sum(cost) FROM w{s}))")
+        ctes.append(f"w{s + 1} AS MATERIALIZED (SELECT w.id, any_value(w.f) AS f, least(any_value(w.cost), coalesce(min({_dist('w.f', 'n.f')}), 'inf'::DOUBLE)) AS cost "
+                    f"FROM w{s} w LEFT JOIN n{s + 1} n ON true GROUP BY w.id)")
+    every = " UNION ALL ".join(f"SELECT * FROM n{s}" for s in range(steps + 1))
+    return [*ctes, f"cand AS MATERIALIZED ({_distinct(f'({every})')})"], "cand"
+
+
+def reduced_centers(cands: str, k: int, seed: int, steps: int) -> tuple[list[str], str]:
+    """Weighted k-means++ draws, each an exponential race, then weighted Lloyd steps (steps after the
+    assignment has settled change nothing)."""
+    ctes, mass = [], f"(SELECT cid, c, w, 1.0::DOUBLE AS near FROM {cands})"
+    for j in range(k):
+        ctes.append(f"d{j} AS MATERIALIZED (SELECT {j} AS cid, c FROM {mass} WHERE w * near > 0 ORDER BY -ln({uniform(seed, str(j), 'cid')}) / (w * near), cid LIMIT 1)")
+        near = _dist("m.c", f"d{j}.c")
+        ctes.append(f"m{j} AS MATERIALIZED (SELECT m.cid, m.c, m.w, {near if j == 0 else f'least(m.near, {near})'} AS near FROM {mass} m, d{j})")
+        mass = f"m{j}"
+    ctes.append("s0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM d{j}" for j in range(k)) + ")")
+    for i in range(steps):
+        best = f"(SELECT q.cid AS qid, any_value(q.c) AS c, any_value(q.w) AS w, arg_min(s.cid, struct_pack(d := {_dist('q.c', 's.c')}, i := s.cid)) AS cid FROM {cands} q, s{i} s GROUP BY q.cid)"
+        mean = f"(SELECT cid, list(m ORDER BY pos) AS c FROM (SELECT cid, pos, sum(w * x) / sum(w) AS m FROM (SELECT cid, w, unnest(range(len(c))) AS pos, unnest(c) AS x FROM {best}) GROUP BY cid, pos HAVING sum(w) > 0) GROUP BY cid)"
+        ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT s.cid, coalesce(n.c, s.c) AS c FROM s{i} s LEFT JOIN {mean} n USING (cid))")
+    return ctes, f"s{steps}"
+
+
+def parallel_centers(points: str, k: int, steps: int, seed: int, reduce_steps: int = 30) -> tuple[list[str], str]:
+    ctes, cand = parallel_candidates(points, k, steps, seed)
+    nearest = f"(SELECT p.id, arg_min(c.cid, struct_pack(d := {_dist('p.f', 'c.c')}, i := c.cid)) AS cid FROM {points} p, {cand} c GROUP BY p.id)"
+    ctes.append(f"qw AS MATERIALIZED (SELECT c.cid, c.c, coalesce(n.w, 0)::DOUBLE AS w FROM {cand} c LEFT JOIN (SELECT cid, count(*) AS w FROM {nearest} GROUP BY cid) n USING (cid))")
+    more, last = reduced_centers("qw", k, seed, reduce_steps)
+    few = f"(SELECT count(*) FROM {cand}) <= {k}"
+    return [*ctes, *more, f"pc AS MATERIALIZED (SELECT cid, c FROM {cand} WHERE {few} UNION ALL SELECT cid, c FROM {last} WHERE NOT ({few}))"], "pc"
+
+
+def lloyd_until(points: str, start: str, steps: int, eps: float) -> tuple[list[str], str]:
+    """Lloyd steps until no center moves more than ``eps``, ``steps`` at most."""
+    ctes, now, before = [], start, None
+    for i in range(steps):
+        best = f"(SELECT p.id, any_value(p.f) AS f, arg_min(l.cid, struct_pack(d := {_dist('p.f', 'l.c')}, i := l.cid)) AS cid FROM {points} p, {now} l GROUP BY p.id)"
+        mean = f"(SELECT cid, list(m ORDER BY pos) AS c FROM (SELECT cid, pos, avg(x) AS m FROM (SELECT cid, unnest(range(len(f))) AS pos, unnest(f) AS x FROM {best}) GROUP BY cid, pos) GROUP BY cid)"
+        still = f"(SELECT max({_dist('a.c', 'b.c')}) FROM {now} a JOIN {before} b USING (cid)) <= {eps * eps!r}" if before else "false"
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT o.cid, CASE WHEN {still} THEN o.c ELSE coalesce(n.c, o.c) END AS c FROM {now} o LEFT JOIN {mean} n USING (cid))")
+        now, before = f"l{i}", now
+    return ctes, now

@@ -1,17 +1,13 @@
-"""Iterative graph jobs: PageRank, BFS and a generic Pregel loop.
+"""Iterative graph jobs: PageRank, BFS and a general Pregel loop.
 
-Plan per iteration
-------------------
-The edge table is prepared once: hot sources (more than ``|E| / (4 * P)`` out-edges, hence at
-most ``4 * P`` of them -- a proven bound, so that table is broadcast) get their edges spread
-over several salts by a hash of dst; edges are then hash-partitioned by (src, salt), sorted
-and persisted.  Each round only moves vertex-sized data:
+Edges are prepared once: the edges of hot vertices are spread over salts (``operators.graph.spread``),
+then hash-partitioned by (end, salt) and kept in the cache, so each round moves vertex-sized data
+only; messages are partially merged per task before the shuffle by receiver.
 
-* vertex state is expanded to one row per (id, salt) and shuffled to the edge partitions;
-* messages are partially merged per task before the shuffle by destination.
-
-The state is checkpointed into the shared checkpoint folder every few rounds, which bounds
-plan growth and lets a lost executor be recovered from durable storage.
+Every round's result is written to the shared checkpoint folder: the next round reads files, so
+plans don't grow and a lost executor costs at most a round.  A round writes only the vertices it
+changed; the write counts them, which is also how a loop learns that it is done.  Files that a
+later round has replaced are deleted.
 """
 
 from __future__ import annotations
@@ -23,43 +19,28 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.graph import graph_from_edges
-from strata.session import cut_lineage
+from strata.operators.graph import _MERGES, attach, graph_from_edges, spread
+from strata.session import cut_lineage, cut_lineage_counted, release
 
 INF = float("inf")
 
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def prepare_edges(edges: DataFrame, partitions: int | None = None, hot_factor: int = 4):
-    """Return (salted edges persisted and partitioned by (src, salt), hot-source table)."""
-    p = partitions or _partitions(edges)
-    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"),
-                     *[c for c in edges.columns if c not in ("src", "dst")])
-    n_edges = e.count()
-    threshold = max(1, math.ceil(n_edges / (hot_factor * p)))
-    deg = e.groupBy("src").agg(F.count("*").alias("_deg"))
-    # At most n_edges / threshold = hot_factor * p rows: safe to broadcast.
-    hot = deg.filter(F.col("_deg") > threshold).select(
-        F.col("src").alias("_hot_id"), F.ceil(F.col("_deg") / threshold).cast("int").alias("n_salt"))
-    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
-    salted = e.join(F.broadcast(hot), e.src == hot._hot_id, "left").select(
-        *e.columns,
-        F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("n_salt")))
-        .cast("int").alias("salt"))
-    salted = salted.repartition(p, "src", "salt").sortWithinPartitions("src", "salt").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    return salted, hot
+#: BFS levels between two rewritings of the visited vertices.
+COMPACT_EVERY = 8
+#: Changed vertices, as a part of all, from which a Pregel round rewrites the whole state.
+REWRITE_PART = 1 / 4
 
 
-def expand_state(state: DataFrame, hot: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row per (vertex, salt): hot vertices are replicated over their salts."""
-    j = state.join(F.broadcast(hot), state[id_col] == hot._hot_id, "left")
-    salts = F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1)
-    ex = j.select(*state.columns, F.explode(salts).alias("_salt"))
-    return ex.select(*state.columns, F.col("_salt").cast("int").alias("salt"))
+def prepare_edges(edges: DataFrame, partitions: int | None = None, hot_factor: int = 4, end: str = "src") -> tuple[DataFrame, DataFrame | None]:
+    """Edges with ``<end>_salt``, partitioned by (end, salt) and persisted, and the hot vertices of
+    that end (None: there are none).  With ``partitions`` a vertex is hot above ``|E| / (hot_factor * partitions)`` edges,
+    else as in ``spread``; either way the number of hot ones is bounded."""
+    cols = [c for c in edges.columns if c not in ("src", "dst")]
+    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), *cols)
+    threshold = max(1, math.ceil(e.count() / (hot_factor * partitions))) if partitions else None
+    salted, hot = spread(e, (end,), threshold)
+    keys = [F.col(end), F.col(f"{end}_salt")]
+    salted = salted.repartition(partitions, *keys) if partitions else salted.repartition(*keys)
+    return salted.persist(StorageLevel.MEMORY_AND_DISK), hot[end]
 
 
 def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, normalize: bool = False,
@@ -72,110 +53,159 @@ def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, n
     count at the end."""
     if num_iter < 0:
         raise ValueError("num_iter must be >= 0")
-    p = partitions or _partitions(edges)
-    salted, hot = prepare_edges(edges.select("src", "dst"), p)
-    outdeg = salted.groupBy("src").agg(F.count("*").alias("_od"))
-    vertices = graph_from_edges(edges.select("src", "dst")).select("id").repartition(p, "id").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    w = vertices.join(outdeg.withColumnRenamed("src", "id"), "id", "left").select(
-        "id", (F.lit(1.0) / F.col("_od")).alias("_w"))
-    weights = w.repartition(p, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    salted, hot = prepare_edges(edges.select("src", "dst"), partitions)
+    outdeg = salted.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_od"))
+    vertices = graph_from_edges(edges.select("src", "dst")).select("id")
+    weights = cut_lineage(vertices.join(outdeg, "id", "left").select("id", (F.lit(1.0) / F.col("_od")).alias("_w")))
     ranks = weights.select("id", F.lit(1.0).alias("rank"), "_w")
+    written = None
     for it in range(num_iter):
-        st = expand_state(ranks.select("id", (F.col("rank") * F.col("_w")).alias("_c")).filter(
-            F.col("_c").isNotNull()), hot)
-        contrib = salted.join(st, (salted.src == st.id) & (salted.salt == st.salt)).select("dst", "_c")
-        sums = contrib.groupBy("dst").agg(F.sum("_c").alias("_s"))
-        ranks = weights.join(sums.withColumnRenamed("dst", "id"), "id", "left").select(
+        share = ranks.filter(F.col("_w").isNotNull()).select("id", (F.col("rank") * F.col("_w")).alias("_c"))
+        sums = attach(salted, "src", share, hot).groupBy(F.col("dst").alias("id")).agg(F.sum("_c").alias("_s"))
+        ranks = weights.join(sums, "id", "left").select(
             "id", (F.lit(reset_prob) + F.lit(1.0 - reset_prob) * F.coalesce("_s", F.lit(0.0))).alias("rank"), "_w")
         if checkpoint_every and (it + 1) % checkpoint_every == 0 and it + 1 < num_iter:
             ranks = cut_lineage(ranks)
+            release(written)
+            written = ranks
     out = ranks.select("id", "rank")
     if normalize:
         total = out.agg(F.sum("rank").alias("_t"), F.count("*").alias("_n"))
         out = out.crossJoin(F.broadcast(total)).select("id", (F.col("rank") * F.col("_n") / F.col("_t")).alias("rank"))
+    out = cut_lineage(out)
+    salted.unpersist()
+    release(written, weights, hot)
     return out
 
 
 def bfs(edges: DataFrame, root: int, max_iter: int | None = None, partitions: int | None = None) -> DataFrame:
     """Hop distance from ``root`` following edge direction: (id, dist double).
 
-    Unreachable vertices (and every vertex when the root is absent) get +inf.  Frontier loop:
-    expand the frontier along out-edges, drop already-visited vertices with an anti join, stop
-    when the frontier is empty.  Each new frontier is checkpointed, so every level's plan reads
-    a fixed set of materialised leaves (visited = union of the frontiers so far) instead of
-    re-deriving earlier levels."""
-    p = partitions or _partitions(edges)
-    salted, hot = prepare_edges(edges.select("src", "dst"), p)
+    Unreachable vertices (and every vertex when the root is absent) get +inf.  A level expands the
+    frontier along out-edges and drops what has been reached before; its write counts the next
+    frontier, and an empty one ends the loop.  Reached vertices are one (id, dist) table plus the
+    levels since it was last rewritten, ``COMPACT_EVERY`` at most, so a level's plan doesn't grow
+    with the depth."""
+    salted, hot = prepare_edges(edges.select("src", "dst"), partitions)
     vertices = graph_from_edges(edges.select("src", "dst")).select("id")
-    frontier = cut_lineage(vertices.filter(F.col("id") == F.lit(int(root))).select(
-        "id", F.lit(0).cast("long").alias("dist")))
-    levels = [frontier]
-    level = 0
-    while frontier.limit(1).count() > 0:
-        if max_iter is not None and level >= max_iter:
-            break
+    frontier, n = cut_lineage_counted(vertices.filter(F.col("id") == F.lit(int(root))).select("id", F.lit(0).alias("dist")))
+    reached, recent, stale, level = frontier, [], [], 0
+    while n and (max_iter is None or level < max_iter):
         level += 1
-        visited = levels[0]
-        for lv in levels[1:]:
-            visited = visited.unionByName(lv)
-        st = expand_state(frontier.select("id"), hot)
-        nxt = salted.join(st, (salted.src == st.id) & (salted.salt == st.salt)).select(F.col("dst").alias("id"))
-        nxt = nxt.distinct().join(visited.select("id"), "id", "left_anti")
-        frontier = cut_lineage(nxt.select("id", F.lit(level).cast("long").alias("dist")))
-        levels.append(frontier)
-    visited = levels[0]
-    for lv in levels[1:]:
-        visited = visited.unionByName(lv)
-    return vertices.join(visited, "id", "left").select(
-        "id", F.coalesce(F.col("dist").cast("double"), F.lit(INF)).alias("dist"))
+        seen = reached
+        for df in recent:
+            seen = seen.unionByName(df)
+        ahead = attach(salted, "src", frontier.select("id"), hot).select(F.col("dst").alias("id")).distinct()
+        frontier, n = cut_lineage_counted(ahead.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("dist")))
+        release(*stale)
+        recent, stale = [*recent, frontier], []
+        if len(recent) == COMPACT_EVERY:
+            old = [reached, *recent[:-1]]
+            reached = cut_lineage(seen.unionByName(frontier))
+            release(*old)
+            recent, stale = [], [frontier]  # the next level still starts from it
+    leaves = [reached, *recent, *stale]
+    for df in recent:
+        reached = reached.unionByName(df)
+    out = cut_lineage(vertices.join(reached, "id", "left").select(
+        "id", F.coalesce(F.col("dist").cast("double"), F.lit(INF)).alias("dist")))
+    salted.unpersist()
+    release(*leaves, hot)
+    return out
 
 
 def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[Column, Column], Column],
-           send_msg: Callable[[Column, Column, Column], Column], merge: str = "min",
-           max_iter: int = 2 ** 31 - 1) -> DataFrame:
-    """Generic message passing along edge direction: (id, attr).
+           send_msg: Callable[[Column, Column, Column], Column] | None, merge: str | Callable[[Column], Column] = "min",
+           max_iter: int = 2 ** 31 - 1, send_to_src: Callable[[Column, Column, Column], Column] | None = None,
+           active: str = "either", threshold: int | None = None) -> DataFrame:
+    """Message passing until no message is sent: (id, attr).
 
-    * ``vprog(attr, msg)`` -> new attribute (column expressions);
+    * ``vprog(attr, msg)`` -> new attribute (column expressions; ``attr`` may be a struct);
     * ``send_msg(src_attr, dst_attr, edge_attr)`` -> message to dst, NULL for none;
-    * ``merge`` in {min, max, sum}: combines messages per vertex (partially before the shuffle).
-
-    Round 0 applies ``vprog`` with ``initial_msg`` to every vertex.  Each later round sends only
-    over edges whose source changed in the previous round; the loop ends when no message is
-    sent or after ``max_iter`` rounds."""
-    merges = {"min": F.min, "max": F.max, "sum": F.sum}
-    if merge not in merges:
-        raise ValueError(f"merge must be one of {sorted(merges)}")
-    p = _partitions(edges)
-    has_attr = "attr" in edges.columns
-    e = edges.select("src", "dst", (F.col("attr") if has_attr else F.lit(1)).alias("eattr"))
-    salted, hot = prepare_edges(e, p)
-    state = vertices.select("id", vprog(F.col("attr"), F.lit(initial_msg)).alias("attr"))
-    state = state.repartition(p, "id")
-    active = state.select("id")
-
-    def messages(state: DataFrame, active: DataFrame) -> DataFrame:
-        src_state = expand_state(state.join(active, "id", "left_semi").select(
-            "id", F.col("attr").alias("src_attr")), hot)
-        t = salted.join(src_state, (salted.src == src_state.id) & (salted.salt == src_state.salt))
-        t = t.select("src", "dst", "eattr", "src_attr")
-        t = t.join(state.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr")), "dst")
-        m = t.select("dst", send_msg(F.col("src_attr"), F.col("dst_attr"), F.col("eattr")).alias("_m"))
-        return m.filter(F.col("_m").isNotNull()).groupBy("dst").agg(merges[merge]("_m").alias("msg"))
-
-    # State and messages are checkpointed every round: each round's plan then starts from
-    # two materialised leaves (no mutual re-derivation), and a lost executor costs one round.
-    state = cut_lineage(state)
-    msgs = cut_lineage(messages(state, active))
-    i = 0
-    while i < max_iter and msgs.limit(1).count() > 0:
-        j = state.join(msgs.withColumnRenamed("dst", "id"), "id", "left")
-        new_attr = F.when(F.col("msg").isNotNull(), vprog(F.col("attr"), F.col("msg"))).otherwise(F.col("attr"))
-        state = cut_lineage(j.select("id", new_attr.alias("attr")))
-        i += 1
-        active = msgs.select(F.col("dst").alias("id"))
-        msgs = cut_lineage(messages(state, active))
-    return state
+      ``send_to_src``, with the same arguments, -> message to src;
+    * ``merge``: sum, min, max or count, or any aggregate of the message column; it must not
+      depend on the order of messages;
+    * ``active``: an edge sends in a round if the round before changed its source ("out"), its
+      destination ("in"), one of them ("either") or both ("both").
+
+    Round 0 applies ``vprog`` with ``initial_msg`` to every vertex, after which every edge sends.  A
+    vertex changes when it receives a message; the loop ends when none is sent or after
+    ``max_iter`` rounds.  Messages to ids that are no vertices, and edges with such an end, do
+    nothing.  Vertex ids must be unique.
+
+    The state is a table of all vertices plus the rows changed since it was written.  A round reads
+    the edges of changed vertices only, from one side for changed sources and from the other for
+    changed destinations, and writes changed rows only; the whole state is rewritten when those
+    would exceed a quarter of it."""
+    if isinstance(merge, str):
+        if merge not in _MERGES:
+            raise ValueError(f"merge must be one of {sorted(_MERGES)}")
+        merge = _MERGES[merge]
+    if active not in ("out", "in", "either", "both"):
+        raise ValueError("active must be 'out', 'in', 'either' or 'both'")
+    if send_msg is None and send_to_src is None:
+        raise ValueError("nothing is ever sent")
+    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), (F.col("attr") if "attr" in edges.columns else F.lit(1)).alias("eattr"))
+    e, hot = spread(e, threshold=threshold)
+    by = {end: e.repartition(end, f"{end}_salt").persist(StorageLevel.MEMORY_AND_DISK)
+          for end in ("src", "dst") if end == "src" or active in ("in", "either")}
+
+    def vertex(state: DataFrame, end: str) -> DataFrame:
+        return state.select("id", F.col("attr").alias(f"{end}_attr"), F.col("round").alias(f"{end}_round"))
+
+    def sides(now: int, state: DataFrame, changed: DataFrame | None) -> list[DataFrame]:
+        if changed is None:  # round 0
+            return [attach(attach(by["src"], "src", vertex(state, "src"), hot["src"]), "dst", vertex(state, "dst"), hot["dst"])]
+        out = []
+        if active != "in":
+            t = attach(attach(by["src"], "src", vertex(changed, "src"), hot["src"]), "dst", vertex(state, "dst"), hot["dst"])
+            out.append(t if active != "both" else t.filter(F.col("dst_round") == now))
+        if active in ("in", "either"):
+            t = attach(attach(by["dst"], "dst", vertex(changed, "dst"), hot["dst"]), "src", vertex(state, "src"), hot["src"])
+            out.append(t if active == "in" else t.filter(F.col("src_round") < now))
+        return out
+
+    def messages(now: int, state: DataFrame, changed: DataFrame | None) -> DataFrame:
+        ends = (F.col("src_attr"), F.col("dst_attr"), F.col("eattr"))
+        sent = [F.struct(F.col(to).alias("id"), send(*ends).alias("_m")) for to, send in (("dst", send_msg), ("src", send_to_src)) if send is not None]
+        parts = [t.select(F.inline(F.array(*sent))) for t in sides(now, state, changed)]
+        all_sent = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return all_sent.filter(F.col("_m").isNotNull()).groupBy("id").agg(merge("_m").alias("msg"))
+
+    start = initial_msg if isinstance(initial_msg, Column) else F.lit(initial_msg)
+    base, size = cut_lineage_counted(vertices.select("id", vprog(F.col("attr"), start).alias("attr"), F.lit(0).alias("round")))
+    changes, changed, now = None, None, 0
+    state = base
+    while now < max_iter:
+        msgs, n = cut_lineage_counted(messages(now, state, changed))
+        if n == 0:
+            release(msgs)
+            break
+        now += 1
+        applied = vprog(F.col("attr"), F.col("msg"))
+        got = F.col("msg").isNotNull()
+        updated = ("id", F.when(got, applied).otherwise(F.col("attr")).alias("attr"), F.when(got, F.lit(now)).otherwise(F.col("round")).alias("round"))
+        kept = 0 if changes is None else changes_n
+        if kept + n > size * REWRITE_PART:
+            old = [base, changes, msgs]
+            base = cut_lineage(state.join(msgs, "id", "left").select(*updated))
+            changes, state = None, base
+            changed = base.filter(F.col("round") == now)
+        else:
+            old = [changes, msgs]
+            fresh = msgs if changes is None else msgs.join(changes, "id", "left_anti")
+            new = base.join(fresh, "id").select(*updated)
+            if changes is not None:
+                new = new.unionByName(changes.join(msgs, "id", "left").select(*updated))
+            changes, changes_n = cut_lineage_counted(new)
+            state = base.join(changes, "id", "left_anti").unionByName(changes)
+            changed = changes.filter(F.col("round") == now)
+        release(*old)
+    out = cut_lineage(state.select("id", "attr"))
+    for df in by.values():
+        df.unpersist()
+    release(base, changes, *hot.values())
+    return out
 
 
 def bfs_pregel(edges: DataFrame, root: int, max_iter: int = 2 ** 31 - 1) -> DataFrame:
@@ -189,3 +219,22 @@ def bfs_pregel(edges: DataFrame, root: int, max_iter: int = 2 ** 31 - 1) -> Data
         send_msg=lambda s, d, _e: F.when((s != F.lit(INF)) & (d == F.lit(INF)), s + 1.0),
         merge="min", max_iter=max_iter)
     return out.select("id", F.col("attr").alias("dist"))
+
+
+def connected_components(edges: DataFrame, max_iter: int = 2 ** 31 - 1) -> DataFrame:
+    """(id, component): the smallest id that can be reached when directions are ignored, as a Pregel
+    program that sends the smaller label to either end of an edge."""
+    verts = graph_from_edges(edges.select("src", "dst")).select("id", F.col("id").cast("long").alias("attr"))
+    out = pregel(edges.select("src", "dst"), verts, 2 ** 63 - 1, vprog=F.least,
+                 send_msg=lambda s, d, _e: F.when(s < d, s), send_to_src=lambda s, d, _e: F.when(d < s, d), max_iter=max_iter)
+    return out.select("id", F.col("attr").alias("component"))
+
+
+def shortest_paths(edges: DataFrame, root: int, max_iter: int = 2 ** 31 - 1) -> DataFrame:
+    """(id, dist double): least sum of edge attributes (>= 0) on a directed path from ``root``; +inf
+    where there is none."""
+    verts = graph_from_edges(edges.select("src", "dst")).select(
+        "id", F.when(F.col("id") == F.lit(int(root)), F.lit(0.0)).otherwise(F.lit(INF)).alias("attr"))
+    weighted = edges.select("src", "dst", F.col("attr").cast("double").alias("attr"))
+    out = pregel(weighted, verts, INF, vprog=F.least, send_msg=lambda s, d, w: F.when(s + w < d, s + w), max_iter=max_iter, active="out")
+    return out.select("id", F.col("attr").alias("dist"))

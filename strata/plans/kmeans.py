@@ -2,28 +2,31 @@
 
 Points are ``(id, features array<double>)``; centers are ``(center_id int, center array<double>)``.
 
-Per Lloyd step the points are scanned once (they are persisted across steps), each task
-assigns its points and forms partial (sum, count, cost) per cluster, and only k*dim partial
-rows per task cross the shuffle.  Only the k centers -- size-checked -- reach the driver,
-where the loop decides convergence.  Two interchangeable step engines:
-
-* ``method="sql"``   Catalyst expressions: centers compiled into the projection, partial sums
-                     from ``posexplode`` + aggregate (the oracle-friendly form);
-* ``method="arrow"`` ``mapInArrow``: each Arrow batch becomes an (n, dim) NumPy matrix and
-                     yields per-cluster partials; the reduction stays a Spark aggregate.
+A model is k x dim doubles and lives on the driver between steps, as one matrix that is broadcast
+to the executors.  Per Lloyd step the points are scanned once (they are persisted across steps);
+each task assigns its points and forms partial (sum, count, cost) rows per cluster, and only
+those cross the shuffle.  Two step engines share the assignment:
+
+* ``method="sql"``   Catalyst sums: ``posexplode`` and one aggregate (the oracle-friendly form);
+* ``method="arrow"`` ``mapInArrow``: a task adds its batches up in NumPy; the reduction stays a
+                     Spark aggregate.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.linalg import collect_centers, nearest_center_expr
-from strata.operators.layout import unpack_blocks, untranspose
-
+from strata.functions.hashing import uniform
+from strata.functions.nearest import Centers, matrix_of, nearest_column
+from strata.operators.layout import row_index, unpack_blocks, untranspose
+from strata.operators.linalg import nearest_center
+from strata.session import cut_lineage
 
 
 def centers_frame(spark, centers: list[tuple[int, list[float]]]) -> DataFrame:
@@ -31,6 +34,12 @@ def centers_frame(spark, centers: list[tuple[int, list[float]]]) -> DataFrame:
                                  "center_id int, center array<double>")
 
 
+def _model_frame(spark, model: Centers) -> DataFrame:
+    table = pa.table({"center_id": pa.array(model.ids.astype(np.int32)),
+                      "center": pa.array(model.rows.tolist(), pa.list_(pa.float64()))})
+    return spark.createDataFrame(table, "center_id int, center array<double>")
+
+
 def initial_centers_lowest(points: DataFrame, k: int, id_col: str = "id", col: str = "features") -> DataFrame:
     """Deterministic init: the k points with the lowest ids, numbered 0..k-1 (a top-k)."""
     if k <= 0:
@@ -44,14 +53,12 @@ def initial_centers_lowest(points: DataFrame, k: int, id_col: str = "id", col: s
 
 def kmeans_predict(points: DataFrame, centers: DataFrame, col: str = "features") -> DataFrame:
     """Adds ``cluster`` (nearest center, lowest id on ties) and ``sqdist``."""
-    cs = collect_centers(centers)
-    nc = nearest_center_expr(col, cs)
-    return points.withColumn("_nc", nc).select("*", "_nc.cluster", "_nc.sqdist").drop("_nc")
+    return nearest_center(points, centers, col)
 
 
 def total_cost(points: DataFrame, centers: DataFrame, col: str = "features") -> DataFrame:
     """Within-set sum of squared distances to the nearest center (one row: cost)."""
-    return kmeans_predict(points, centers, col).agg(F.sum("sqdist").alias("cost"))
+    return kmeans_predict(points.select(col), centers, col).agg(F.sum("sqdist").alias("cost"))
 
 
 kmeans_cost = total_cost
@@ -67,69 +74,44 @@ def cluster_sizes(assigned: DataFrame, cluster_col: str = "cluster") -> DataFram
 # pos = dim is the point count and pos = dim + 1 the cost.  Each task contributes at most
 # k * (dim + 2) rows after its partial aggregate, whatever the number of points.
 
-def _partials_sql(points: DataFrame, cs, col: str) -> DataFrame:
-    nc = nearest_center_expr(col, cs)
-    a = points.select(nc.alias("_nc"), F.col(col).alias("_x"))
+def _partials_sql(points: DataFrame, model: Centers, col: str) -> DataFrame:
+    a = points.select(nearest_column(points, col, model).alias("_nc"), F.col(col).alias("_x"))
     ext = F.concat(F.col("_x"), F.array(F.lit(1.0), F.col("_nc.sqdist")))
     ex = a.select(F.col("_nc.cluster").alias("cluster"), F.posexplode(ext).alias("pos", "x"))
     return ex.groupBy("cluster", "pos").agg(F.sum("x").alias("s"))
 
 
-def _arrow_partials_fn(cs):
-    ids = np.array([c[0] for c in cs], dtype=np.int32)
-    cmat = np.array([c[1] for c in cs], dtype=np.float64)
-    k, d = cmat.shape
-
-    def fn(batches):
-        stats = np.zeros((k, d + 2))
-        for rb in batches:
-            # rows of points, or flat row-major blocks: either way a row holds whole points of length d
-            col = rb.column(0)
-            sizes = np.diff(col.offsets.to_numpy())
-            vals = col.flatten()
-            if col.null_count or vals.null_count or (sizes % d).any() or not sizes.all():
-                raise ValueError(f"every point must hold {d} values, none of them null")
-            x = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
-            n = x.shape[0]
-            dist = np.empty((n, k))
-            for j in range(k):
-                diff = x - cmat[j]
-                dist[:, j] = np.einsum("ij,ij->i", diff, diff)
-            lab = np.argmin(dist, axis=1)  # first minimum -> lowest center id (centers sorted by id)
-            best = dist[np.arange(n), lab]
-            onehot = np.zeros((k, n))
-            onehot[lab, np.arange(n)] = 1.0
-            stats[:, :d] += onehot @ x
-            stats[:, d] += np.bincount(lab, minlength=k)
-            stats[:, d + 1] += np.bincount(lab, weights=best, minlength=k)
-        present = np.flatnonzero(stats[:, d] > 0)
+def _partials_arrow(points: DataFrame, model: Centers, col: str) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast((model.ids, model.rows))
+
+    def add_up(batches):
+        held = Centers(*shared.value)
+        sums = np.zeros((len(held.ids), held.dim + 2))
+        for batch in batches:  # rows of points, or flat row-major blocks of whole points
+            sums += held.partials(matrix_of(batch.column(0), held.dim))
+        present = np.flatnonzero(sums[:, -2] > 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids[present], d + 2)), pa.array(np.tile(np.arange(d + 2, dtype=np.int32), len(present))),
-             pa.array(stats[present].ravel())],
+            [pa.array(np.repeat(held.ids[present], held.dim + 2).astype(np.int32)),
+             pa.array(np.tile(np.arange(held.dim + 2, dtype=np.int32), len(present))), pa.array(sums[present].ravel())],
             names=["cluster", "pos", "s"])
 
-    return fn
-
-
-def _partials_arrow(points: DataFrame, cs, col: str) -> DataFrame:
-    parts = points.select(F.col(col).cast("array<double>").alias("x")).mapInArrow(
-        _arrow_partials_fn(cs), "cluster int, pos int, s double")
+    parts = points.select(F.col(col).cast("array<double>").alias("x")).mapInArrow(add_up, "cluster int, pos int, s double")
     return parts.groupBy("cluster", "pos").agg(F.sum("s").alias("s"))
 
 
-def _step_stats(points: DataFrame, cs, col: str, method: str) -> DataFrame:
+def _step_stats(points: DataFrame, model: Centers, col: str, method: str) -> DataFrame:
     if method == "sql":
-        return _partials_sql(points, cs, col)
+        return _partials_sql(points, model, col)
     if method == "arrow":
-        return _partials_arrow(points, cs, col)
+        return _partials_arrow(points, model, col)
     raise ValueError("method must be 'sql' or 'arrow'")
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame, col: str = "features", method: str = "sql") -> DataFrame:
     """One Lloyd step as a plan: (center_id, center).  A center without points keeps its value."""
-    cs = collect_centers(centers)
-    d = len(cs[0][1])
-    st = _step_stats(points, cs, col, method)
+    model = Centers.collect(centers)
+    d = model.dim
+    st = _step_stats(points, model, col, method)
     cnt = st.filter(F.col("pos") == d).select("cluster", F.col("s").alias("n"))
     means = (st.filter(F.col("pos") < d).join(cnt, "cluster")
              .select(F.col("cluster").alias("center_id"), "pos", (F.col("s") / F.col("n")).alias("m")))
@@ -139,27 +121,15 @@ def lloyd_step(points: DataFrame, centers: DataFrame, col: str = "features", met
             .select("center_id", F.coalesce("new_center", "center").alias("center")))
 
 
-def _driver_step(points: DataFrame, cs, col: str, method: str):
-    """Run one step (one job); return (new centers list, cost before the update)."""
-    d = len(cs[0][1])
-    acc: dict[int, dict[int, float]] = {}
-    for r in _step_stats(points, cs, col, method).collect():  # k * (dim + 2) rows
-        acc.setdefault(int(r["cluster"]), {})[int(r["pos"])] = float(r["s"])
-    new = []
-    cost = 0.0
-    for cid, c in cs:
-        st = acc.get(cid)
-        if st and st.get(d, 0.0) > 0:
-            n = st[d]
-            cost += st.get(d + 1, 0.0)
-            new.append((cid, [st.get(i, 0.0) / n for i in range(len(c))]))
-        else:
-            new.append((cid, list(c)))
-    return new, cost
-
-
-def _sq(a, b) -> float:
-    return float(sum((x - y) * (x - y) for x, y in zip(a, b)))
+def _driver_step(points: DataFrame, model: Centers, col: str, method: str) -> tuple[Centers, float]:
+    """Run one step (one job); return the new model and the cost before the update.  What comes back
+    is the model's own size, k x (dim + 2) values in Arrow columns."""
+    got = _step_stats(points, model, col, method).toArrow()
+    sums = np.zeros((len(model.ids), model.dim + 2))
+    sums[np.searchsorted(model.ids, got["cluster"].to_numpy()), got["pos"].to_numpy()] = got["s"].to_numpy()
+    n = sums[:, -2:-1]
+    rows = np.where(n > 0, sums[:, :-2] / np.maximum(n, 1.0), model.rows)
+    return Centers(model.ids, rows), float(sums[:, -1].sum())
 
 
 def lloyd_loop(points: DataFrame, centers: DataFrame, max_iter: int, eps: float | None, col: str = "features",
@@ -175,22 +145,20 @@ def lloyd_loop(points: DataFrame, centers: DataFrame, max_iter: int, eps: float
     pts = points.select(F.col(col).cast("array<double>").alias(col))
     if persist:
         pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    cs = collect_centers(centers)
+    model = Centers.collect(centers)
     trace = []
-    it = 0
     try:
-        while it < max_iter:
-            new, cost = _driver_step(pts, cs, col, method)
+        for it in range(max_iter):
+            new, cost = _driver_step(pts, model, col, method)
             trace.append((it, cost))
-            it += 1
-            moved = max((_sq(a[1], b[1]) for a, b in zip(cs, new)), default=0.0)
-            cs = new
+            moved = ((new.rows - model.rows) ** 2).sum(axis=1).max()
+            model = new
             if eps is not None and moved <= eps * eps:
                 break
     finally:
         if persist:
             pts.unpersist()
-    return centers_frame(spark, cs), it, trace
+    return _model_frame(spark, model), len(trace), trace
 
 
 def kmeans_fit_fixed(points: DataFrame, init_centers: DataFrame, num_iter: int, col: str = "features",
@@ -254,95 +222,146 @@ def kmeans_fit_ml(points: DataFrame, k: int = 2, max_iter: int = 20, eps: float
 
 # ----------------------------------------------------------------------------- initialisation
 
-def _uniform(id_col: str, seed: int):
-    """Deterministic uniform [0, 1) from the id and a seed (independent of partitioning)."""
-    h = F.xxhash64(F.col(id_col), F.lit(int(seed)))
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
 def take_sample(points: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
     """k rows without replacement, in a seeded hash order (a top-k by the hash)."""
     if k < 0:
         raise ValueError("k must be >= 0")
-    return points.withColumn("_u", _uniform(id_col, seed)).orderBy("_u", id_col).limit(k).drop("_u")
+    return points.withColumn("_u", uniform(seed, id_col)).orderBy("_u", id_col).limit(k).drop("_u")
 
 
-def kmeans_init_random(points: DataFrame, k: int, seed: int, id_col: str = "id", col: str = "features") -> DataFrame:
-    """Sample k points and drop duplicate vectors: (center_id, center)."""
+def weighted_sample(points: DataFrame, cost_col: str, k: int, total: float, seed: int, id_col: str = "id") -> DataFrame:
+    """Keep each row with probability 2 * cost * k / total (seeded, deterministic per id)."""
+    if total <= 0:
+        return points.limit(0)
+    return points.filter(uniform(seed, id_col) < F.lit(2.0 * k) * F.col(cost_col) / F.lit(float(total)))
+
+
+def _numbered(rows: DataFrame, id_col: str, col: str) -> DataFrame:
+    """Distinct vectors as centers, numbered in the order of the lowest id that has them."""
     from strata.operators.vectors import dedupe_vectors
 
-    s = take_sample(points, k, seed, id_col).select(id_col, col)
-    d = dedupe_vectors(s, col, id_col)
-    rows = s.join(d.select(id_col), id_col, "left_semi").orderBy(id_col).collect()  # at most k rows
-    if not rows:
+    first = dedupe_vectors(rows, col, id_col).select(id_col)
+    kept = row_index(rows.dropDuplicates([id_col]).join(first, id_col, "left_semi").select(id_col, col), id_col, "_n")
+    return kept.select(F.col("_n").cast("int").alias("center_id"), F.col(col).alias("center"))
+
+
+def kmeans_init_random(points: DataFrame, k: int, seed: int, id_col: str = "id", col: str = "features") -> DataFrame:
+    """Sample k points and drop duplicate vectors: (center_id, center), numbered by id.  An empty
+    table raises."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    sample = cut_lineage(take_sample(points.select(id_col, F.col(col).cast("array<double>").alias(col)), k, seed, id_col))
+    if sample.isEmpty():
         raise ValueError("empty input")
-    return centers_frame(points.sparkSession, [(i, list(r[col])) for i, r in enumerate(rows)])
+    return _numbered(sample, id_col, col)
 
 
-def kmeans_init_parallel(points: DataFrame, k: int, steps: int = 2, seed: int = 42, id_col: str = "id",
-                         col: str = "features") -> DataFrame:
-    """k-means||: one seed point; each step keeps each point with probability
-    min(1, 2 k cost / total cost), cost updated against the new centers only; the distinct
-    candidates are then weighted by the points they attract and reduced to k with a weighted
-    k-means (Spark ML) over the candidate table."""
+def parallel_candidates(points: DataFrame, k: int, steps: int = 2, seed: int = 42, id_col: str = "id",
+                        col: str = "features") -> DataFrame:
+    """Oversampled k-means|| candidates as a table (center_id, center) of distinct vectors.
+
+    One seed point; each step keeps each point with probability min(1, 2 k cost / total cost).  The
+    candidates of a step go to a table of their own and only they are compared with the points to
+    lower their costs; a step's costs are complete in the cache before the last step's are
+    released, so no step is ever computed twice."""
     if k <= 0 or steps <= 0:
         raise ValueError("k > 0 and steps > 0 are required")
-    spark = points.sparkSession
-    pts = points.select(id_col, F.col(col).cast("array<double>").alias(col)).persist(StorageLevel.MEMORY_AND_DISK)
+    pts = points.select(id_col, F.col(col).cast("array<double>").alias(col))
+    new = cut_lineage(take_sample(pts, 1, seed, id_col))
+    if new.isEmpty():
+        raise ValueError("empty input")
+    chosen, cost = [new], pts.withColumn("_cost", F.lit(float("inf")))
+    held = None
     try:
-        first = take_sample(pts, 1, seed, id_col).collect()
-        if not first:
-            raise ValueError("empty input")
-        cands = [list(first[0][col])]
-        cost = pts.select(id_col, col, nearest_center_expr(col, [(0, cands[0])])["sqdist"].alias("_cost"))
-        cost = cost.persist(StorageLevel.MEMORY_AND_DISK)
         for step in range(steps):
-            total = cost.agg(F.sum("_cost")).first()[0] or 0.0
+            if new is not None:
+                model = Centers.collect(row_index(new, id_col, "_n"), "_n", col)
+                nearer = cost.withColumn("_cost", F.least("_cost", nearest_column(cost, col, model)["sqdist"]))
+                nearer = nearer.persist(StorageLevel.MEMORY_AND_DISK)
+                total = nearer.agg(F.sum("_cost")).first()[0] or 0.0  # fills the cache
+                if held is not None:
+                    held.unpersist()
+                held = cost = nearer
             if total <= 0:
                 break
-            p = F.lit(2.0 * k) * F.col("_cost") / F.lit(total)
-            chosen = [list(r[col]) for r in cost.filter(_uniform(id_col, seed + 1 + step) < p).select(col).collect()]
-            if not chosen:
-                continue
-            cands.extend(chosen)
-            new_cs = [(i, c) for i, c in enumerate(chosen)]
-            nxt = cost.select(id_col, col, F.least(F.col("_cost"), nearest_center_expr(col, new_cs)["sqdist"]).alias("_cost"))
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            cost.unpersist()
-            cost = nxt
-        cost.unpersist()
-        uniq = []
-        seen = set()
-        for c in cands:
-            key = tuple(c)
-            if key not in seen:
-                seen.add(key)
-                uniq.append(c)
-        cand_cs = [(i, c) for i, c in enumerate(uniq)]
-        if len(cand_cs) <= k:
-            return centers_frame(spark, cand_cs)
-        weights = cluster_sizes(pts.select(nearest_center_expr(col, cand_cs)["cluster"].alias("cluster")))
-        return kmeans_reduce_candidates(centers_frame(spark, cand_cs), weights, k, seed)
+            new = cut_lineage(weighted_sample(cost, "_cost", k, total, seed + 1 + step, id_col).select(id_col, col))
+            if new.isEmpty():
+                new = None
+            else:
+                chosen.append(new)
     finally:
-        pts.unpersist()
+        if held is not None:
+            held.unpersist()
+    rows = chosen[0]
+    for c in chosen[1:]:
+        rows = rows.unionByName(c)
+    return cut_lineage(_numbered(rows, id_col, col))
 
 
-def kmeans_reduce_candidates(cands: DataFrame, weights: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Weighted k-means over the (few) candidates with Spark ML: (center_id, center)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans_init_parallel(points: DataFrame, k: int, steps: int = 2, seed: int = 42, id_col: str = "id",
+                         col: str = "features") -> DataFrame:
+    """k-means||: the candidates of ``parallel_candidates``, weighted by the points they attract and
+    reduced to k by ``kmeans_reduce_candidates``; k candidates or fewer are the result themselves.
+    (center_id, center).  An empty table raises."""
+    cands = parallel_candidates(points, k, steps, seed, id_col, col)
+    if cands.count() <= k:
+        return cands
+    weights = cut_lineage(cluster_sizes(kmeans_predict(points.select(col), cands, col)))
+    return kmeans_reduce_candidates(cands, weights, k, seed)
 
-    df = cands.join(weights.withColumnRenamed("cluster", "center_id"), "center_id", "left").select(
-        array_to_vector("center").alias("_v"), F.coalesce(F.col("size").cast("double"), F.lit(0.0)).alias("_w"))
-    model = KMeans(k=k, maxIter=30, initMode="k-means||", seed=seed, featuresCol="_v", weightCol="_w").fit(df)
-    return centers_frame(cands.sparkSession, [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())])
 
+#: Lloyd steps over the candidates at most.
+REDUCE_STEPS = 30
 
-def weighted_sample(points: DataFrame, cost_col: str, k: int, total: float, seed: int, id_col: str = "id") -> DataFrame:
-    """Keep each row with probability 2 * cost * k / total (seeded, deterministic per id)."""
-    if total <= 0:
-        return points.limit(0)
-    return points.filter(_uniform(id_col, seed) < F.lit(2.0 * k) * F.col(cost_col) / F.lit(float(total)))
+
+def draw_key(seed: int, draw: int, center_id: int, mass: float) -> float:
+    """Exponential race: the candidate with the smallest key is drawn with a chance in proportion to
+    its mass, whatever order the candidates come in.  No mass, never drawn."""
+    u = int(hashlib.md5(f"{seed}:{draw}:{center_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    return -np.log(u) / mass if u > 0 and mass > 0 else np.inf
+
+
+def kmeans_reduce_candidates(cands: DataFrame, weights: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Weighted k-means++ over the candidates: (center_id, center).
+
+    Draws k candidates one after the other, each in proportion to its weight times the squared
+    distance to those drawn before (the first by weight alone), then runs weighted Lloyd steps
+    until no candidate changes its center, ``REDUCE_STEPS`` at most.  Centers are numbered as drawn;
+    one that loses all candidates stays where it is.  Candidates without a row in ``weights``
+    weigh nothing; fewer distinct ones than k give fewer centers.
+
+    The candidates of k-means|| are 2 k a step on average, so like the model they depend on k and
+    not on the data, and each draw depends on the one before: they are reduced on the driver."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    rows = cands.join(weights.select(F.col("cluster").alias("center_id"), F.col("size").cast("double").alias("_w")), "center_id", "left")
+    got = rows.select(F.col("center_id").cast("long").alias("i"), F.col("center").cast("array<double>").alias("c"), F.coalesce("_w", F.lit(0.0)).alias("w")).orderBy("i").toArrow()
+    if not got.num_rows:
+        raise ValueError("no candidates")
+    ids, x, w = got["i"].to_numpy(), matrix_of(got["c"]), got["w"].to_numpy()
+    drawn: list[int] = []
+    near = np.ones(len(ids))
+    for draw in range(min(k, len(ids))):
+        keys = [draw_key(seed, draw, i, m) for i, m in zip(ids.tolist(), (w * near).tolist(), strict=True)]
+        at = int(np.argmin(keys))
+        if not np.isfinite(keys[at]):
+            break
+        drawn.append(at)
+        far = ((x - x[at]) ** 2).sum(axis=1)
+        near = np.minimum(near, far) if draw else far
+    if not drawn:
+        raise ValueError("no candidate has a weight")
+    model, before = Centers(np.arange(len(drawn)), x[drawn]), None
+    for _ in range(REDUCE_STEPS):
+        label, _ = model.nearest(x)
+        if before is not None and (label == before).all():
+            break
+        before = label
+        mass = np.bincount(label, weights=w, minlength=len(drawn))
+        sums = np.zeros_like(model.rows)
+        np.add.at(sums, label, x * w[:, None])
+        model = Centers(model.ids, np.where(mass[:, None] > 0, sums / np.where(mass > 0, mass, 1.0)[:, None], model.rows))
+    return _model_frame(cands.sparkSession, model)
 
 
 # ----------------------------------------------------------------------------- other layouts

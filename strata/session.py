@@ -2,8 +2,8 @@
 
 Library functions never build their own session; they take DataFrames. The only
 session-level concern inside the library is where iterative jobs write checkpoints:
-the cluster names a shared folder in ``spark.checkpoint.dir`` and we use it. A
-private folder is created only when the setting is absent (local runs, tests).
+the cluster names a shared folder in ``spark.checkpoint.dir`` and we use it.  A private folder
+is made only on a local master (tests, the bench) that names none; a cluster that names none raises.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "strata") -> SparkSession:
@@ -59,8 +60,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoints), and a fresh leaf, so iterative plans neither grow nor carry statistics of
     their origin plans (which ``Dataset.checkpoint`` re-derives on every round)."""
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/strata-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/strata-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strata_path = path
+    return out
 
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, observed by the write itself."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what ``cut_lineage`` wrote for these frames.  Only for steps of a loop that later,
+    already written steps have replaced; no plan may still read them."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "_strata_path", None)):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -30,7 +30,7 @@ def parse_edge_lines(lines: DataFrame, canonical: bool = False, line_col: str =
     keep = (F.length(line) > 0) & ~line.rlike(r"^[#\p{L}]")
     body = lines.filter(keep).select(F.split(F.trim(line), r"\s+").alias("_f"), line.alias("_l"))
     fields = F.when(F.size("_f") >= 2, F.col("_f")).otherwise(
-        F.raise_error(F.concat(F.lit("Invalid line: "), F.col("_l"))).cast("array<string>"))
+        F.raise_error(F.concat(F.lit("an edge needs two vertex ids: "), F.col("_l"))).cast("array<string>"))
     parsed = body.select(fields.alias("_f")).select(
         F.get("_f", 0).cast("long").alias("src"), F.get("_f", 1).cast("long").alias("dst"))
     if canonical:
@@ -65,26 +65,47 @@ def format_point_lines(points: DataFrame, col: str = "features", sep: str = " ",
     return points.select(*keep, F.array_join(F.transform(col, lambda x: x.cast("string")), sep).alias("value"))
 
 
-def parse_column_lines(lines: DataFrame, dim_col: str = "dim", line_col: str = "value", keep=()) -> DataFrame:
+#: Points of a row block of a column file.
+COLUMN_BLOCK = 4096
+
+
+def parse_column_lines(lines: DataFrame, dim_col: str = "dim", line_col: str = "value", keep=(), block_rows: int = COLUMN_BLOCK) -> DataFrame:
     """Column file: line ``dim`` holds that dimension of every point -> (row, features).
 
-    ``keep`` columns identify one file among many (e.g. a row block) and pass through.
-    Groups are one point each (bounded by the number of dimensions)."""
+    ``keep`` columns identify one file among many (e.g. a row block) and pass through.  A line is
+    cut by position into blocks of ``block_rows`` values inside its own row; the blocks of one
+    position meet, one of each dimension, and are turned into points there, so no row or group
+    grows with the number of points.  Dimensions of different lengths raise."""
     keep = list(keep)
-    vals = F.split(F.trim(F.col(line_col)), r"\s+")
-    ex = lines.select(*keep, dim_col, F.posexplode(vals).alias("row", "x"))
-    g = ex.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct(
-        F.col(dim_col).alias("d"), F.col("x").cast("double").alias("x")))).alias("_p"))
-    return g.select(*keep, F.col("row").cast("long"), F.transform("_p", lambda p: p["x"]).alias("features"))
+
+    def cut(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / block_rows).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(values, b * block_rows + 1, F.lit(block_rows)))
+
+    words = F.filter(F.split(F.col(line_col), r"\s+"), lambda w: w != "")
+    blocks = lines.select(*keep, F.col(dim_col).alias("_d"), words.alias("_words"))
+    blocks = blocks.select(*keep, "_d", F.size("_words").alias("_n"), F.posexplode(let(F.col("_words"), cut)).alias("_b", "_w"))
+    column = F.struct("_d", "_n", F.transform("_w", lambda t: t.cast("double")).alias("_x"))
+    g = blocks.groupBy(*keep, "_b").agg(F.array_sort(F.collect_list(column)).alias("_p"))
+
+    def points(p: Column) -> Column:
+        # every line is in its file's first block, so one that is shorter or longer shows there
+        n = F.element_at(p, 1)["_n"]
+        even = F.forall(p, lambda c: c["_n"] == n)
+        rows = F.transform(F.sequence(F.lit(0), F.size(F.element_at(p, 1)["_x"]) - 1), lambda k: F.transform(p, lambda c: F.get(c["_x"], k)))
+        return F.when(~even, F.raise_error(F.lit("the lines of a column file must have equally many values")).cast("array<array<double>>")).when(n > 0, rows)
+
+    ex = g.select(*keep, "_b", F.posexplode(let(F.col("_p"), points)).alias("_k", "features"))
+    return ex.select(*keep, (F.col("_b") * F.lit(block_rows).cast("long") + F.col("_k")).alias("row"), "features")
 
 
-def read_points_by_column(spark: SparkSession, path: str) -> DataFrame:
+def read_points_by_column(spark: SparkSession, path: str, block_rows: int = COLUMN_BLOCK) -> DataFrame:
     """File with one line per dimension; line order gives the dimension."""
     from strata.operators.layout import row_index
 
     lines = spark.read.text(path).withColumn("_mid", F.monotonically_increasing_id())
-    numbered = row_index(lines, "_mid", "dim")
-    return parse_column_lines(numbered)
+    numbered = lines.join(row_index(lines.select("_mid"), "_mid", "dim"), "_mid")  # only the numbers are written
+    return parse_column_lines(numbered, block_rows=block_rows)
 
 
 # ----------------------------------------------------------------------------- LIBSVM
@@ -116,7 +137,7 @@ def parse_libsvm_lines(lines: DataFrame, num_features: int = -1, line_col: str =
     ok = let(F.col("_i"), lambda idx: _ascending(idx) & (F.coalesce(F.get(idx, 0), F.lit(0)) >= 0))
     checked = parsed.select(
         *keep, "label", F.when(ok, F.col("_i")).otherwise(F.raise_error(F.concat(
-            F.lit("indices should be one-based and in ascending order; line="), F.col("_l"))).cast("array<int>")).alias("_i"),
+            F.lit("feature numbers must start at 1 and rise: "), F.col("_l"))).cast("array<int>")).alias("_i"),
         "_v")
     if num_features and num_features > 0:
         size = F.lit(int(num_features))
@@ -249,10 +270,13 @@ def sparse_vector(sp) -> Column:
 # ----------------------------------------------------------------------------- labeled points
 
 def parse_labeled_point(s) -> Column:
-    """``(label,vector)`` with a dense or sparse vector text -> struct(label, features)."""
+    """``(label,vector)`` with a dense or sparse vector text, or the older ``label,v v v`` -> struct
+    (label, features).  Anything else raises."""
     s = F.trim(F.col(s) if isinstance(s, str) else s)
-    label = F.regexp_extract(s, r"^\(\s*([^,]+)\s*,", 1)
-    vec = F.regexp_extract(s, r"^\(\s*[^,]+\s*,\s*(.*)\)$", 1)
+    paired = s.startswith("(")
+    label = F.when(paired, F.regexp_extract(s, r"^\(\s*([^,]+)\s*,", 1)).otherwise(F.trim(F.regexp_extract(s, r"^([^,]+),", 1)))
+    older = F.concat(F.lit("["), F.regexp_replace(F.trim(F.regexp_extract(s, r"^[^,]+,([^,]*)$", 1)), r"\s+", ","), F.lit("]"))
+    vec = F.when(paired, F.regexp_extract(s, r"^\(\s*[^,]+\s*,\s*(.*)\)$", 1)).when(s.rlike(r"^[^,]+,[^,]*$"), older).otherwise(s)
     return F.struct(label.cast("double").alias("label"), parse_vector_text(vec).alias("features"))
 
 

@@ -8,12 +8,13 @@ streaming aggregation whose state is one row per feature index (at most ``num_fe
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import hashing as H
+from strata.functions.nearest import Centers, nearest_column
 from strata.operators import text as X
-from strata.operators.linalg import nearest_center_expr
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,6 +42,6 @@ def stream_document_frequency(stream: DataFrame, id_col: str = "doc_id", text_co
 
 
 def stream_assign(stream: DataFrame, centers: list[tuple[int, list[float]]], col: str = "features") -> DataFrame:
-    """Nearest-center assignment of arriving points against a fixed, size-checked model."""
-    nc = nearest_center_expr(F.col(col).cast("array<double>"), sorted(centers))
-    return stream.withColumn("_nc", nc).select("*", "_nc.cluster", "_nc.sqdist").drop("_nc")
+    """Nearest-center assignment of arriving points against a fixed model."""
+    model = Centers(np.array([i for i, _ in sorted(centers)]), np.array([c for _, c in sorted(centers)], dtype=float))
+    return stream.withColumn("_nc", nearest_column(stream, col, model)).select(*stream.columns, "_nc.cluster", "_nc.sqdist")

@@ -95,3 +95,40 @@ def test_empty_vectors_parse(spark):
     df = spark.createDataFrame([("[]",), ("(3,[],[])",)], "s string")
     got = [(r.v.type, r.v.indices, r.v["values"]) for r in df.select(TF.parse_vector_text("s").alias("v")).collect()]
     assert got == [(1, None, []), (0, [], [])]
+
+
+def test_column_file_in_blocks(spark, tmp_path):
+    """64 lines of 200,000 values: blocks of 4,096 points, no row or group of the file's length."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(64, 200_000)), 3)
+    path = tmp_path / "columns.txt"
+    with open(path, "w") as f:
+        for line in x:
+            f.write(" ".join(map(str, line.tolist())) + "\n")
+    pts = TF.read_points_by_column(spark, str(path))
+    got = pts.agg(F.count("*"), F.min("row"), F.max("row"), F.min(F.size("features")), F.max(F.size("features")), F.sum(F.col("row") * F.get("features", 63))).first()
+    assert got[:5] == (200_000, 0, 199_999, 64, 64) and abs(got[5] - float((np.arange(200_000) * x[63]).sum())) < 1e-3
+    some = {r.row: r.features for r in pts.filter(F.col("row").isin(0, 4095, 4096, 199_999)).collect()}
+    assert some == {i: x[:, i].tolist() for i in (0, 4095, 4096, 199_999)}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_column_lines_of_any_block_size(spark, block):
+    lines = spark.createDataFrame([(0, " 1 2  3 4 5", "f"), (1, "6 7 8 9 10 ", "f"), (0, "1", "g"), (1, "2", "g"), (0, "", "h"), (1, " ", "h")], "dim int, value string, file string")
+    got = sorted((r.file, r.row, r.features) for r in TF.parse_column_lines(lines, keep=["file"], block_rows=block).collect())
+    assert got == [*(("f", i, [i + 1.0, i + 6.0]) for i in range(5)), ("g", 0, [1.0, 2.0])]
+    for short in ("1 2 3 4", "1 2 3 4 5 6", ""):
+        with pytest.raises(Exception, match="equally many"):
+            TF.parse_column_lines(lines.filter("file = 'f' and dim = 0").unionByName(spark.createDataFrame([(1, short, "f")], "dim int, value string, file string")),
+                                  block_rows=block).collect()
+
+
+def test_older_labeled_points(spark):
+    df = spark.createDataFrame([("1.0,0.5 -2 3e1",), ("(0.0,[1.0,2.0])",), (" -1 , 4 ",), ("(2,(3,[1],[5.0]))",)], "value string")
+    got = [(r.p.label, r.p.features.values, r.p.features.size) for r in df.select(TF.parse_labeled_point("value").alias("p")).collect()]
+    assert got == [(1.0, [0.5, -2.0, 30.0], None), (0.0, [1.0, 2.0], None), (-1.0, [4.0], None), (2.0, [5.0], 3)]
+    for bad in ("1.0", "1.0,2.0,3.0", "1.0,a b", "x,1 2"):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.createDataFrame([(bad,)], "value string").select(TF.parse_labeled_point("value").alias("p")).collect()

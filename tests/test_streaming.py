@@ -21,9 +21,8 @@ def test_streaming_doc_freq_equals_batch(spark, sf, tmp_path):
 
 def test_streaming_assignment(spark, sf, tmp_path):
     from strata import catalog as C
-    from strata.operators.linalg import collect_centers
 
-    cs = collect_centers(C.lowest_centers(spark, sf))
+    cs = [(r.center_id, r.center) for r in C.lowest_centers(spark, sf).collect()]
     stream = (spark.readStream.schema("vec_id long, embedding array<float>, label int")
               .option("pathGlobFilter", "embeddings.parquet").parquet(sf))
     out = ST.stream_assign(stream.select("vec_id", F.col("embedding").alias("features")), cs)
