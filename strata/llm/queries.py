@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,5 +153,36 @@ def _chat_sql() -> str:
         FROM c GROUP BY conv_id"""
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, byte by byte with the usual table of the reflected polynomial."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    raw = f"hex({text})"
+    byte = f"list_transform(range(len({raw}) // 2), lambda i: ('0x' || substr({raw}, 2 * i + 1, 2))::BIGINT)"
+    step = f"xor(c >> 8, ({table}::BIGINT[])[xor(c, b) % 256 + 1])"
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, {byte}), lambda c, b: {step}), {0xFFFFFFFF}::BIGINT)"
+
+
+def _variants_sql() -> str:
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{variants.RUN}+')), '{upper}', '{lower}') AS run FROM documents),
+        o AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= {variants.MIN_LENGTH} GROUP BY ALL),
+        h AS MATERIALIZED (SELECT run, n, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM o),
+        w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+              WHERE length(word) >= {variants.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {variants.MIN_COUNT}),
+        d AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+        p AS MATERIALIZED (SELECT d.word AS a, w.word AS b FROM d JOIN w ON w.word = d.less
+              UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.less
+              UNION SELECT x.word, y.word FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+        b AS (SELECT p.a AS word, count(*)::BIGINT AS n_near, arg_min(p.b, struct_pack(n := -w.n, b := p.b)) AS best, max(w.n) AS best_n FROM p JOIN w ON w.word = p.b GROUP BY p.a),
+        f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {variants.FORM_FACTOR} * w.n THEN best END AS form,
+              CASE WHEN best_n >= {variants.FORM_FACTOR} * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)),
+        t(word, root, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT t.word, f.form, steps + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, x.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM t GROUP BY word) x USING (word)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_best_fit_packing, op4_language_id, op5_ngram_jaccard_join, op6_decontamination, op7_toxicity, op8_ann_search, op9_suffix_dedup, op10_chat_format, op11_spelling_variants, op12_bpe_round_trip, op13_periodic_runs)}
-ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql()}
+ORACLES = {"op1_secret_scan": _secrets_sql(), "op10_chat_format": _chat_sql(), "op11_spelling_variants": _variants_sql()}
