@@ -23,12 +23,13 @@ from strata.operators import linalg as LA  # noqa: E402
 from strata.operators import text as X  # noqa: E402
 from strata.plans import graph as GP  # noqa: E402
 from strata.plans import kmeans as KM  # noqa: E402
-from strata.session import local_session  # noqa: E402
+from strata.session import cut_lineage, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPS = int(os.environ.get("BENCH_REPS", "3"))
 LLOYD_ITERS = 5
+COPIES = 100
 PR_ROUNDS = 5
 
 
@@ -40,7 +41,7 @@ def main():
     spark = local_session(CPUS, shuffle_partitions=max(8, int(CPUS) * 2), app="strata-bench")
     spark.sparkContext.setLogLevel("OFF")
     d = SF_DIR
-    docs = C.docs(spark, d)
+    docs = cut_lineage(C.docs(spark, d).repartition(2 * int(CPUS)))  # several files, as any large table has
     pts = C.points(spark, d)
     rows = L.row_index(pts, "id", "row").persist()
     rows.count()
@@ -49,6 +50,13 @@ def main():
     centers = C.lowest_centers(spark, d)
     n_docs = docs.count()
     n_pts = pts.count()
+    # enough vectors to measure throughput: each point COPIES times, moved a little each time
+    copy = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+    many = pts.select("id", "features", copy.alias("c")).select(
+        (F.col("id") * COPIES + F.col("c")).alias("id"), F.transform("features", lambda x: x + F.col("c") * 1e-3).alias("features"))
+    many = cut_lineage(many.repartition(2 * int(CPUS))).persist()
+    n_many = many.count()
+    assert n_many == COPIES * n_pts >= 200_000 or n_pts < 2000
 
     def q_tfidf():
         run(X.tfidf_job(docs))
@@ -74,6 +82,18 @@ def main():
     def q_bfs():
         run(GP.bfs(edges, C.ROOT))
 
+    def q_lloyd_many():
+        KM.kmeans_fit_fixed(many, centers, LLOYD_ITERS, method="arrow")
+
+    def q_nearest_many():
+        run(LA.nearest_center(many, centers))
+
+    def q_gram_many():
+        assert LA.gram_matrix(many).count() == 64 * 64
+
+    def q_components():
+        run(GP.connected_components(edges))
+
     def q_transpose():
         run(L.transpose(rows, block_rows=256))
 
@@ -94,6 +114,7 @@ def main():
         ("lloyd_row_5it", q_lloyd_row), ("lloyd_row_sql_5it", q_lloyd_row_sql), ("lloyd_packed_5it", q_lloyd_packed),
         ("nearest_center", q_nearest_center), ("pagerank_5r", q_pagerank), ("bfs", q_bfs),
         ("transpose", q_transpose), ("pack_flat", q_pack_flat), ("unpack_blocks", q_unpack), ("gram_matrix", q_gram),
+        ("lloyd_200k_5it", q_lloyd_many), ("nearest_center_200k", q_nearest_many), ("gram_matrix_200k", q_gram_many), ("connected_components", q_components),
     ]
     only = set(sys.argv[1:])
     times = {}
@@ -117,6 +138,9 @@ def main():
     for k in ("transpose", "pack_flat", "unpack_blocks"):
         if k in times:
             extra[f"{k}_rows_per_sec"] = round(n_pts / times[k], 1)
+    for k in ("lloyd_200k_5it", "nearest_center_200k", "gram_matrix_200k"):
+        if k in times:
+            extra[f"{k}_vectors_per_sec"] = round(n_many * (LLOYD_ITERS if "5it" in k else 1) / times[k], 1)
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": os.path.basename(d.rstrip("/")),
                       "cpus": int(CPUS), "reps": REPS, "derived": extra}))

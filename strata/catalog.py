@@ -801,8 +801,8 @@ _HUB_CHUNK = 4096
 
 @register("adjacency_hub", f"""WITH a AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k,
 row_number() OVER (ORDER BY src, dst) - 1 AS g FROM {HUB_EDGES}),
-c AS (SELECT src, (k // {_HUB_CHUNK})::INTEGER AS chunk, (k % {_HUB_CHUNK})::BIGINT AS k, dst, g FROM a),
-o AS (SELECT src, chunk, count(*)::BIGINT AS degree, min(g)::BIGINT AS "offset" FROM c GROUP BY src, chunk)
+c AS (SELECT src, (k // {_HUB_CHUNK})::INTEGER AS chunk, (k % {_HUB_CHUNK})::BIGINT AS k, dst, min(g) OVER (PARTITION BY src) AS base FROM a),
+o AS (SELECT src, chunk, count(*)::BIGINT AS degree, (min(base) + chunk * {_HUB_CHUNK})::BIGINT AS "offset" FROM c GROUP BY src, chunk)
 SELECT c.src, c.chunk, c.k, c.dst, o.degree, o."offset" FROM c JOIN o USING (src, chunk)""")
 def q_adjacency_hub(spark, d):
     a = G.adjacency(hub_edges(spark, d), max_chunk=_HUB_CHUNK)

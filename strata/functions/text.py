@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strata.functions._util import as_col, let
+from strata.functions._util import as_col
 
 # The trim class of the JVM String.trim used by the tokenizer being matched
 # (all code points 0x00-0x20), and the token separator (one or more whitespace characters).
@@ -19,33 +19,3 @@ def tokens(text) -> Column:
     """array<string> of tokens: trim chars <= 0x20 at both ends, split on whitespace, drop empties."""
     trimmed = F.regexp_replace(as_col(text), TRIM_RE, "")
     return F.filter(F.split(trimmed, SPLIT_PATTERN), lambda w: w != F.lit(""))
-
-
-def run_lengths(sorted_arr) -> Column:
-    """For a sorted array, array<struct<value, n>> of its runs (distinct value, multiplicity).
-
-    Linear in the array length and evaluated inside the row, so per-document counting
-    needs no shuffle: a document is one row.  NULL for an empty array (explode/inline of
-    NULL yields no rows).
-    """
-
-    def body(s: Column) -> Column:
-        n = F.size(s)
-        # 1-based end position of every run.
-        ends = F.filter(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)),
-        )
-
-        def runs(e_arr: Column) -> Column:
-            return F.transform(
-                e_arr,
-                lambda e, j: F.struct(
-                    F.element_at(s, e).alias("value"),
-                    (e - F.when(j == 0, F.lit(0)).otherwise(F.element_at(e_arr, j))).cast("long").alias("n"),
-                ),
-            )
-
-        return F.when(n > 0, let(ends, runs))
-
-    return let(as_col(sorted_arr), body)

@@ -13,11 +13,14 @@ Every grouped layout is cut into row blocks of at most ``block_rows`` rows, so n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions import vectors as V
-from strata.functions._util import let
+from strata.functions.nearest import matrix_of
 from strata.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 4096
@@ -63,58 +66,89 @@ def _with_blocks(points: DataFrame, row_col: str, block_rows: int) -> DataFrame:
     return points.withColumn("block_id", F.floor(F.col(row_col) / block_rows).cast("long"))
 
 
+def _per_block(blocks: DataFrame, build: Callable[[pa.Table], list[pa.Array]], fields: str) -> DataFrame:
+    """One call for each ``block_id``; a block's rows reach it once, whole, and bounded by its size."""
+    names = [f.strip().split(" ", 1)[0] for f in fields.split(";")]
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(build(table), names=names)
+
+    return blocks.groupBy("block_id").applyInArrow(run, fields.replace(";", ","))
+
+
+def _matrix(table: pa.Table, order: str, col: str) -> tuple[pa.Table, np.ndarray]:
+    table = table.sort_by(order)
+    return table, matrix_of(table[col])
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
+def _blocked(points: DataFrame, col: str, row_col: str, block_rows: int) -> DataFrame:
+    rows = points.select(F.col(row_col).cast("long").alias("row"), F.col(col).cast("array<double>").alias("x"))
+    return _with_blocks(rows, "row", block_rows)
+
+
 def transpose(points: DataFrame, col: str = "features", row_col: str = "row",
               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Row layout -> column layout (dim, block_id, first_row, values), rows in order inside a block."""
-    b = _with_blocks(points, row_col, block_rows)
-    ex = b.select("block_id", row_col, F.posexplode(col).alias("dim", "x"))
-    g = ex.groupBy("dim", "block_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(row_col).alias("r"), F.col("x").alias("x")))).alias("_p"))
-    return g.select("dim", "block_id", F.element_at("_p", 1)["r"].alias("first_row"),
-                    F.transform("_p", lambda p: p["x"]).alias("values"))
+    """Row layout -> column layout (dim, block_id, first_row, values), rows in order inside a block.
+    Whole rows are shuffled to their block and turned there; rows of different sizes raise."""
+    def turn(table: pa.Table) -> list[pa.Array]:
+        table, x = _matrix(table, "row", "x")
+        dims, first = x.shape[1], table["row"][0].as_py()
+        return [pa.array(np.arange(dims), pa.int32()), pa.array([table["block_id"][0].as_py()] * dims, pa.int64()),
+                pa.array([first] * dims, pa.int64()), _lists(x.T)]
+
+    return _per_block(_blocked(points, col, row_col, block_rows), turn, "dim int; block_id bigint; first_row bigint; values array<double>")
 
 
 def untranspose(columns: DataFrame, out_col: str = "features", row_col: str = "row") -> DataFrame:
-    """Column layout -> row layout (row, features)."""
-    ex = columns.select("dim", "block_id", "first_row", F.posexplode("values").alias("k", "x"))
-    ex = ex.select("dim", (F.col("first_row") + F.col("k")).alias(row_col), "x")
-    g = ex.groupBy(row_col).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_p"))
-    return g.select(row_col, F.transform("_p", lambda p: p["x"]).alias(out_col))
+    """Column layout -> row layout (row, features).  A block whose dimensions differ in length raises."""
+    def turn(table: pa.Table) -> list[pa.Array]:
+        table, x = _matrix(table, "dim", "values")
+        return [pa.array(table["first_row"][0].as_py() + np.arange(x.shape[1])), _lists(x.T)]
+
+    return _per_block(columns.select("block_id", "dim", "first_row", "values"), turn, f"{row_col} bigint; {out_col} array<double>")
+
+
+def columns_to_flat(columns: DataFrame) -> DataFrame:
+    """Column layout -> flat blocks, as ``pack_flat`` makes them, without going through rows."""
+    def turn(table: pa.Table) -> list[pa.Array]:
+        table, x = _matrix(table, "dim", "values")
+        return [pa.array([v], t) for v, t in ((table["block_id"][0].as_py(), pa.int64()), (x.shape[1], pa.int32()), (len(x), pa.int32()), (table["first_row"][0].as_py(), pa.int64()))] + [
+            _lists(np.ascontiguousarray(x.T).reshape(1, -1))]
 
+    return _per_block(columns.select("block_id", "dim", "first_row", "values"), turn, _FLAT)
 
-def _block_rows_sorted(points: DataFrame, col: str, row_col: str, block_rows: int) -> DataFrame:
-    b = _with_blocks(points, row_col, block_rows)
-    g = b.groupBy("block_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(row_col).alias("r"), F.col(col).alias("x")))).alias("_p"))
-    return g
+
+_FLAT = "block_id bigint; n int; dim int; first_row bigint; flat array<double>"
+
+
+def _head(table: pa.Table, x: np.ndarray) -> list[pa.Array]:
+    return [pa.array([v], t) for v, t in ((table["block_id"][0].as_py(), pa.int64()), (x.shape[0], pa.int32()), (x.shape[1], pa.int32()), (table["row"][0].as_py(), pa.int64()))]
 
 
 def pack_columns(points: DataFrame, col: str = "features", row_col: str = "row",
                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Row layout -> blocks of per-dimension arrays plus per-row L2 norms."""
-    g = _block_rows_sorted(points, col, row_col, block_rows)
+    def turn(table: pa.Table) -> list[pa.Array]:
+        table, x = _matrix(table, "row", "x")
+        cols = pa.ListArray.from_arrays(pa.array([0, x.shape[1]], pa.int32()), _lists(x.T))
+        return [*_head(table, x), cols, _lists(np.sqrt(np.einsum("ij,ij->i", x, x)).reshape(1, -1))]
 
-    def body(p: Column) -> Column:
-        d = F.coalesce(F.size(F.element_at(p, 1)["x"]), F.lit(0))
-        cols = F.transform(F.sequence(F.lit(0), F.greatest(d - 1, F.lit(0))),
-                           lambda i: F.transform(p, lambda r: F.get(r["x"], i)))
-        return F.struct(
-            F.size(p).alias("n"), d.alias("dim"), F.element_at(p, 1)["r"].alias("first_row"),
-            F.when(d > 0, cols).otherwise(F.array().cast("array<array<double>>")).alias("cols"),
-            F.transform(p, lambda r: V.norm(r["x"], 2.0)).alias("norms"))
-
-    return g.select("block_id", let(F.col("_p"), body).alias("_b")).select("block_id", "_b.*")
+    return _per_block(_blocked(points, col, row_col, block_rows), turn, _FLAT.replace("flat array<double>", "cols array<array<double>>; norms array<double>"))
 
 
 def pack_flat(points: DataFrame, col: str = "features", row_col: str = "row",
               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Row layout -> blocks with one row-major array."""
-    g = _block_rows_sorted(points, col, row_col, block_rows)
-    return g.select(
-        "block_id", F.size("_p").alias("n"),
-        F.coalesce(F.size(F.element_at("_p", 1)["x"]), F.lit(0)).alias("dim"),
-        F.element_at("_p", 1)["r"].alias("first_row"),
-        F.flatten(F.transform("_p", lambda r: r["x"])).alias("flat"))
+    def turn(table: pa.Table) -> list[pa.Array]:
+        table, x = _matrix(table, "row", "x")
+        return [*_head(table, x), _lists(x.reshape(1, -1))]
+
+    return _per_block(_blocked(points, col, row_col, block_rows), turn, _FLAT)
 
 
 def unpack_blocks(blocks: DataFrame, out_col: str = "features", row_col: str = "row") -> DataFrame:

@@ -2,9 +2,8 @@
 
 Plan shape at scale
 -------------------
-A document is one row, so every per-document step (tokenising, counting terms, hashing) is a
-narrow, in-row transformation: tokens are sorted inside the row and counted as runs, which
-needs no shuffle.  TF-IDF writes one packed row a document (indices and counts as arrays), so
+A document is one row, so every per-document step (tokenising, counting terms, hashing) is narrow:
+counts and hashes are made batch by batch through Arrow, where the documents are read.  TF-IDF writes one packed row a document (indices and counts as arrays), so
 texts are tokenised once; document frequencies are aggregated from the packed rows, partially
 before the shuffle and into at most ``num_features`` groups, and that bounded IDF table is
 broadcast back to the packed rows.  No term-frequency row is ever shuffled.
@@ -12,18 +11,27 @@ broadcast back to the packed rows.  No term-frequency row is ever shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from strata.functions import counting as C
 from strata.functions import hashing as H
 from strata.functions._util import let
-from strata.functions.text import TRIM_CLASS, TRIM_RE, run_lengths, tokens
+from strata.functions.text import TRIM_CLASS, TRIM_RE, tokens
 from strata.session import cut_lineage_counted
 
 # The whitespace characters of the JVM regex class \s, i.e. the token separators.
 WHITESPACE_CHARS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
 
 
+_SPARSE = StructType([StructField("size", IntegerType()), StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+
+
 def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
     """Add ``tokens`` = trim(chars <= 0x20), split on whitespace, empties dropped."""
     return df.withColumn(out_col, tokens(text_col))
@@ -79,9 +87,17 @@ def tokens_from_offsets(df: DataFrame, text_col: str = "text", offsets_col: str
 
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf bigint): exact-term frequencies per document, counted inside the row."""
-    runs = run_lengths(F.sort_array(tokens(text_col)))
-    return df.select(id_col, F.inline(runs)).withColumnRenamed("value", "term").withColumnRenamed("n", "tf")
+    """(id, term, tf bigint): exact-term frequencies per document.  Narrow: a batch of documents is
+    counted where it is read, through Arrow."""
+    rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.text_slices(whole, "_text"):
+                row, code, n, words = C.token_counts(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words.take(pa.array(code)), pa.array(n, pa.int64())], names=[id_col, "term", "tf"])
+
+    return rows.mapInArrow(count, StructType([rows.schema[id_col], StructField("term", StringType()), StructField("tf", LongType())]))
 
 
 def hash_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -96,29 +112,31 @@ def hashing_tf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                algo: str = "murmur3") -> DataFrame:
     """Long-form hashed term frequencies (id, idx int, tf double).  Colliding terms add up;
     ``binary`` sets every present index to 1.0.  Narrow: no shuffle."""
-    if num_features <= 0:
-        raise ValueError("num_features must be positive")
-    idx = F.transform(tokens(text_col), lambda t: H.hash_index(t, num_features, algo))
-    runs = run_lengths(F.sort_array(idx))
-    out = df.select(id_col, F.inline(runs)).select(
-        id_col, F.col("value").alias("idx"), F.col("n").cast("double").alias("tf"))
-    if binary:
-        out = out.withColumn("tf", F.lit(1.0))
-    return out
+    return unpack_tf(hashing_tf_vectors(df, id_col, text_col, num_features, binary, algo), id_col)
 
 
 def hashing_tf_vectors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        num_features: int = H.DEFAULT_NUM_FEATURES, binary: bool = False,
                        algo: str = "murmur3") -> DataFrame:
-    """Vector form: (id, features struct<size, indices, values>) with ascending indices."""
-    idx = F.transform(tokens(text_col), lambda t: H.hash_index(t, num_features, algo))
-    runs = F.coalesce(run_lengths(F.sort_array(idx)), F.array().cast("array<struct<value:int,n:bigint>>"))
-    vals = F.transform(runs, lambda r: F.lit(1.0)) if binary else F.transform(runs, lambda r: r["n"].cast("double"))
-    return df.select(
-        id_col,
-        F.struct(F.lit(num_features).alias("size"),
-                 F.transform(runs, lambda r: r["value"]).cast("array<int>").alias("indices"),
-                 vals.cast("array<double>").alias("values")).alias("features"))
+    """Vector form: (id, features struct<size, indices, values>) with ascending indices.  A null or
+    empty text has no indices."""
+    if num_features <= 0:
+        raise ValueError("num_features must be positive")
+    if algo not in C.HASHES:
+        raise ValueError(f"algo must be one of {sorted(C.HASHES)}")
+    rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.text_slices(whole, "_text"):
+                at, index, n = C.hashed_counts(batch.column(1), num_features, algo)
+                at = pa.array(at, pa.int32())
+                values = pa.array(np.ones(len(n)) if binary else n, pa.float64())
+                features = pa.StructArray.from_arrays([pa.array(np.full(len(batch), num_features), pa.int32()), pa.ListArray.from_arrays(at, pa.array(index, pa.int32())),
+                                                       pa.ListArray.from_arrays(at, values)], names=["size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), features], names=[id_col, "features"])
+
+    return rows.mapInArrow(count, StructType([rows.schema[id_col], StructField("features", _SPARSE)]))
 
 
 def hash_collisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.hashing import uniform
 from strata.functions.nearest import Centers, matrix_of, nearest_column
-from strata.operators.layout import row_index, unpack_blocks, untranspose
+from strata.operators.layout import columns_to_flat, row_index, unpack_blocks
 from strata.operators.linalg import nearest_center
 from strata.session import cut_lineage
 
@@ -367,9 +367,8 @@ def kmeans_reduce_candidates(cands: DataFrame, weights: DataFrame, k: int, seed:
 # ----------------------------------------------------------------------------- other layouts
 
 def kmeans_fit_columns(columns: DataFrame, init_centers: DataFrame, num_iter: int, method: str = "arrow") -> DataFrame:
-    """Same fit from the column layout (dim, block_id, first_row, values)."""
-    pts = untranspose(columns, "features", "row")
-    return kmeans_fit_fixed(pts, init_centers, num_iter, "features", method)
+    """Same fit from the column layout (dim, block_id, first_row, values), packed block by block."""
+    return kmeans_fit_blocks(columns_to_flat(columns), init_centers, num_iter, method)
 
 
 def kmeans_fit_blocks(blocks: DataFrame, init_centers: DataFrame, num_iter: int, method: str = "arrow") -> DataFrame:

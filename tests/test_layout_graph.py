@@ -99,3 +99,14 @@ def test_matvec_checks_shapes_and_keeps_rows_of_y(spark):
     with pytest.raises(ValueError):
         LA.matvec(a, x, n_rows=1)
     assert sorted(map(tuple, LA.matvec(a, x, y=y, beta=0.0).collect())) == [(0, 6.0), (4, 0.0)]
+
+
+def test_blocks_keep_order_and_refuse_ragged_rows(spark):
+    df = spark.createDataFrame([(r, [float(r), -float(r)]) for r in (9, 3, 0, 1, 7, 2, 8)], "row long, features array<double>").repartition(4)
+    t = sorted((r.block_id, r.dim, r.first_row, r["values"]) for r in L.transpose(df, block_rows=4).collect())
+    assert t == [(0, 0, 0, [0.0, 1.0, 2.0, 3.0]), (0, 1, 0, [-0.0, -1.0, -2.0, -3.0]), (1, 0, 7, [7.0]), (1, 1, 7, [-7.0]), (2, 0, 8, [8.0, 9.0]), (2, 1, 8, [-8.0, -9.0])]
+    assert sorted(map(tuple, L.columns_to_flat(L.transpose(df, block_rows=4)).collect())) == sorted(map(tuple, L.pack_flat(df, block_rows=4).collect()))
+    for op in (L.transpose, L.pack_flat, L.pack_columns):
+        assert op(df.limit(0)).count() == 0
+        with pytest.raises(Exception, match="differ in size"):
+            op(df.unionByName(spark.createDataFrame([(4, [1.0])], "row long, features array<double>"))).collect()

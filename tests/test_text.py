@@ -107,3 +107,39 @@ def test_native_hash_of_longs(spark):
         return v if -(2**31) <= v < 2**31 else h - 2**32 if h >= 2**31 else h
     df = spark.createDataFrame([(v,) for v in values], "v long")
     assert [r.h for r in df.select(hash_native("v", T.LongType()).alias("h")).collect()] == [java(v) for v in values]
+
+
+def test_batch_hashes_equal_the_column_functions(spark):
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from strata.functions import counting as CO
+    from strata.functions import hashing as H
+
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abzé中\U0001f600ÿ\x00") for _ in range(rnd.randint(0, 14))) for _ in range(3000)] + ["", "x" * 10_001]
+    rows = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", F.hash("w").alias("m"), H.hash_native("w").alias("n")).orderBy("i").collect()
+    assert CO.murmur3(pa.array(words)).tolist() == [r.m for r in rows]
+    assert CO.native(pa.array(words)).tolist() == [r.n for r in rows]
+
+
+def test_counts_of_awkward_texts(spark):
+    from strata.operators import text as X
+
+    texts = ["\x00\x1c a b\x1ca  a\x0b\t\x85b \x1f", None, "", " \n", "x\x00 \x00", "\x85 q \xa0", "a " * 2_000_000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, tf int")
+    got = {(r.doc_id, r.term): r.tf for r in X.term_counts(df).collect()}
+    assert got == {(r.doc_id, r.term): r["count"] for r in X.tokens_long(df).groupBy("doc_id", "term").count().collect()} and got[6, "a"] == 2_000_000
+    sizes = {r.doc_id: r.n for r in X.hashing_tf_vectors(df).selectExpr("doc_id", "size(features.indices) AS n").collect()}
+    assert sizes == {0: 3, 1: 0, 2: 0, 3: 0, 4: 1, 5: 3, 6: 1}
+    assert X.term_counts(df.limit(0)).count() == 0 and X.tfidf_job(df.limit(0)).count() == 0
+
+
+def test_tfidf_shuffles_no_term_frequencies(spark, sf):
+    from strata import catalog as C
+    from strata.operators import text as X
+
+    plan = X.tfidf_job(C.docs(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("hashpartitioning") == 1 and "hashpartitioning(idx" in plan and "BroadcastHashJoin" in plan
