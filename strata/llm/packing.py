@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
 import os
 import re
 import zlib
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +107,23 @@ class WordCache:
             size = np.where(both < 0, 0, size)
             self._store([w for w, _, _ in split], self.ids[ranges(start, size)], size[::2] + size[1::2])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by END_ID, and the offset of each text's first id."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), each followed by END_ID, and the offset of each text's first id.
+        Words are split and told apart in Arrow; only distinct ones are looked up."""
         if len(self.at) > self.limit:
             self.clear()
-        flat = list(itertools.chain.from_iterable(words))
-        if missing := set(flat).difference(self.at):
-            self.add(list(missing))
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        start, size = self._rows(np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat)))
-        lengths = np.add.reduceat(size, np.cumsum(per_text) - per_text)  # a text has one word at least
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        first = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if missing := [w for w in distinct if w not in self.at]:
+            self.add(missing)
+        start, size = self._rows(np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct)))
+        size = size[codes]
+        lengths = np.diff(np.r_[0, np.cumsum(size)][first - first[0]])
         offsets = np.r_[0, np.cumsum(lengths + 1)]
         out = np.full(int(offsets[-1]), END_ID, np.uint32)
-        out[ranges(offsets[:-1], lengths)] = self.ids[ranges(start, size)]
+        out[ranges(offsets[:-1], lengths)] = self.ids[ranges(start[codes], size)]
         return out, offsets
 
 
@@ -142,8 +145,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                ids, offsets = cache.encode(batch.column("text").to_pylist())
+            for batch in slices(whole, "text", 2 << 20):
+                ids, offsets = cache.encode(batch.column("text"))
                 lengths = np.diff(offsets)
                 n_pieces = -(-lengths // capacity)
                 row = np.repeat(np.arange(len(lengths)), n_pieces)
