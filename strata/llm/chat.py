@@ -9,7 +9,7 @@ A log row is an event ``(conv_id, seq, message, event, role, text)``:
 * ``delete``      removes the message
 
 ``fold`` brings a log to its final messages, ``render`` writes a conversation in a template with
-marked turns, escaped control strings and a loss mask, ``parse`` reads a rendered string back.
+marked turns, escaped control strings and a loss mask, ``read_back`` reads a rendered string back.
 """
 
 from __future__ import annotations
@@ -75,18 +75,25 @@ def render(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> Da
     return turns.select("conv_id", F.array_join("t.piece", "").alias("formatted"), F.col("t.loss").alias("loss"))
 
 
-def parse(formatted: Column, loss: Column) -> Column:
-    """``array<struct<role, text, learned>>`` read back from a rendered string: ``learned`` is the
-    text under the turn's part of the mask, null if it has none."""
-    pieces = F.slice(F.split(formatted, r"<\|turn\|>", -1), 2, F.size(loss))
-
-    def back(piece, mask):
-        body = F.substr(piece, F.locate(SAYS, piece) + len(SAYS))
-        return F.struct(unescape(F.substring_index(piece, SAYS, 1)).alias("role"),
-                        unescape(F.substring_index(body, END, 1)).alias("text"),
-                        unescape(F.substr(body, F.lit(1), (mask["end"] - mask["start"]).cast("int"))).alias("learned"))
-
-    return F.zip_with(pieces, loss, back)
+def read_back(formatted: DataFrame) -> DataFrame:
+    """``(conv_id, chars, t: array<struct<role, text, learned>>)`` of rendered rows ``(conv_id, formatted,
+    loss)``: ``chars`` is the length of ``formatted``, ``learned`` what stands in ``formatted`` between the code points of the turn's part of
+    the mask, null if it has none.  A part that does not lie inside its turn raises.
+
+    A turn's place is the running length of the turns before it, taken once for each conversation."""
+    pieces = F.slice(F.split("formatted", r"<\|turn\|>", -1), 2, F.size("loss"))
+    turn = formatted.select("conv_id", F.length("formatted").alias("chars"), F.posexplode_outer(F.arrays_zip(pieces.alias("piece"), F.col("loss").alias("loss"))).alias("i", "x"))
+    turn = turn.select("conv_id", "chars", "i", "x.*")
+    before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    turn = turn.withColumn("at", F.coalesce(F.sum(F.length("piece") + len(TURN)).over(before), F.lit(0)) + len(TURN))
+    inside = (F.col("loss.start") >= F.col("at")) & (F.col("loss.end") <= F.col("at") + F.length("piece")) & (F.col("loss.start") <= F.col("loss.end"))
+    under = F.when(inside, F.substr("piece", (F.col("loss.start") - F.col("at") + 1).cast("int"), (F.col("loss.end") - F.col("loss.start")).cast("int"))).otherwise(
+        F.raise_error(F.lit("a part of the mask lies outside its turn")).cast("string"))
+    body = F.substr("piece", F.locate(SAYS, F.col("piece")) + len(SAYS))
+    said = F.struct("i", unescape(F.substring_index("piece", SAYS, 1)).alias("role"), unescape(F.substring_index(body, END, 1)).alias("text"),
+                    F.when(F.col("loss").isNotNull(), unescape(under)).alias("learned"))
+    turns = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), said))).alias("t"), F.first("chars").alias("chars"))
+    return turns.select("conv_id", "chars", F.transform("t", lambda x: F.struct(x["role"], x["text"], x["learned"])).alias("t"))
 
 
 def format_chats(conversations: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:

@@ -69,13 +69,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
-    done = chat.format_chats(rows)
-    turns = done.select("conv_id", "formatted", chat.parse(F.col("formatted"), F.col("loss")).alias("t"))
+    done = chat.read_back(chat.format_chats(rows))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     learned = F.array_join("t.learned", "")
-    return turns.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+    return done.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
-                        F.length("formatted").cast("long").alias("formatted_chars"))
+                        F.col("chars").cast("long").alias("formatted_chars"))
 
 
 def with_lost_letters(runs: DataFrame) -> DataFrame:
