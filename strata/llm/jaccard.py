@@ -86,7 +86,7 @@ def meetings(cls: DataFrame, block: int = BLOCK) -> DataFrame:
     cut into blocks; each block meets itself and every other block of the bucket."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key")))
     member = cls.filter("n > 0").select("cls", F.inline(bands))
-    bucket = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls") % (1 << 55)).alias("s1"), F.sum(F.xxhash64("cls", F.lit(7)) % (1 << 55)).alias("s2"))
+    bucket = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("s2"))
     first = bucket.filter("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "m")
     # Numbers inside a bucket are only needed to deal its members to blocks; a salt does that
     # without bringing the bucket together.  A bucket of m members has ceil(m / block) blocks.
@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).select("col.*")
         edges = staged(small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 50))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             roots = edges.select(F.col("b").alias("id")).distinct()
             return edges.toDF("id", "group").union(roots.select("id", F.col("id").alias("group")))
