@@ -78,9 +78,11 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
     few = salted.withColumn("_r", first).filter(F.col("_r") <= keep)
     again = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     few = few.withColumn("_r", again).filter(F.col("_r") <= keep)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    return few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(
-        F.col("ids")[0].alias("cls"), "ids", "vec", F.size("vec").alias("dim"), F.round(F.log2(norm)).cast("int").alias("shell"))
+    # the largest component is taken out before squaring, so no norm overflows or vanishes
+    top = F.array_max(F.transform("vec", lambda v: F.abs(v)))
+    rest = F.aggregate("vec", F.lit(0.0), lambda a, v: a + (v / F.col("top")) * (v / F.col("top")))
+    return few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("top", top).select(
+        F.col("ids")[0].alias("cls"), "ids", "vec", F.size("vec").alias("dim"), F.round(F.log2("top") + F.log2(rest) / 2).cast("int").alias("shell"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -111,19 +113,35 @@ def hashed(rows: DataFrame, tables: int, probes: int, hashes: int) -> DataFrame:
     return rows.select("dim", "shell", "cls", "vec").mapInArrow(run, "dim int, shell int, tab int, bucket bigint, cls bigint, vec array<double>")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; where squares would overflow or vanish, with the largest
+    difference taken out first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        diff = a - b
+        out = np.sqrt((diff ** 2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-150))
+        if len(odd):
+            top = np.abs(diff[odd]).max(1, initial=0.0)
+            part = diff[odd] / np.where(top > 0, top, 1.0)[:, None]
+            out[odd] = np.where(np.isfinite(top), top * np.sqrt((part ** 2).sum(1)), np.inf)
+    return out
+
+
 def nearest_in_group(data: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For blocks of queries: query row, id, distance of the ``k`` nearest, ties to smaller ids."""
-    sq = (data * data).sum(1)
+    scale = max(np.abs(data).max(initial=0.0), np.abs(query).max(initial=0.0)) or 1.0
+    small = data / scale  # only to find the nearest; distances are taken from the vectors themselves
+    sq = (small * small).sum(1)
     for lo in range(0, len(query), 128):
-        q = query[lo:lo + 128]
-        rough = (q * q).sum(1)[:, None] + sq - 2 * q @ data.T
+        q = query[lo:lo + 128] / scale
+        rough = (q * q).sum(1)[:, None] + sq - 2 * q @ small.T
         if len(ids) > k:
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
             near = rough <= (kth + 1e-9 * ((q * q).sum(1) + sq.max() + kth))[:, None]
         else:
             near = np.ones(rough.shape, bool)
         r, c = np.nonzero(near)
-        d = np.sqrt(((q[r] - data[c]) ** 2).sum(1))
+        d = distances(query[lo + r], data[c])
         o = np.lexsort([ids[c], d, r])
         r, c, d = r[o], c[o], d[o]
         place = np.arange(len(r)) - np.searchsorted(r, r, "left")
@@ -139,7 +157,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     Null ids, and vectors that are null, empty, zero or hold null or non-finite components take no
     part; repeated (id, vector) rows count once; vectors of other lengths never meet.  Every row is
     indexed.  Directions are hashed within shells of norms a factor two wide, and a query looks
-    into every shell, so lengths other than one are found as well."""
+    into every shell, so lengths other than one are found as well.  A query that has not found ``k``
+    rows this way is compared with every row, so it has ``k`` neighbours, or all there are."""
 
     def clean(df):
         vec = F.col(vec_col)
@@ -166,8 +185,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
                 parts.append(pa.table({"qcls": qid[r], "cls": c, "score": d}))
         return pa.concat_tables(parts) if parts else pa.table({"qcls": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    found = left.groupBy(*spots).cogroup(right.groupBy(*spots)).applyInArrow(meet, "qcls bigint, cls bigint, score double")
-    found = found.groupBy("qcls", "cls").agg(F.min("score").alias("score"))
+    fields = "qcls bigint, cls bigint, score double"
+    found = left.groupBy(*spots).cogroup(right.groupBy(*spots)).applyInArrow(meet, fields)
+    found = staged(found.groupBy("qcls", "cls").agg(F.min("score").alias("score")))
+    # A query whose buckets hold too few rows looks into every bucket of one table.
+    size = found.join(cls.select("cls", F.size("ids").alias("n")), "cls").groupBy("qcls").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
+    short = staged(one.join(size, one["cls"] == size["qcls"], "left_anti").select("cls", "vec", "dim"))
+    if not short.isEmpty():
+        every = short.join(salts.filter("tab = 0"), "dim").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        rest = left.filter("tab = 0").groupBy(*spots).cogroup(every.groupBy(*spots)).applyInArrow(meet, fields)
+        found = found.unionByName(rest).groupBy("qcls", "cls").agg(F.min("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("qcls").orderBy("score", "cls"))
     found = found.withColumn("_r", best).filter(F.col("_r") <= k + 1).drop("_r")
     near = found.join(cls.select("cls", "ids"), "cls").select("qcls", "score", F.explode("ids").alias("vec_id"))
