@@ -40,6 +40,14 @@ def small_batches(df: DataFrame) -> None:
         conf.set(name, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, base: str = "_text") -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """The text as it is, null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, small_batches, whole_text
+from strata.llm.common import slices, small_batches, unused, whole_text
 
 #: Elements of the HTML standard by how they are read here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,7 +32,9 @@ SCOPE = {"p": frozenset("article aside body div footer header html li main nav s
          "li": frozenset("ul ol menu body html".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]),
          "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quotation mark opens a value only after '='; elsewhere it is a character like any other.  Nothing
+#: is read twice (possessive), so a tag costs its own length.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Raw elements that hold tags and comments; the others hold none.
@@ -44,8 +46,9 @@ _END = re.compile(r"[.!?…:;\"”»)]$")
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]    # open elements, outermost first
-    names: frozenset[str]    # words of their class, id and role attributes
+    own: str                 # the innermost open element that is not inline
+    tags: tuple[str, ...]    # distinct open elements
+    names: tuple[str, ...]   # distinct words of their class, id and role attributes
     linked: int              # characters of the text inside links
 
 
@@ -68,37 +71,63 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 def blocks(page: str) -> list[Block]:
     """DOM leaf blocks in page order.  Character references are decoded once, white space inside a
     block becomes one space, empty blocks are left out; the content of scripts, styles and other
-    raw elements, and comments, are no text."""
+    raw elements, and comments, are no text.  Open elements are counted by tag and by name, so a
+    block costs the distinct ones, however deep the page is nested."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    tags: dict[str, int] = {}
+    names: dict[str, int] = {}
     parts: list[str] = []
     linked = pos = 0
+    last = page.rfind(">") + 1  # no tag ends behind it
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), min(linked, len(text))))
+                own = next((t for t, _ in reversed(stack) if t not in INLINE), "none")
+                out.append(Block(text, own, tuple(tags), tuple(names), min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def close(names, scope=frozenset()) -> None:
+    def opened(tag: str, attributes: str) -> None:
+        # themes mark whole pages on these two ("has-comments"), which says nothing of a block
+        words = frozenset() if tag in ("html", "body") else _attributes(attributes)
+        stack.append((tag, words))
+        tags[tag] = tags.get(tag, 0) + 1
+        for w in words:
+            names[w] = names.get(w, 0) + 1
+
+    def closed(at: int, to: int) -> None:
+        for tag, words in stack[at:to]:
+            for counts, word in ((tags, tag), *((names, w) for w in words)):
+                counts[word] -= 1
+                if not counts[word]:
+                    del counts[word]
+        del stack[at:to]
+
+    def close(kinds, scope=frozenset()) -> None:
+        if tags.keys().isdisjoint(kinds):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
+            if stack[i][0] in kinds:
+                closed(i, len(stack))
                 return
             if stack[i][0] in scope:
                 return
 
-    while m := _TOKEN.search(page, pos):
+    while m := _TOKEN.search(page, pos, last):
         tag = (m[2] or "").lower()
         if m.start() > pos:
             piece = page[pos:m.start()]
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if "a" in tags:
                 linked += len(piece)
         pos = m.end()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                pos = len(page)  # never closed
+                break
             continue
         if tag in RAW and not m[1]:
             if not m[3].rstrip().endswith("/"):
@@ -110,15 +139,15 @@ def blocks(page: str) -> list[Block]:
                 flush()
         elif tag in INLINE:
             if m[1]:
-                if any(t == tag for t, _ in stack):
+                if tag in tags:
                     for i in range(len(stack) - 1, -1, -1):  # the end of an inline element leaves blocks open
                         if stack[i][0] == tag:
-                            del stack[i]
+                            closed(i, i + 1)
                             break
                         if stack[i][0] not in INLINE:
                             break
             else:
-                stack.append((tag, _attributes(m[3])))
+                opened(tag, m[3])
         else:
             flush()
             if m[1]:
@@ -129,9 +158,8 @@ def blocks(page: str) -> list[Block]:
                 if tag in SAME_CLOSERS:
                     close(SAME_CLOSERS[tag], SCOPE[tag])
                 if not m[3].rstrip().endswith("/"):
-                    stack.append((tag, _attributes(m[3])))
-    if pos < len(page):
-        parts.append(page[pos:])
+                    opened(tag, m[3])
+    parts.append(page[pos:].split("<!--", 1)[0])  # a comment without an end runs to the page's
     flush()
     return out
 
@@ -146,11 +174,10 @@ def features(page: list[Block]) -> list[list[str]]:
     """Of each block: ancestor tags and names, the own tag, and what its text looks like."""
     out = []
     for b in page:
-        own = next((t for t in reversed(b.tags) if t not in INLINE), "none")
         n, words = len(b.text), b.text.count(" ") + 1
-        f = ["bias", f"own={own}", f"size={min(8, n.bit_length())}", f"links={round(3 * b.linked / n)}",
+        f = ["bias", f"own={b.own}", f"size={min(8, n.bit_length())}", f"links={round(3 * b.linked / n)}",
              "ends" if _END.search(b.text) else "open", "few" if words < 5 else "some" if words < 15 else "many"]
-        f += [f"in={t}" for t in dict.fromkeys(b.tags) if t not in INLINE]
+        f += [f"in={t}" for t in b.tags if t not in INLINE]
         f += [f"name={w}" for w in b.names]
         if b.text[0] in "©" or b.text.lower().startswith("copyright"):
             f.append("rights")
@@ -308,12 +335,12 @@ def extract(pages: DataFrame, crf: Crf | None = None, html_col: str = "html", te
     small_batches(pages)
     crf = crf or train(labelled_pages())
     pages = pages.drop(text_col) if text_col != html_col else pages
-    names = pages.columns
+    names, source = pages.columns, unused(pages, "_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_html"):
-                texts = [main_text(p, crf) for p in b.column("_html").to_pylist()]
+            for b in slices(whole, source):
+                texts = [main_text(p, crf) for p in b.column(source).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return pages.withColumn("_html", whole_text(html_col)).mapInArrow(run, pages.schema.add(text_col, "string"))
+    return pages.withColumn(source, whole_text(html_col)).mapInArrow(run, pages.schema.add(text_col, "string"))
