@@ -214,6 +214,26 @@ def q_hashing_tf_native(spark, d):
     return X.hashing_tf(docs(spark, d), algo="native")
 
 
+def _standard_sql() -> tuple[str, str]:
+    ctes, rel = Q.murmur3_ctes(f"(SELECT DISTINCT term FROM {TERM_COUNTS})", standard=True)
+    return ctes, f"(SELECT term, h::BIGINT AS h, {Q.pmod('h', H.DEFAULT_NUM_FEATURES)}::BIGINT AS idx FROM {rel})"
+
+
+_ST_CTES, _ST_TERMS = _standard_sql()
+
+
+@register("hash_standard", f"WITH {_ST_CTES} SELECT term, h, idx FROM {_ST_TERMS}")
+def q_hash_standard(spark, d):
+    terms = X.term_counts(docs(spark, d)).select("term").distinct()
+    return terms.select("term", H.hash_standard("term").cast("long").alias("h"),
+                        H.hash_index("term", algo="standard").cast("long").alias("idx"))
+
+
+@register("hashing_tf_standard", _htf_sql(_ST_TERMS, _ST_CTES))
+def q_hashing_tf_standard(spark, d):
+    return X.hashing_tf(docs(spark, d), algo="standard")
+
+
 @register("hashing_tf_binary", _htf_sql(_MM_TERMS, _MM_CTES, binary=True))
 def q_hashing_tf_binary(spark, d):
     return X.hashing_tf(docs(spark, d), binary=True)

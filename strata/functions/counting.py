@@ -48,14 +48,18 @@ def token_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
 
 
 def _mix(h: np.ndarray, k: np.ndarray) -> np.ndarray:
-    k = k * np.uint32(_C1)
-    k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(_C2)
-    h = h ^ k
+    h = h ^ _scramble(k)
     return (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(_M) + np.uint32(_N)
 
 
-def murmur3(words: pa.Array) -> np.ndarray:
-    """Signed hash of each word's UTF-8 bytes; bytes after the last whole block are blocks of their own."""
+def _scramble(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(_C1)
+    return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(_C2)
+
+
+def murmur3(words: pa.Array, standard: bool = False) -> np.ndarray:
+    """Signed hash of each word's UTF-8 bytes.  The one to three bytes after the last whole block are
+    blocks of their own, each with its sign; in the ``standard`` function they are one short block."""
     words = words.cast(pa.large_string()).cast(pa.large_binary())
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
@@ -65,15 +69,25 @@ def murmur3(words: pa.Array) -> np.ndarray:
         live = np.flatnonzero(size >= 4 * (b + 1))
         k = data[at[live, None] + (4 * b + np.arange(4))].astype(np.uint32)
         h[live] = _mix(h[live], k[:, 0] | k[:, 1] << np.uint32(8) | k[:, 2] << np.uint32(16) | k[:, 3] << np.uint32(24))
+    rest = np.zeros(len(size), np.uint32)
     for t in range(3):
         live = np.flatnonzero(size % 4 > t)
-        h[live] = _mix(h[live], data[at[live] + size[live] // 4 * 4 + t].view(np.int8).astype(np.int32).view(np.uint32))
+        byte = data[at[live] + size[live] // 4 * 4 + t]
+        if standard:
+            rest[live] |= byte.astype(np.uint32) << np.uint32(8 * t)
+        else:
+            h[live] = _mix(h[live], byte.view(np.int8).astype(np.int32).view(np.uint32))
+    h ^= _scramble(rest)
     h ^= size.astype(np.uint32)
     h = (h ^ h >> np.uint32(16)) * np.uint32(_F1)
     h = (h ^ h >> np.uint32(13)) * np.uint32(_F2)
     return (h ^ h >> np.uint32(16)).view(np.int32)
 
 
+def murmur3_standard(words: pa.Array) -> np.ndarray:
+    return murmur3(words, standard=True)
+
+
 def native(words: pa.Array) -> np.ndarray:
     """Signed JVM string hash of each word, over its UTF-16 units."""
     units = [np.frombuffer(w.encode("utf-16-le"), np.uint16) for w in words.to_pylist()]
@@ -86,7 +100,7 @@ def native(words: pa.Array) -> np.ndarray:
     return h.view(np.int32)
 
 
-HASHES = {"murmur3": murmur3, "native": native}
+HASHES = {"murmur3": murmur3, "native": native, "standard": murmur3_standard}
 
 
 def hashed_counts(texts: pa.Array, num_features: int, algo: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,11 +7,16 @@
 * ``native``: the JVM ``String.hashCode`` (h = 31*h + c over UTF-16 code units, 32-bit wrap),
   computed with an array fold; integral values hash to themselves as 32-bit ints.
 
+* ``standard``: MurmurHash3_x86_32 as published (the same but for strings whose UTF-8 length is
+  no multiple of four), as Spark ML's own hashing transform has it.
+
 Feature index = non-negative modulo of the signed 32-bit hash.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +73,20 @@ def hash_native(c, dtype: T.DataType | None = None) -> Column:
     return F.when(col.isNull(), F.lit(0)).otherwise(signed).cast("int")
 
 
+def hash_standard(c) -> Column:
+    """Signed 32-bit MurmurHash3_x86_32 (seed 42) of a string as published, which treats the bytes after
+    the last whole block as one; null hashes to the seed.  Spark SQL has no such function, so it
+    is an Arrow one."""
+    from strata.functions import counting
+
+    def hashed(batch: pa.Array) -> pa.Array:
+        h = pa.array(counting.murmur3_standard(batch.fill_null("")), pa.int32())
+        return pc.if_else(batch.is_null(), pa.scalar(MURMUR3_SEED, pa.int32()), h)
+
+    hashed.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(hashed, "int")(as_col(c))
+
+
 def non_negative_mod(h: Column, n: int) -> Column:
     return F.pmod(h.cast("long"), F.lit(int(n))).cast("int")
 
@@ -80,8 +99,10 @@ def hash_index(c, num_features: int = DEFAULT_NUM_FEATURES, algo: str = "murmur3
         h = hash_murmur3(c)
     elif algo == "native":
         h = hash_native(c)
+    elif algo == "standard":
+        h = hash_standard(c)
     else:
-        raise ValueError(f"unknown hash algorithm {algo!r}; use 'murmur3' or 'native'")
+        raise ValueError(f"unknown hash algorithm {algo!r}; use 'murmur3', 'native' or 'standard'")
     return non_negative_mod(h, num_features)
 
 

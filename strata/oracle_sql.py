@@ -44,8 +44,9 @@ def _mix(h: str, k: str) -> str:
     return f"((({h1}) * {MM3_H_MUL} + {MM3_H_ADD}) % {_M32})"
 
 
-def murmur3_ctes(src: str, term: str = "term") -> tuple[str, str]:
-    """CTEs that add column ``h`` (signed 32-bit legacy MurmurHash3 of ``term``) to relation ``src``.
+def murmur3_ctes(src: str, term: str = "term", standard: bool = False) -> tuple[str, str]:
+    """CTEs that add column ``h`` (signed 32-bit MurmurHash3 of ``term``) to relation ``src``: the legacy
+    form, which mixes each byte after the last whole block on its own, or the ``standard`` one.
 
     Returns (cte_text, name_of_final_relation)."""
     b = (f"[(('0x' || substr(hex(encode({term})), 2*i+1, 2))::BIGINT) "
@@ -53,11 +54,16 @@ def murmur3_ctes(src: str, term: str = "term") -> tuple[str, str]:
     blocks = "[bs[4*i+1] + bs[4*i+2]*256 + bs[4*i+3]*65536 + bs[4*i+4]*16777216 for i in range(len(bs) // 4)]"
     tail = "[CASE WHEN x >= 128 THEN x + 4294967040 ELSE x END for x in bs[(len(bs) // 4) * 4 + 1:]]"
     lam = _mix("acc", "k")
+    last = "0::BIGINT"
+    if standard:
+        short = "list_sum([bs[(len(bs) // 4) * 4 + 1 + i] * [1, 256, 65536][i + 1] for i in range(len(bs) % 4)])"
+        last = _mul(_rotl(_mul(f"coalesce({short}, 0)::BIGINT", MM3_C1), 15), MM3_C2)
+        tail = "[]::BIGINT[]"
     ctes = f"""
 mm_b AS (SELECT *, {b} AS bs FROM {src}),
 mm_k AS (SELECT *, len(bs) AS mm_n, list_concat({blocks}, {tail}) AS ks FROM mm_b),
 mm_h0 AS (SELECT *, list_reduce(ks, lambda acc, k: {lam}, {MM3_SEED}::BIGINT) AS h0 FROM mm_k),
-mm_f1 AS (SELECT *, xor(h0, mm_n::BIGINT) AS f1 FROM mm_h0),
+mm_f1 AS (SELECT *, xor(xor(h0, {last}), mm_n::BIGINT) AS f1 FROM mm_h0),
 mm_f2 AS (SELECT *, xor(f1, f1 >> 16) AS f2 FROM mm_f1),
 mm_f3 AS (SELECT *, {_mul('f2', MM3_F1)} AS f3 FROM mm_f2),
 mm_f4 AS (SELECT *, xor(f3, f3 >> 13) AS f4 FROM mm_f3),

@@ -143,3 +143,14 @@ def test_tfidf_shuffles_no_term_frequencies(spark, sf):
 
     plan = X.tfidf_job(C.docs(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("hashpartitioning") == 1 and "hashpartitioning(idx" in plan and "BroadcastHashJoin" in plan
+
+
+def test_standard_hash_equals_spark_ml(spark):
+    from pyspark.ml.feature import HashingTF
+
+    from strata.functions import hashing as H
+
+    words = ["", "a", "ab", "abc", "abcd", "abcde", "éa", "中文字", "\U0001f600x", "x" * 1001]
+    ml = HashingTF(numFeatures=1 << 20)
+    rows = spark.createDataFrame([*enumerate(words), (99, None)], "i int, w string").select("i", H.hash_index("w", algo="standard").alias("h")).collect()
+    assert {r.i: r.h for r in rows} == {i: ml.indexOf(w) for i, w in enumerate(words)} | {99: 42}
