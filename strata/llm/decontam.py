@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, slices, small_batches, staged, whole_text, word_codes
+from strata.llm.common import mix64, slices, small_batches, staged, unused, whole_text, word_codes
 
 #: Tokens of the shortest tile; share of an item's tokens that contaminates, and the least tokens.
 SEED, COVERAGE, LEAST = 4, 0.5, 8
@@ -200,17 +200,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **limit
     """The documents that no item contaminates, with all their columns; rows are judged where they
     are read, so nothing is shuffled."""
     small_batches(docs)
-    names = docs.columns
+    names, source = docs.columns, unused(docs)
     out = docs
     for n, block in enumerate(blocks(benchmark)):
         items = Items(block, **limits)
 
         def run(batches, items=items):
             for whole in batches:
-                for b in slices(whole, "_text", 1 << 20):
-                    keep = [not items.covered(x) for x in _numbers(b.column("_text").to_pylist(), items)]
+                for b in slices(whole, source, 1 << 20):
+                    keep = [not items.covered(x) for x in _numbers(b.column(source).to_pylist(), items)]
                     kept = b.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names=names)
 
-        out = (staged(out) if n else out).withColumn("_text", whole_text(text_col)).mapInArrow(run, docs.schema)
+        out = (staged(out) if n else out).withColumn(source, whole_text(text_col)).mapInArrow(run, docs.schema)
     return out

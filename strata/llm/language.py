@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, slices, small_batches, whole_text
+from strata.llm.common import mix64, slices, small_batches, unused, whole_text
 
 DIMS = 4096
 CENTROIDS = 3
 #: Bounds of the fitted sample: labelled rows for each language, and rows in all.
 PER_LANGUAGE, SAMPLE_ROWS = 400, 8000
+#: Parts of a language's hashes that are ranked apart.
+PARTS = 64
 #: A text is rejected if its cosine is below this share of a low quantile of the cosines that held-out
 #: texts of the language with about as many distinct n-grams have.
 REJECT_SHARE, REJECT_QUANTILE = 0.8, 0.02
@@ -30,7 +32,7 @@ REJECT_SHARE, REJECT_QUANTILE = 0.8, 0.02
 FOLDS, NEAREST, SIZES = 5, 100, np.arange(1, 13)
 UNKNOWN = "und"
 
-_LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(texts: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +134,13 @@ def _reject_below(x: np.ndarray, starts: np.ndarray, y: np.ndarray, languages: i
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """A bounded sample ``(text, lang)`` of rows ``(text, lang)``, spread over the languages, by the
-    hash of the text.  Only hashes are ranked; the chosen texts are fetched afterwards."""
+    hash of the text.  Only hashes are ranked, in parts of a language first, so no task meets all of
+    one; the chosen texts are fetched afterwards."""
     keyed = labelled.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    part = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))
+    parts = keyed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("r", part).filter(F.col("r") <= per_language)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = keyed.select("lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= per_language).orderBy("r", "h").limit(rows)
+    picked = parts.drop("part").withColumn("r", rank).filter(F.col("r") <= per_language).orderBy("r", "h").limit(rows)
     return keyed.join(F.broadcast(picked.drop("r")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
@@ -174,16 +179,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     replaced; equal texts get equal results."""
     small_batches(docs)
     docs = docs.drop("lang_pred", "score", "cosine", "rejected")
-    names = docs.columns
-    blank = whole_text(text_col)
+    names, source = docs.columns, unused(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", 1 << 19, 256):
-                pred, score, cos, out = model.predict(b.column("_text").to_pylist())
+            for b in slices(whole, source, 1 << 19, 256):
+                pred, score, cos, out = model.predict(b.column(source).to_pylist())
                 cols = [b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pred), pa.array(score, pa.float64()), pa.array(cos, pa.float64()), pa.array(out)],
                                                  names=[*names, "lang_pred", "score", "cosine", "rejected"])
 
     schema = docs.schema.add("lang_pred", "string").add("score", "double").add("cosine", "double").add("rejected", "boolean")
-    return docs.withColumn("_text", blank).mapInArrow(run, schema)
+    return docs.withColumn(source, whole_text(text_col)).mapInArrow(run, schema)
