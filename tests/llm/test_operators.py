@@ -74,6 +74,59 @@ def test_text_of_formulas_and_fallbacks_stays():
     assert [b.text for b in html_crf.blocks(page)] == ["As E=mc2 says.", "No film here."]
 
 
+THEMES = ["comments-open", "no-sidebar has-comments", "single-post postid-7 comments", "home nav-open", "footer-fixed", "menu-open sidebar-right", "cookie-notice", "ads-enabled", "has-widgets subscribe", "page related-posts"]
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return html_crf.train(html_crf.labelled_pages())
+
+
+@pytest.mark.parametrize("theme", THEMES)
+def test_classes_of_the_whole_page_lose_no_article(crf, theme):
+    story = [words(i, 45).capitalize() + "." for i in range(6)]
+    page = f"<html class='{theme}'><body class='{theme}'><nav class='menu'><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A title of it</h1>" + "".join(f"<p>{p}</p>" for p in story) + "</article></body></html>"
+    assert html_crf.main_text(page, crf) == "\n".join(["A title of it", *story])
+
+
+def test_quotation_marks_that_open_nothing():
+    def texts(page):
+        return [b.text for b in html_crf.blocks(page)]
+
+    assert texts("<p title=don't>First article text.</p><p>It isn't lost.</p><p>Third</p>") == ["First article text.", "It isn't lost.", "Third"]
+    assert texts("<p title='a > b' class = \"c>d\" x>One</p><p a\"b>Two</p>") == ["One", "Two"]
+    assert texts("<p>One</p><!-- > never closed <p>Two</p> > three") == ["One"]
+    assert texts("a < b and <p>c</p> d <e") == ["a < b and", "c", "d <e"]
+
+
+def test_deep_and_broken_pages_cost_their_length():
+    import time
+
+    def spent(page):
+        at = time.process_time()
+        got = html_crf.features(html_crf.blocks(page))
+        return time.process_time() - at, len(got)
+
+    for unit, n, blocks in (("<div>x", 100_000, 100_000), ("<a '", 100_000, 1), ("<a b=\"", 100_000, 1), ("<b>x</i>", 50_000, 1), ("<div>x</p>", 50_000, 50_000), ("<li><div>", 50_000, 0), ("<!--", 50_000, 0)):
+        seconds, found = spent(unit * n)
+        assert found == blocks and seconds < 10, unit
+
+
+def test_columns_named_like_the_work_columns(spark, crf):
+    df = spark.createDataFrame([(1, "<article><p>Some text that is long enough to stay here.</p></article>", 7, "x")], "page_id long, html string, _html int, __HTML string")
+    row = html_crf.extract(df, crf).first()
+    assert row["_html"] == 7 and row["__HTML"] == "x" and row["text"].startswith("Some text")
+    docs = spark.createDataFrame([(i, words(i, 40), "aa", i) for i in range(6)], "doc_id long, text string, lang string, _text int")
+    got = language.identify(docs, language.fit(docs.select("text", "lang"))).collect()
+    assert sorted(r["_text"] for r in got) == list(range(6)) and {r["lang_pred"] for r in got} <= {"aa", "und"}
+    bench = spark.createDataFrame([(1, docs.filter("doc_id = 3").first()["text"])], "item_id long, text string")
+    assert sorted(r["_text"] for r in decontam.clean(docs, bench).collect()) == [0, 1, 2, 4, 5]
+
+
+def test_letters_of_any_plane(spark):
+    assert language.grams(["\U00030000 \U000313af", "123 \U0001f600", ""])[1].tolist() == [True, False, False]
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y")], "page_id long, html string, text string")
     assert [r["text"] for r in html_crf.extract(df).collect()] == ["", ""]
@@ -277,6 +330,35 @@ def test_a_passage_counts_wherever_it_stands():
     assert (model.score(texts) >= least - 1e-6).all()
 
 
+@pytest.mark.parametrize("rows", [1, 2, 6, 11, 20])
+def test_few_vectors_are_all_found(spark, rows):
+    x = np.random.default_rng(rows).normal(size=(rows, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id % 5 = 0")).collect()
+    for q in range(0, rows, 5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(rows), d)) if i != q][:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, len(want) + 1))
+        if rows <= 11:
+            assert [m[1] for m in mine] == want and np.allclose([m[2] for m in mine], d[want])
+
+
+def test_vectors_of_any_norm(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1.2e200, 0.0]), (2, [0.0, 1e-200]), (3, [0.0, 3e-200]), (4, [5e-324, 0.0]), (5, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, df).collect()}
+    assert len(got) == 30 and got[0, 1] == (1, pytest.approx(2e199)) and got[2, 1] == (4, pytest.approx(1e-200)) and got[3, 1] == (2, pytest.approx(2e-200))
+    assert got[5, 5][1] > 1e308
+
+
+def test_a_bucket_of_many_classes_has_a_fingerprint(spark):
+    """60,000 classes with the same values: one bucket, whichever band, and no sum to overflow."""
+    cls = spark.range(60_000).select(F.col("id").alias("cls"), F.lit(9).alias("n"), F.unhex(F.lit("ab" * 4 * jaccard.BANDS * jaccard.ROWS)).alias("sig"))
+    assert jaccard.meetings(cls, block=1 << 20).count() == 60_000
+    assert spark.range(1_000_000).agg(F.bit_xor(F.xxhash64("id"))).first()[0] is not None
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 12)) * rng.choice([0.1, 1, 30], size=(600, 1))
@@ -338,7 +420,9 @@ def test_chat_round_trip(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", t, 0) for i, t in enumerate(odd)] + [(2, None, None, "x", 0), (None, 1, "user", "y", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message int")
     done = chat.format_chats(df)
-    got = {r["conv_id"]: r for r in done.withColumn("t", chat.parse(F.col("formatted"), F.col("loss"))).collect()}
+    read = chat.read_back(done).withColumnRenamed("conv_id", "id")
+    got = {r["conv_id"]: r for r in done.join(read, done["conv_id"].eqNullSafe(read["id"])).collect()}
+    assert all(r["chars"] == len(r["formatted"]) for r in got.values())
     assert [(t["role"], t["text"]) for t in got[1]["t"]] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(odd)]
     for r in got.values():
         for t, m in zip(r["t"], r["loss"]):
@@ -348,6 +432,22 @@ def test_chat_round_trip(spark):
     assert "</s>" not in got[1]["formatted"] and "[INST]" not in got[1]["formatted"]
 
 
+def test_learned_text_is_read_at_the_masks_place(spark):
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"text number {i} \U0001f600", 0) for i in range(6)], "conv_id long, turn long, role string, text string, message int")
+    done = chat.format_chats(df)
+
+    def learned(shift_start, shift_end):
+        moved = F.transform("loss", lambda m: F.when(m.isNotNull(), F.struct((m["start"] + shift_start).alias("start"), (m["end"] + shift_end).alias("end"))))
+        return [t["learned"] for t in chat.read_back(done.withColumn("loss", moved)).first()["t"]]
+
+    assert learned(0, 0) == [f"text number {i} \U0001f600" if i % 2 else None for i in range(6)]
+    assert learned(2, -1) == [f"xt number {i} " if i % 2 else None for i in range(6)]
+    for shift in ((1000, 1000), (-1000, 0), (0, 1000)):
+        with pytest.raises(Exception, match="outside its turn"):
+            learned(*shift)
+    assert chat.read_back(done.limit(0)).count() == 0
+
+
 def test_chat_events(spark):
     log = [(1, 1, 1, "message", "user", "hel"), (1, 2, 1, "delta", None, "lo"), (1, 3, 2, "message", "assistant", ""), (1, 4, 2, "delta", None, "bad"),
            (1, 5, 2, "regenerate", None, None), (1, 6, 2, "delta", None, "go"), (1, 7, 2, "delta", None, "od"), (1, 8, 1, "edit", None, "HELLO"),
