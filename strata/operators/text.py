@@ -21,14 +21,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from strata.functions import counting as C
 from strata.functions import hashing as H
-from strata.functions._util import let
-from strata.functions.text import TRIM_CLASS, TRIM_RE, tokens
+from strata.functions import offsets as P
+from strata.functions.text import tokens
 from strata.session import cut_lineage_counted
 
-# The whitespace characters of the JVM regex class \s, i.e. the token separators.
-WHITESPACE_CHARS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
-
-
 _SPARSE = StructType([StructField("size", IntegerType()), StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
 
 
@@ -46,44 +42,25 @@ def token_offsets(df: DataFrame, text_col: str = "text", out_col: str = "offsets
     """Compact token layout: ``offsets`` = [start0, end0, start1, end1, ...] (0-based, end exclusive,
     in characters) such that ``tokens_from_offsets`` reproduces ``tokenize`` exactly.
 
-    Linear per document, evaluated in the JVM: token starts/ends are found from a per-character
-    whitespace mask of the trimmed text."""
-    text = F.col(text_col)
-    lead = F.length(F.regexp_extract(text, rf"\A{TRIM_CLASS}*", 0))
-    trimmed = F.regexp_replace(text, TRIM_RE, "")
-    ws_mask = F.transform(F.split(trimmed, ""), lambda c: c.isin(*WHITESPACE_CHARS))
-
-    def body(ws: Column) -> Column:
-        n = F.size(ws)
-        idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-        solid = lambda i: (i < n) & ~F.coalesce(F.get(ws, i), F.lit(True))
-        starts = F.filter(idx, lambda i: solid(i) & F.coalesce(F.get(ws, i - 1), F.lit(True)))
-        ends = F.filter(idx, lambda i: solid(i) & F.coalesce(F.get(ws, i + 1), F.lit(True)))
-        return F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1)))
+    A null text has none.  Linear per document: a batch's texts are read as one run of bytes, through Arrow."""
+    @F.arrow_udf("array<int>")
+    def find(texts: pa.Array) -> pa.Array:
+        found = [P.places(b.column(0)) for b in C.text_slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
-    pairs = let(ws_mask, body)
-    shifted = let(lead, lambda ld: F.transform(pairs, lambda o: o + ld))
-    empty = F.array().cast("array<int>")
-    return df.withColumn(out_col, F.when(F.length(trimmed) > 0, shifted.cast("array<int>")).otherwise(empty))
+    return df.withColumn(out_col, find(F.col(text_col)))
 
 
 def tokens_from_offsets(df: DataFrame, text_col: str = "text", offsets_col: str = "offsets",
                         out_col: str = "tokens") -> DataFrame:
-    """Offsets + text -> tokens (inverse view of ``token_offsets``)."""
-    def body(both: Column) -> Column:
-        off, chars = both["o"], both["c"]
-        k = (F.size(off) / 2).cast("int")
-        # slicing a character array is O(token length); substring on UTF-8 text would rescan
-        # the text from its start for every token
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
-            lambda j: F.array_join(F.slice(chars, F.get(off, 2 * j) + 1, F.get(off, 2 * j + 1) - F.get(off, 2 * j)), ""),
-        )
-
-    # Bind offsets and text once: if the optimizer inlines the offsets expression, it still
-    # runs once per row rather than once per token.
-    toks = let(F.struct(F.col(offsets_col).alias("o"), F.split(F.col(text_col), "").alias("c")), body)
-    return df.withColumn(out_col, F.when(F.size(offsets_col) > 0, toks).otherwise(F.array().cast("array<string>")))
+    """Offsets + text -> tokens (inverse view of ``token_offsets``).  Null offsets are none."""
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, offsets: pa.Array) -> pa.Array:
+        both = pa.RecordBatch.from_arrays([texts, offsets], ["t", "o"])
+        found = [P.tokens_at(b.column(1), b.column(0)) for b in C.text_slices(both, "t")]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
+
+    return df.withColumn(out_col, cut(F.col(text_col), F.col(offsets_col)))
 
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
