@@ -1089,8 +1089,8 @@ def q_save_load_clusters(spark, d):
 def q_read_documents(spark, d):
     """Each document as a file of its own, in a folder named after its id, read back whole."""
     path = shared_path(spark, "documents")
-    docs(spark, d).filter(F.col("text").isNotNull()).repartition("doc_id").write.partitionBy("doc_id").text(path)
-    got = FI.read_documents(spark, f"{path}/*/*.txt")
+    FI.write_documents(docs(spark, d), path)
+    got = FI.read_documents(spark, path, nested=True)
     return got.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), "text")
 
 

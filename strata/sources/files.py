@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +17,55 @@ CLUSTER_MODEL_CLASS = "org.apache.spark.mllib.clustering.KMeansModel"
 CLUSTER_MODEL_VERSION = "1.0"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (path, text).  Files are read whole by the executors."""
-    df = spark.read.text(path, wholetext=True)
+#: Folder of rows without an id, as Spark names it.
+NO_ID = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """One file per id, ``<path>/<id_col>=<id>/*.txt``: its texts (no nulls), each with a line feed.
+
+    ``path`` must be new, and shared by the driver and all executors.  On a mounted folder the tasks
+    write plain files under their final name at the end, so a task may run again; Spark's own
+    writer forks a process for the mode of each of a file's parts there, and its driver moves all
+    folders one by one.  Other file systems take Spark's writer."""
+    rows = docs.select(F.col(id_col), F.col(text_col)).filter(F.col(text_col).isNotNull())
+    # a number of partitions, as small texts of many ids must not be put together in a few tasks
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    at = urlparse(path)
+    if at.scheme not in ("", "file"):
+        rows.write.partitionBy(id_col).text(path)
+        return
+    top = path if not at.scheme else unquote(at.path)
+    os.makedirs(top)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, n = None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{os.path.dirname(out.name)}/part-0.txt")
+
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if out is None or name != now:
+                    close()
+                    folder = f"{top}/{id_col}={quote(name, safe='') if name else NO_ID}"
+                    os.makedirs(folder, exist_ok=True)
+                    out, now, n = open(f"{folder}/.{uuid.uuid4().hex}", "wb"), name, n + 1  # noqa: SIM115
+                out.write(text)
+                out.write(b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    named = rows.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text"))
+    named.sortWithinPartitions("name").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
+def read_documents(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """One row per file: (path, text).  Files are read whole by the executors.  ``nested``: the
+    ``.txt`` files of all folders below ``path``, which tasks list."""
+    df = spark.read.text(path, wholetext=True, **({"recursiveFileLookup": True, "pathGlobFilter": "*.txt"} if nested else {}))
     return df.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 

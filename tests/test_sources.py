@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,28 @@ def test_older_labeled_points(spark):
     for bad in ("1.0", "1.0,2.0,3.0", "1.0,a b", "x,1 2"):
         with pytest.raises(Exception):  # noqa: B017
             spark.createDataFrame([(bad,)], "value string").select(TF.parse_labeled_point("value").alias("p")).collect()
+
+
+def test_write_documents_one_file_an_id(spark, tmp_path):
+    """Many small documents are written by many tasks, and read back from folders of any depth."""
+    rows = [(i, f"line {i}\nä\t") for i in range(300)] + [(7, "twice"), (-3, ""), (301, None)]
+    path = f"file:{tmp_path}/documents"
+    FI.write_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), path)
+    got = FI.read_documents(spark, path, nested=True).collect()
+    read = {int(r.path.split("doc_id=")[1].split("/")[0]): r.text for r in got}
+    assert len(got) == len(read) == 301
+    assert sorted(read.pop(7).splitlines()) == sorted(["line 7", "ä\t", "twice"])
+    assert read.pop(-3) == "\n"
+    assert read == {i: f"line {i}\nä\t\n" for i in range(300) if i != 7}
+    assert not [f for f in os.listdir(tmp_path / "documents" / "doc_id=5") if f.startswith(".")]
+    with pytest.raises(FileExistsError):
+        FI.write_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), path)
+
+
+def test_write_documents_names(spark, tmp_path):
+    path = f"{tmp_path}/named"
+    FI.write_documents(spark.createDataFrame([("a/b", "x"), (None, "y")], "name string, body string"), path, "name", "body")
+    assert sorted(os.listdir(path)) == ["name=__HIVE_DEFAULT_PARTITION__", "name=a%2Fb"]
+    assert FI.read_documents(spark, path, nested=True).count() == 2
+    FI.write_documents(spark.createDataFrame([], "name string, body string"), f"{tmp_path}/none", "name", "body")
+    assert FI.read_documents(spark, f"{tmp_path}/none", nested=True).count() == 0
