@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -33,7 +34,7 @@ from strata.llm.common import ranges, slices, small_batches, staged, whole_text
 CAPACITY = 2048
 END_ID = 0
 #: Words kept in a worker's cache of token ids (a bound on memory, never on results).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 #: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the
@@ -80,6 +81,9 @@ class WordCache:
         marks after them are put together from two known ones; all others are encoded singly."""
         plain, other, split = [], [], []
         for w in words:
+            if w.islower() and w.isalpha() and w.isascii():
+                plain.append(w)
+                continue
             m = _PLAIN.fullmatch(w)
             if m is None:
                 other.append(w)
@@ -92,7 +96,7 @@ class WordCache:
         plain = list(dict.fromkeys([*plain, *(p for p in parts if p.isalpha())]))
         other += [p for p in parts if not p.isalpha()]
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(plain):
                 self._store(plain, ids, np.diff(np.r_[-1, last]))
@@ -115,10 +119,13 @@ class WordCache:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         first = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
-        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if missing := [w for w in distinct if w not in self.at]:
+        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+        at = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(at < 0)):
+            missing = distinct[new].tolist()
             self.add(missing)
-        start, size = self._rows(np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct)))
+            at[new] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
+        start, size = self._rows(at)
         size = size[codes]
         lengths = np.diff(np.r_[0, np.cumsum(size)][first - first[0]])
         offsets = np.r_[0, np.cumsum(lengths + 1)]
@@ -155,7 +162,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
                 length = np.minimum(capacity, lengths[row] - start)
                 lo = offsets[row] + start
                 raw = ids.astype("<u4", copy=False)
-                crc = [zlib.crc32(raw[a:a + n].tobytes()) for a, n in zip(lo.tolist(), length.tolist(), strict=True)]
+                crc = [zlib.crc32(raw[a:a + n]) for a, n in zip(lo.tolist(), length.tolist(), strict=True)]
                 cols = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(ids.astype(np.int64))))

@@ -454,3 +454,26 @@ def test_chat_events(spark):
            (1, 9, 3, "message", "user", "gone"), (1, 10, 3, "delete", None, None), (1, 11, None, "delta", None, "stray")]
     df = spark.createDataFrame(log, "conv_id long, seq long, message long, event string, role string, text string")
     assert [(r["role"], r["text"]) for r in chat.fold(df).orderBy("first_seq").collect()] == [("user", "HELLO"), ("assistant", "good")]
+
+
+def test_packing_looks_up_distinct_words_once():
+    """Each distinct word of a slice is looked up once, in whatever form it stands."""
+    class Counted(dict):
+        seen = 0
+
+        def get(self, key, other=None):
+            Counted.seen += 1
+            return dict.get(self, key, other)
+
+        def __contains__(self, key):
+            raise AssertionError("a second look-up")
+
+    cache = packing.WordCache(TOKENIZER)
+    texts = ["known words Known, words! stra\u00dfe \u00c9t\u00e9 x1", "words known", "", "Known, \u4e2d words"]
+    want = [cache.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for _ in range(2):
+        ids, offsets = cache.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    cache.at = Counted(cache.at)
+    cache.encode(texts)
+    assert Counted.seen == 8
