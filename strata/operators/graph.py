@@ -96,20 +96,25 @@ def prefix_sum(df: DataFrame, order_by: list[str], value_col: str, out_col: str)
             .withColumn(out_col, (F.col("_base") + F.col("_loc")).cast("long")).drop("_pid", "_loc", "_base"))
 
 
+def hot_rows(rows: int) -> int:
+    """Edges of a vertex, among ``rows`` in all, above which it is hot."""
+    return max(skew.HOT_ROWS, math.ceil(rows / skew.HOT_SHARE))
+
+
 def spread(edges: DataFrame, ends: tuple[str, ...] = ("src", "dst"), threshold: int | None = None) -> tuple[DataFrame, dict[str, DataFrame | None]]:
     """Adds ``<end>_salt`` for each end, 0 but for hot vertices, whose edges are dealt by a hash of the
     other end; and the hot vertices of each end (None: there are none).  See ``skew.salt_hot``."""
     if threshold is None:
-        threshold = max(skew.HOT_ROWS, math.ceil(edges.count() / skew.HOT_SHARE))
+        threshold = hot_rows(edges.count())
     hot: dict[str, DataFrame | None] = {}
     for end in ends:
         edges, hot[end] = skew.salt_hot(edges, end, "dst" if end == "src" else "src", f"{end}_salt", threshold)
     return edges, hot
 
 
-def attach(edges: DataFrame, end: str, state: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Inner join of spread edges with the vertex columns of ``state`` (id, ...) at one end."""
-    return skew.join_hot(edges, end, state.withColumnRenamed("id", end), hot, f"{end}_salt")
+def attach(edges: DataFrame, end: str, state: DataFrame, hot: DataFrame | None, hashed: bool = False) -> DataFrame:
+    """Inner join of spread edges with the vertex columns of ``state`` (id, ...) at one end; ``hashed``: see ``skew.join_hot``."""
+    return skew.join_hot(edges, end, state.withColumnRenamed("id", end), hot, f"{end}_salt", hashed=hashed)
 
 
 def triplets(edges: DataFrame, vertices: DataFrame, threshold: int | None = None) -> DataFrame:

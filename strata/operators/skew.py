@@ -35,10 +35,12 @@ def salt_hot(df: DataFrame, key: str, by: str | Column, salt: str = "_salt", thr
     return df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(salt, dealt).drop("_hot_key", "n_salt"), hot
 
 
-def join_hot(df: DataFrame, key: str, side: DataFrame, hot: DataFrame | None, salt: str = "_salt", how: str = "inner") -> DataFrame:
-    """Joins rows salted by ``salt_hot`` with the rows of ``side`` that have the same ``key``."""
+def join_hot(df: DataFrame, key: str, side: DataFrame, hot: DataFrame | None, salt: str = "_salt", how: str = "inner", hashed: bool = False) -> DataFrame:
+    """Joins rows salted by ``salt_hot`` with the rows of ``side`` that have the same ``key``.  ``hashed``: rows that
+    already lie by (key, salt), or by key if nothing is hot, are neither moved nor sorted again."""
     if hot is None:
-        return df.join(side, key, how)
+        return df.join(side.hint("shuffle_hash") if hashed else side, key, how)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1))
     held = side.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(salt, copies)
-    return df.join(held.drop("_hot_key", "n_salt"), [key, salt], how)
+    held = held.drop("_hot_key", "n_salt")
+    return df.join(held.hint("shuffle_hash") if hashed else held, [key, salt], how)

@@ -1,8 +1,9 @@
 """Iterative graph jobs: PageRank, BFS and a general Pregel loop.
 
 Edges are prepared once: the edges of hot vertices are spread over salts (``operators.graph.spread``),
-then hash-partitioned by (end, salt) and kept in the cache, so each round moves vertex-sized data
-only; messages are partially merged per task before the shuffle by receiver.
+then hash-partitioned by the very columns that the rounds join on and kept in the cache, so a round
+builds a hash table of vertices beside edges that neither move nor are sorted again; messages are
+partially merged per task before the shuffle by receiver.
 
 Every round's result is written to the shared checkpoint folder: the next round reads files, so
 plans don't grow and a lost executor costs at most a round.  A round writes only the vertices it
@@ -19,28 +20,39 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.graph import _MERGES, attach, graph_from_edges, spread
+from strata.operators.graph import _MERGES, attach, graph_from_edges, hot_rows, spread
 from strata.session import cut_lineage, cut_lineage_counted, release
 
 INF = float("inf")
 
+#: Edges of a cached partition; from more the number of partitions grows.
+PARTITION_ROWS = 2_000_000
 #: BFS levels between two rewritings of the visited vertices.
 COMPACT_EVERY = 8
 #: Changed vertices, as a part of all, from which a Pregel round rewrites the whole state.
 REWRITE_PART = 1 / 4
 
 
+def placed(edges: DataFrame, end: str, hot: DataFrame | None, rows: int, least: int | None = None) -> DataFrame:
+    """Spread edges partitioned by ``end`` (and its salt, if a vertex is hot: a join on ``end`` alone would move
+    rows that lie by both) and in the cache.  The number of partitions is given, as it must not be changed at run time,
+    and grows with ``rows``."""
+    n = max(least or 1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PARTITION_ROWS))
+    out = edges.repartition(n, *([end] if hot is None else [end, f"{end}_salt"])).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def prepare_edges(edges: DataFrame, partitions: int | None = None, hot_factor: int = 4, end: str = "src") -> tuple[DataFrame, DataFrame | None]:
-    """Edges with ``<end>_salt``, partitioned by (end, salt) and persisted, and the hot vertices of
-    that end (None: there are none).  With ``partitions`` a vertex is hot above ``|E| / (hot_factor * partitions)`` edges,
-    else as in ``spread``; either way the number of hot ones is bounded."""
+    """Edges with ``<end>_salt``, ``placed`` by that end in ``partitions`` at least, and the hot vertices of
+    that end (None: there are none).  With ``partitions`` a vertex is hot above ``|E| / (hot_factor * partitions)`` edges
+    or ``PARTITION_ROWS``, else as in ``spread``; either way the number of hot ones is bounded."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), *cols)
-    threshold = max(1, math.ceil(e.count() / (hot_factor * partitions))) if partitions else None
+    rows = e.count()
+    threshold = max(1, min(PARTITION_ROWS, math.ceil(rows / (hot_factor * partitions)))) if partitions else hot_rows(rows)
     salted, hot = spread(e, (end,), threshold)
-    keys = [F.col(end), F.col(f"{end}_salt")]
-    salted = salted.repartition(partitions, *keys) if partitions else salted.repartition(*keys)
-    return salted.persist(StorageLevel.MEMORY_AND_DISK), hot[end]
+    return placed(salted, end, hot[end], rows, partitions), hot[end]
 
 
 def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, normalize: bool = False,
@@ -61,7 +73,7 @@ def static_pagerank(edges: DataFrame, num_iter: int, reset_prob: float = 0.15, n
     written = None
     for it in range(num_iter):
         share = ranks.filter(F.col("_w").isNotNull()).select("id", (F.col("rank") * F.col("_w")).alias("_c"))
-        sums = attach(salted, "src", share, hot).groupBy(F.col("dst").alias("id")).agg(F.sum("_c").alias("_s"))
+        sums = attach(salted, "src", share, hot, hashed=True).groupBy(F.col("dst").alias("id")).agg(F.sum("_c").alias("_s"))
         ranks = weights.join(sums, "id", "left").select(
             "id", (F.lit(reset_prob) + F.lit(1.0 - reset_prob) * F.coalesce("_s", F.lit(0.0))).alias("rank"), "_w")
         if checkpoint_every and (it + 1) % checkpoint_every == 0 and it + 1 < num_iter:
@@ -95,7 +107,7 @@ def bfs(edges: DataFrame, root: int, max_iter: int | None = None, partitions: in
         seen = reached
         for df in recent:
             seen = seen.unionByName(df)
-        ahead = attach(salted, "src", frontier.select("id"), hot).select(F.col("dst").alias("id")).distinct()
+        ahead = attach(salted, "src", frontier.select("id"), hot, hashed=True).select(F.col("dst").alias("id")).distinct()
         frontier, n = cut_lineage_counted(ahead.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("dist")))
         release(*stale)
         recent, stale = [*recent, frontier], []
@@ -117,7 +129,7 @@ def bfs(edges: DataFrame, root: int, max_iter: int | None = None, partitions: in
 def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[Column, Column], Column],
            send_msg: Callable[[Column, Column, Column], Column] | None, merge: str | Callable[[Column], Column] = "min",
            max_iter: int = 2 ** 31 - 1, send_to_src: Callable[[Column, Column, Column], Column] | None = None,
-           active: str = "either", threshold: int | None = None) -> DataFrame:
+           active: str = "either", threshold: int | None = None, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Message passing until no message is sent: (id, attr).
 
     * ``vprog(attr, msg)`` -> new attribute (column expressions; ``attr`` may be a struct);
@@ -126,7 +138,11 @@ def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[
     * ``merge``: sum, min, max or count, or any aggregate of the message column; it must not
       depend on the order of messages;
     * ``active``: an edge sends in a round if the round before changed its source ("out"), its
-      destination ("in"), one of them ("either") or both ("both").
+      destination ("in"), one of them ("either") or both ("both");
+    * ``accept(attr, msg)``: for programs whose messages depend on the sender and the edge alone.  The
+      functions get None for the receiver's attribute, an edge sends at the ends that the round before
+      changed (whatever ``active`` says), and a vertex receives its merged message where this holds.
+      Edges then never travel to their receivers' state.
 
     Round 0 applies ``vprog`` with ``initial_msg`` to every vertex, after which every edge sends.  A
     vertex changes when it receives a message; the loop ends when none is sent or after
@@ -146,26 +162,39 @@ def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[
     if send_msg is None and send_to_src is None:
         raise ValueError("nothing is ever sent")
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), (F.col("attr") if "attr" in edges.columns else F.lit(1)).alias("eattr"))
-    e, hot = spread(e, threshold=threshold)
-    by = {end: e.repartition(end, f"{end}_salt").persist(StorageLevel.MEMORY_AND_DISK)
-          for end in ("src", "dst") if end == "src" or active in ("in", "either")}
+    rows = e.count()
+    if accept is None:
+        ends = ("src", "dst") if active in ("in", "either") else ("src",)
+    else:
+        ends = tuple(end for end, send in (("src", send_msg), ("dst", send_to_src)) if send is not None)
+    e, hot = spread(e, ("src", "dst") if accept is None else ends, hot_rows(rows) if threshold is None else threshold)
+    by = {end: placed(e, end, hot[end], rows) for end in ends}
 
     def vertex(state: DataFrame, end: str) -> DataFrame:
         return state.select("id", F.col("attr").alias(f"{end}_attr"), F.col("round").alias(f"{end}_round"))
 
     def sides(now: int, state: DataFrame, changed: DataFrame | None) -> list[DataFrame]:
         if changed is None:  # round 0
-            return [attach(attach(by["src"], "src", vertex(state, "src"), hot["src"]), "dst", vertex(state, "dst"), hot["dst"])]
+            return [attach(attach(by["src"], "src", vertex(state, "src"), hot["src"], hashed=True), "dst", vertex(state, "dst"), hot["dst"])]
         out = []
         if active != "in":
-            t = attach(attach(by["src"], "src", vertex(changed, "src"), hot["src"]), "dst", vertex(state, "dst"), hot["dst"])
+            t = attach(attach(by["src"], "src", vertex(changed, "src"), hot["src"], hashed=True), "dst", vertex(state, "dst"), hot["dst"])
             out.append(t if active != "both" else t.filter(F.col("dst_round") == now))
         if active in ("in", "either"):
-            t = attach(attach(by["dst"], "dst", vertex(changed, "dst"), hot["dst"]), "src", vertex(state, "src"), hot["src"])
+            t = attach(attach(by["dst"], "dst", vertex(changed, "dst"), hot["dst"], hashed=True), "src", vertex(state, "src"), hot["src"])
             out.append(t if active == "in" else t.filter(F.col("src_round") < now))
         return out
 
     def messages(now: int, state: DataFrame, changed: DataFrame | None) -> DataFrame:
+        if accept is not None:
+            parts = []
+            for end, to, send in (("src", "dst", send_msg), ("dst", "src", send_to_src)):
+                if send is not None:
+                    attrs = [F.col(f"{x}_attr") if x == end else None for x in ("src", "dst")]
+                    t = attach(by[end], end, vertex(state if changed is None else changed, end), hot[end], hashed=True)
+                    parts.append(t.select(F.col(to).alias("id"), send(*attrs, F.col("eattr")).alias("_m")))
+            sent = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).filter(F.col("_m").isNotNull()).groupBy("id").agg(merge("_m").alias("msg"))
+            return sent.join(state.select("id", "attr"), "id").filter(accept(F.col("attr"), F.col("msg"))).select("id", "msg")
         ends = (F.col("src_attr"), F.col("dst_attr"), F.col("eattr"))
         sent = [F.struct(F.col(to).alias("id"), send(*ends).alias("_m")) for to, send in (("dst", send_msg), ("src", send_to_src)) if send is not None]
         parts = [t.select(F.inline(F.array(*sent))) for t in sides(now, state, changed)]
@@ -210,23 +239,23 @@ def pregel(edges: DataFrame, vertices: DataFrame, initial_msg, vprog: Callable[[
 
 def bfs_pregel(edges: DataFrame, root: int, max_iter: int = 2 ** 31 - 1) -> DataFrame:
     """BFS written as the Pregel program of the original job: vertex value = min(old, msg);
-    send dist + 1 from a reached source to an unreached destination; merge by min."""
+    send dist + 1 from a reached source, to be received by an unreached destination; merge by min."""
     verts = graph_from_edges(edges.select("src", "dst")).select(
         "id", F.when(F.col("id") == F.lit(int(root)), F.lit(0.0)).otherwise(F.lit(INF)).alias("attr"))
     out = pregel(
         edges.select("src", "dst"), verts, INF,
         vprog=lambda attr, msg: F.least(attr, msg),
-        send_msg=lambda s, d, _e: F.when((s != F.lit(INF)) & (d == F.lit(INF)), s + 1.0),
-        merge="min", max_iter=max_iter)
+        send_msg=lambda s, _d, _e: F.when(s != F.lit(INF), s + 1.0),
+        merge="min", max_iter=max_iter, accept=lambda attr, _msg: attr == F.lit(INF))
     return out.select("id", F.col("attr").alias("dist"))
 
 
 def connected_components(edges: DataFrame, max_iter: int = 2 ** 31 - 1) -> DataFrame:
     """(id, component): the smallest id that can be reached when directions are ignored, as a Pregel
-    program that sends the smaller label to either end of an edge."""
+    program that sends labels to either end of an edge, where smaller ones are received."""
     verts = graph_from_edges(edges.select("src", "dst")).select("id", F.col("id").cast("long").alias("attr"))
     out = pregel(edges.select("src", "dst"), verts, 2 ** 63 - 1, vprog=F.least,
-                 send_msg=lambda s, d, _e: F.when(s < d, s), send_to_src=lambda s, d, _e: F.when(d < s, d), max_iter=max_iter)
+                 send_msg=lambda s, _d, _e: s, send_to_src=lambda _s, d, _e: d, max_iter=max_iter, accept=lambda attr, msg: msg < attr)
     return out.select("id", F.col("attr").alias("component"))
 
 
@@ -236,5 +265,5 @@ def shortest_paths(edges: DataFrame, root: int, max_iter: int = 2 ** 31 - 1) ->
     verts = graph_from_edges(edges.select("src", "dst")).select(
         "id", F.when(F.col("id") == F.lit(int(root)), F.lit(0.0)).otherwise(F.lit(INF)).alias("attr"))
     weighted = edges.select("src", "dst", F.col("attr").cast("double").alias("attr"))
-    out = pregel(weighted, verts, INF, vprog=F.least, send_msg=lambda s, d, w: F.when(s + w < d, s + w), max_iter=max_iter, active="out")
+    out = pregel(weighted, verts, INF, vprog=F.least, send_msg=lambda s, _d, w: F.when(s != F.lit(INF), s + w), max_iter=max_iter, accept=lambda attr, msg: msg < attr)
     return out.select("id", F.col("attr").alias("dist"))
