@@ -31,6 +31,8 @@ WINDOW, ANCHOR = 100, 32
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Windows sorted at a time; occurrences of an anchor that one bucket takes.
 BLOCK, OCCURRENCES = 1 << 18, 100_000
+#: Anchors that a task gathers before it sends them.
+ENTRIES = 1 << 19
 _KEY = "k bigint, dh int"
 _SPAN = WINDOW - ANCHOR + 1
 
@@ -76,32 +78,42 @@ def _concat(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
 def repeated_anchors(texts: DataFrame, buckets: int, occurrences: int = OCCURRENCES) -> DataFrame:
     """``(k, dh, place, salts)`` of anchors whose string occurs again.  What repeats within a batch is
     known at once; of each anchor string of a batch one entry, with its count, goes to the bucket
-    of its hash, so a bucket gets one entry for each batch however frequent the string is."""
+    of its hash, so a bucket gets one entry for each batch however frequent the string is.  A batch is
+    what a task reads until it has ``ENTRIES`` anchors; it makes one row for each bucket."""
+
+    kind = np.dtype([("h", "<u8"), ("k", "<i8"), ("dh", "<i4"), ("p", "<i4"), ("n", "<i4"), ("known", "<i4")])
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        packed = np.concatenate(held)
+        h = packed["h"]
+        _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        one = np.zeros(len(h), bool)
+        one[first] = True
+        packed["n"], packed["known"] = np.where(one, count[back], 0), count[back] > 1
+        # other occurrences are settled; they only pass through, by document
+        to = np.where(one, h % np.uint64(buckets), mix64(packed["k"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
+        parts = np.split(packed[order], cut[1:])
+        return pa.RecordBatch.from_arrays([pa.array(to[order][cut], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "entries"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for whole in batches:
             for b in slices(whole, "text", 1 << 18):
                 raw, doc, base = _concat(b.column("text").to_pylist())
                 h, place, _, _ = anchors(np.frombuffer(raw, np.uint8), doc)
                 if not len(h):
                     continue
-                k, dh = np.asarray(b.column("k")), np.asarray(b.column("dh"))
-                row = doc[place]
-                _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                one = np.zeros(len(h), bool)
-                one[first] = True
-                n = np.where(one, count[back], 0).astype(np.int64)
-                # other occurrences are settled; they only pass through, by document
-                to = np.where(one, h % np.uint64(buckets), mix64(k[row].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                known = count[back] > 1
-                order = np.argsort(to, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
-                packed = np.empty(len(h), np.dtype([("h", "<u8"), ("k", "<i8"), ("dh", "<i4"), ("p", "<i4"), ("n", "<i4"), ("known", "<i4")]))
-                packed["h"], packed["k"], packed["dh"], packed["p"], packed["n"], packed["known"] = h, k[row], dh[row], place - base[row], n, known
-                parts = np.split(packed[order], cut[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(to[order][cut], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "entries"])
-
-    kind = np.dtype([("h", "<u8"), ("k", "<i8"), ("dh", "<i4"), ("p", "<i4"), ("n", "<i4"), ("known", "<i4")])
+                row, some = doc[place], np.zeros(len(h), kind)
+                some["h"], some["k"], some["dh"], some["p"] = h, np.asarray(b.column("k"))[row], np.asarray(b.column("dh"))[row], place - base[row]
+                held.append(some)
+                n += len(h)
+                if n >= ENTRIES:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
 
     def count(t: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(t.column("entries").to_pylist()), kind)
@@ -217,11 +229,11 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contexts(found: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, k, dh, lo, n, salts, ctx)``: for rows ``(k, dh, text, spots)`` the stretch of all
     windows that name a repeated anchor.  Within a batch equal stretches travel once; the others are
-    settled (``ctx`` null, bytes [lo, lo + n) go)."""
+    settled (``ctx`` null, bytes [lo, lo + n) go), those of a text that meet as one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 1 << 18):
+            for b in slices(whole, "text", 1 << 20):
                 raw, doc, base = _concat(b.column("text").to_pylist())
                 h, place, lo, hi = anchors(np.frombuffer(raw, np.uint8), doc)
                 h = h.astype(np.int64)
@@ -238,19 +250,25 @@ def contexts(found: DataFrame, buckets: int) -> DataFrame:
                 order = np.lexsort([lo[use], dh[row], k[row]])
                 seen: dict[bytes, int] = {}
                 cols: list[list] = [[] for _ in range(7)]
+                settled: list[list[int]] = []
                 for u, r in zip(use[order].tolist(), row[order].tolist(), strict=True):
                     a, z = int(lo[u]), int(hi[u]) + WINDOW
                     ctx = raw[a:z]
                     own = (int(k[r]), int(dh[r]), a - int(base[r]))
                     salts = salt_of[int(place[u])]
                     if (prev := seen.get(ctx)) is not None and prev != own:
-                        cols[0].append(hash(own) % buckets)  # settled: it may go anywhere
-                        ctx = None
-                    else:
-                        seen[ctx] = own
-                        cols[0].append(int(h[u] % buckets) + (buckets * (1 + hash(own) % salts) if salts > 1 else 0))
+                        if settled and settled[-1][:2] == [own[0], own[1]] and own[2] <= settled[-1][3]:
+                            settled[-1][3] = max(settled[-1][3], own[2] + z - a)
+                        else:
+                            settled.append([*own, own[2] + z - a])
+                        continue
+                    seen[ctx] = own
+                    cols[0].append(int(h[u] % buckets) + (buckets * (1 + hash(own) % salts) if salts > 1 else 0))
                     for c, v in zip(cols[1:], (*own, z - a, salts, ctx), strict=True):
                         c.append(v)
+                for r0, r1, lo0, end in settled:  # they may go anywhere
+                    for c, v in zip(cols, (hash((r0, r1, lo0)) % buckets, r0, r1, lo0, end - lo0, 1, None), strict=True):
+                        c.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()),
                      pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.binary())], names=["bucket", "k", "dh", "lo", "n", "salts", "ctx"])
@@ -329,11 +347,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = again.drop("salts").join(often, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     spots = staged(again.groupBy("k", "dh").agg(F.collect_list(F.struct("place", "salts")).alias("spots")))
     found = contexts(base.join(spots, ["k", "dh"]).select("k", "dh", "text", "spots"), buckets)
-    got = marks(found)
-    # Marks without a hash stand alone; of windows with one the earliest stays.
-    alone = F.col("w1").isNull()
-    turn = F.row_number().over(Window.partitionBy(F.coalesce("w1", F.xxhash64("k", "lo")), F.coalesce("w2", F.col("hi"))).orderBy("k", "dh", "lo"))
-    got = got.withColumn("turn", turn).filter(alone | (F.col("turn") > 1)).select("k", "dh", "lo", "hi")
+    got = staged(marks(found))
+    # Marks without a hash stand alone; of windows with one (few) the earliest stays.
+    turn = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("k", "dh", "lo"))
+    later = got.filter(F.col("w1").isNotNull()).withColumn("turn", turn).filter("turn > 1")
+    got = got.filter(F.col("w1").isNull()).select("k", "dh", "lo", "hi").union(later.select("k", "dh", "lo", "hi"))
     got = got.union(copies.select("k", "dh", F.lit(0).cast("long"), "n"))
     return base, got.groupBy("k", "dh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

@@ -477,3 +477,15 @@ def test_packing_looks_up_distinct_words_once():
     cache.at = Counted(cache.at)
     cache.encode(texts)
     assert Counted.seen == 9  # the empty text is a word
+
+
+def test_repeats_settles_a_text_s_copies_as_one_range(spark):
+    """Stretches that equal earlier ones of their batch and meet travel as one row, not one for each anchor."""
+    rng = np.random.default_rng(5)
+    passage = "".join(chr(97 + c) for c in rng.integers(0, 26, 2000))
+    _, place, _, _ = repeats.anchors(np.frombuffer(passage.encode(), np.uint8), np.zeros(2000, np.int64))
+    spots = [(int(p), 1) for p in place]
+    assert len(spots) > 20
+    rows = spark.createDataFrame([(1, 0, passage, spots), (2, 0, passage, spots)], "k long, dh int, text string, spots array<struct<place:int,salts:long>>")
+    got = repeats.contexts(rows.coalesce(1), 16).filter("ctx is null").collect()
+    assert [(r["k"], r["lo"], r["n"]) for r in got] == [(2, 0, 2000)]
