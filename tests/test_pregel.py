@@ -143,3 +143,33 @@ def test_adjacency_of_many_parallel_edges(spark):
     rows = G.adjacency(e, max_chunk=1 << 12).orderBy("chunk").collect()
     assert max(r.degree for r in rows) <= 1 << 12 and len(rows) == -(-300_000 // (1 << 12))
     assert [d for r in rows for d in r.dsts] == [0] * 100_000 + [1] * 100_000 + [2] * 100_000
+
+
+def test_edges_in_place_are_not_moved_or_sorted_again(spark):
+    """A round's join moves vertices only: nothing between it and the cached edges."""
+    edges = spark.range(3000).select((F.col("id") % 400).alias("src"), (F.col("id") * 7 % 900).alias("dst"))
+    for threshold in (1000, 3):  # nothing hot, hot vertices
+        salted, hot = G.spread(edges, ("src",), threshold)
+        assert (hot["src"] is None) == (threshold == 1000)
+        cached = GP.placed(salted, "src", hot["src"], 3000)
+        joined = G.attach(cached, "src", spark.range(400).withColumn("a", F.lit(1)), hot["src"], hashed=True)
+        assert joined.count() == 3000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("+- == Initial Plan ==")[0].splitlines()
+        join = next(i for i, x in enumerate(lines) if "ShuffledHashJoin" in x)
+        cache = next(i for i, x in enumerate(lines) if "InMemoryTableScan" in x)
+        assert join < cache and not [x for x in lines[join:cache] if "Exchange" in x or "Sort " in x]
+        cached.unpersist()
+
+
+@pytest.mark.parametrize("threshold", [None, 2])
+def test_messages_of_the_sender_alone(spark, threshold):
+    """With ``accept`` the result is that of messages which look at both ends, hot senders or not."""
+    rows = [(i, i + 1) for i in range(0, 20, 2)] + [(0, i) for i in range(30, 36)] + [(i, 40) for i in range(33, 39)] + [(50, 50), (51, 99), (1, 2), (1, 2)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    ids = spark.createDataFrame([(i,) for i in {x for r in rows for x in r} - {99}], "id long").select("id", F.col("id").alias("attr"))
+    both = GP.pregel(edges, ids, 2 ** 63 - 1, F.least, lambda s, d, _e: F.when(s < d, s), send_to_src=lambda s, d, _e: F.when(d < s, d), threshold=threshold)
+    alone = GP.pregel(edges, ids, 2 ** 63 - 1, F.least, lambda s, _d, _e: s, send_to_src=lambda _s, d, _e: d, threshold=threshold, accept=lambda attr, msg: msg < attr)
+    got = {r["id"]: r["attr"] for r in alone.collect()}
+    assert got == {r["id"]: r["attr"] for r in both.collect()}
+    assert got[40] == got[3] == 0 and got[51] == 51
