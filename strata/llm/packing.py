@@ -33,8 +33,8 @@ from strata.llm.common import ranges, slices, small_batches, staged, whole_text
 
 CAPACITY = 2048
 END_ID = 0
-#: Words kept in a worker's cache of token ids (a bound on memory, never on results).
-CACHE_WORDS = 1_000_000
+#: Words kept in a worker's cache of token ids (a bound on memory, never on results), some 200 bytes each.
+CACHE_WORDS = 200_000
 
 
 #: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the
@@ -44,7 +44,8 @@ _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/
 
 class WordCache:
     """Token ids of words.  The vocabulary's pre-tokenizer never joins across blanks, so a text's
-    ids are those of its blank-separated words one after the other."""
+    ids are those of its blank-separated words one after the other.  Beyond ``limit`` words those
+    stay that were met again since the last time, the most frequent half of ``limit`` at most."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,14 +61,28 @@ class WordCache:
         self.at: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)  # slices that a word was met in again
         self.used = 0
 
+    def shrink(self) -> None:
+        """Forgets the words that were met once and those beyond the most frequent."""
+        words, met = list(self.at), self.met[:len(self.at)]
+        keep = np.flatnonzero(met)
+        keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[:self.limit // 2]])
+        (start, size), met = self._rows(keep), met[keep] // 2
+        ids = self.ids[ranges(start, size)]
+        self.clear()
+        self._store([words[i] for i in keep.tolist()], ids, size)
+        self.met[:len(met)] = met
+
     def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         while n + len(words) + 1 > len(self.starts):
             self.starts = np.resize(self.starts, 2 * len(self.starts))
+            self.met = np.resize(self.met, 2 * len(self.met))
+        self.met[n:n + len(words)] = 0
         self.ids[self.used:self.used + len(ids)] = ids
         self.starts[n + 1:n + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
@@ -115,12 +130,13 @@ class WordCache:
         """Ids of all texts (no nulls), each followed by END_ID, and the offset of each text's first id.
         Words are split and told apart in Arrow; only distinct ones are looked up."""
         if len(self.at) > self.limit:
-            self.clear()
+            self.shrink()
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         first = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         distinct, codes = words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
         at = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        self.met[at[at >= 0]] += 1
         if len(new := np.flatnonzero(at < 0)):
             missing = distinct[new].tolist()
             self.add(missing)

@@ -489,3 +489,16 @@ def test_repeats_settles_a_text_s_copies_as_one_range(spark):
     rows = spark.createDataFrame([(1, 0, passage, spots), (2, 0, passage, spots)], "k long, dh int, text string, spots array<struct<place:int,salts:long>>")
     got = repeats.contexts(rows.coalesce(1), 16).filter("ctx is null").collect()
     assert [(r["k"], r["lo"], r["n"]) for r in got] == [(2, 0, 2000)]
+
+
+def test_known_words_are_bounded_and_frequent_ones_stay():
+    cache, plain, added = packing.WordCache(TOKENIZER, 300), packing.WordCache(TOKENIZER), []
+    add = cache.add
+    cache.add = lambda ws: added.extend(ws) or add(ws)
+    often = [f"often{i}" for i in range(50)] + ["Hi!", "\u00e9t\u00e9"]
+    for k in range(30):
+        texts = [" ".join([*often, *(f"rare{k}x{i}" for i in range(100))]), "", words(k, 20)]
+        (a, x), (b, y) = cache.encode(texts), plain.encode(texts)
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+        assert len(cache.at) <= 300 + 400 and len(cache.ids) <= 1 << 16
+    assert all(added.count(w) == 1 for w in often)
