@@ -82,6 +82,19 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_row
     _release()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Joins batches that follow each other up to ``max_bytes``; a larger one stays alone."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _release() -> None:
     """Gives memory that a batch no longer needs back to the system; workers live long."""
     pa.default_memory_pool().release_unused()

@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import mix64, ranges, slices, small_batches, whole_text
+from strata.llm.common import gathered, mix64, ranges, slices, small_batches, whole_text
 
 WINDOW = 24
 #: Windows of a text that start in the same run of this many words teach once, by their best.
@@ -34,6 +35,9 @@ SALTS = 64
 #: Share of words hidden from the network at each training step.
 HIDE = 0.15
 LEAST_TEXTS = 3
+#: Windows that go through the network at once (their arrays fit a core's cache), and bytes of rows that are
+#: scored at once: the more, the fewer times a frequent word is hashed and projected.
+TOGETHER, SCORED_BYTES = 2048, 8 << 20
 _MARKS = re.compile(r"\W+")
 
 
@@ -61,16 +65,25 @@ class Words:
 
     def mean_grams(self, table: np.ndarray) -> np.ndarray:
         n = np.diff(np.r_[self.first, len(self.gram)])
-        return np.add.reduceat(table[self.gram], self.first, axis=0) / n[:, None]
+        return np.add.reduceat(table.take(self.gram, 0), self.first, axis=0) / n[:, None]
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray]:
+def tokens(texts: list[str] | pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
     """Word codes of all texts one after the other, the distinct words, words for each text.  Words
-    stand between white space and lose case and marks."""
-    lists = [t.split() for t in texts]
-    flat = [w for ws in lists for w in ws]
-    codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
-    return codes, Words.of([w.lower() if w.isalnum() else _MARKS.sub("", w.lower()) or w for w in distinct]), np.fromiter(map(len, lists), np.int64, len(lists))
+    stand between white space and lose case and marks; an Arrow array (no nulls) is split in Arrow."""
+    if isinstance(texts, list):
+        lists = [t.split() for t in texts]
+        flat = [w for ws in lists for w in ws]
+        codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        some = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends leaves empty words
+        sizes = np.diff(np.r_[0, np.cumsum(some)][np.r_[0, ends]])
+        words = (flat if some.all() else flat.filter(pa.array(some))).dictionary_encode()
+        codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+    return codes, Words.of([w.lower() if w.isalnum() else _MARKS.sub("", w.lower()) or w for w in distinct]), sizes
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,30 +128,30 @@ class Net:
         windows that start side by side share their rows, and positions between texts are left out."""
         if not len(start):
             return np.zeros(0, np.float32)
-        x = self.inputs(words)
-        proj, mix = {}, {}
-        for d, i in (("f", 0), ("b", HIDDEN)):
-            proj[d] = np.vstack([(x @ self.p[f"w{d}"] + self.p[f"c{d}"]) * _SIGN, np.zeros((1, 3 * HIDDEN), np.float32)])
-            mix[d] = np.vstack([(self.p[f"u{d}"] * _SIGN).T, *(self.p[k][None, i:i + HIDDEN] for k in ("pool", "out"))])
+        s, x = HIDDEN, self.inputs(words).astype(np.float32)
+        proj = {d: np.vstack([(x @ self.p[f"w{d}"] + self.p[f"c{d}"]) * _SCALE, np.zeros((1, 3 * s), np.float32)]) for d in "fb"}
+        mix = np.array([np.vstack([self.p[f"u{d}"].T / 2, *(self.p[k][None, i:i + s] for k in ("pool", "out"))]) for d, i in (("f", 0), ("b", s))], np.float32, order="C")
         out = np.empty(len(start), np.float32)
         whole, short = np.flatnonzero(size == WINDOW), np.flatnonzero(size < WINDOW)
         lo = 0
         while lo < len(whole):
             first = start[whole[lo]]
-            these = whole[lo:lo + int(np.searchsorted(start[whole[lo:lo + 1024]], first + 1024))]
+            these = whole[lo:lo + int(np.searchsorted(start[whole[lo:lo + TOGETHER]], first + TOGETHER))]
             n = int(start[these[-1]] - first) + 1
-            g = {d: np.ascontiguousarray(proj[d][codes[first:first + n + WINDOW - 1]].T) for d in "fb"}
-            steps = [slice(t, t + n) for t in range(WINDOW)]
-            both = _gru_heads([g["f"][:, t] for t in steps], mix["f"]) + _gru_heads([g["b"][:, t] for t in steps[::-1]], mix["b"])[::-1]
-            out[these] = _pooled(both)[start[these] - first]
+            at = codes[first:first + n + WINDOW - 1]
+            g = np.empty((2, 3 * s, len(at)), np.float32)
+            g[0], g[1] = proj["f"].take(at, 0).T, proj["b"].take(at[::-1], 0).T  # backwards, the last window is the first
+            heads = _gru_heads([g[:, :, t:t + n] for t in range(WINDOW)], mix)
+            out[these] = _pooled(heads[:, 0] + heads[::-1, 1, :, ::-1])[start[these] - first]
             lo += len(these)
         for lo in range(0, len(short), 1024):
             these = short[lo:lo + 1024]
             t = np.arange(int(size[these].max()))[:, None]
             on = t < size[these]
             at = np.where(on, codes[np.minimum(start[these] + t, len(codes) - 1)], len(x))
-            g = {d: proj[d][at].transpose(0, 2, 1) for d in "fb"}
-            both = _gru_heads(g["f"], mix["f"], on) + _gru_heads(g["b"][::-1], mix["b"], on[::-1])[::-1]
+            g = np.stack([proj["f"][at], proj["b"][at[::-1]]], axis=1).transpose(0, 1, 3, 2)
+            heads = _gru_heads(g, mix, np.stack([on, on[::-1]], axis=1)[:, :, None])
+            both = heads[:, 0] + heads[::-1, 1]
             both[:, 0] = np.where(on, both[:, 0], -1e9)
             out[these] = _pooled(both)
         return out + self.p["bias"]
@@ -180,8 +193,8 @@ class Net:
         return g
 
 
-#: Signs and scales of the gates' arguments, so that each gate is one exponential.
-_SIGN = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+#: Scales of the gates' arguments: a sigmoid is (1 + tanh(x / 2)) / 2.
+_SCALE = np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN)
 
 
 def _pooled(heads: np.ndarray) -> np.ndarray:
@@ -189,31 +202,27 @@ def _pooled(heads: np.ndarray) -> np.ndarray:
     return (a * heads[:, 1]).sum(0) / a.sum(0)
 
 
-def _gru_heads(g, mix, on=None) -> np.ndarray:
-    """Products (steps x 2 x windows) of the last rows of ``mix`` with the states of the network, whose
-    inputs are ``g`` (by step: gates x windows); a window that isn't ``on`` keeps its state."""
-    s, n = HIDDEN, g[0].shape[1]
-    h, r = np.zeros((s, n), np.float32), np.zeros((len(mix), n), np.float32)
-    zq, out = np.empty((2 * s, n), np.float32), np.empty((len(g), len(mix) - 3 * s, n), np.float32)
-    with np.errstate(over="ignore"):
-        for t, x in enumerate(g):
-            np.add(x[:2 * s], r[:2 * s], out=zq)
-            np.exp(zq, out=zq)
-            zq += 1
-            np.reciprocal(zq, out=zq)
-            new = r[2 * s:3 * s]
-            new *= zq[s:]
-            new += x[2 * s:]
-            np.exp(new, out=new)
-            new += 1
-            np.divide(2, new, out=new)
-            new -= 1  # the hyperbolic tangent
-            nh = h - new
-            nh *= zq[:s]
-            nh += new
-            h = nh if on is None else np.where(on[t], nh, h)
-            np.matmul(mix, h, out=r)
-            out[t] = r[3 * s:]
+def _gru_heads(xs, mix, on=None) -> np.ndarray:
+    """Products (steps x directions x 2 x windows) of the last rows of ``mix`` with the states of the
+    network, both directions at once, whose inputs are ``xs`` (by step: directions x gates x windows, in
+    single precision throughout); a window that isn't ``on`` keeps its state."""
+    s, n = HIDDEN, xs[0].shape[2]
+    h, nh, new, r, zq = (np.zeros((2, k, n), np.float32) for k in (s, s, s, mix.shape[1], 2 * s))
+    out = np.empty((len(xs), 2, mix.shape[1] - 3 * s, n), np.float32)
+    for t, x in enumerate(xs):
+        np.add(x[:, :2 * s], r[:, :2 * s], out=zq)
+        np.tanh(zq, out=zq)
+        zq += 1  # twice the gates
+        np.multiply(r[:, 2 * s:3 * s], zq[:, s:], out=new)
+        new += x[:, 2 * s:]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=nh)
+        nh *= zq[:, :s]
+        nh *= np.float32(0.5)
+        nh += new
+        h, nh = (nh, h) if on is None else (np.where(on[t], nh, h), nh)
+        np.matmul(mix, h, out=r)
+        out[t] = r[:, 3 * s:]
     return out
 
 
@@ -255,13 +264,14 @@ class Model:
     slope: float
     shift: float
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
         """0 to 1 for each text, from its worst window; texts without a word score as low as any."""
         codes, words, sizes = tokens(texts)
         text, start, size = windows(sizes)
         worst = np.full(len(texts), -30.0)
         if len(text):
-            np.maximum.at(worst, text, self.net.logits(words, codes, start, size))
+            first = np.flatnonzero(np.r_[True, np.diff(text) > 0])
+            worst[text[first]] = np.maximum(-30, np.maximum.reduceat(self.net.logits(words, codes, start, size), first))
         return _sigmoid(self.slope * (worst - self.shift))
 
 
@@ -377,9 +387,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "_text", 1 << 20):
-                s = model.score(b.column("_text").to_pylist())
+        for whole in gathered(batches, SCORED_BYTES):
+            for b in slices(whole, "_text", SCORED_BYTES):
+                s = model.score(b.column("_text"))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                                                  names=[*names, "score", "predicted"])
 

@@ -7,11 +7,12 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import ann, chat, decontam, html_crf, jaccard, language, packing, repeats, secrets, toxicity
-from strata.llm.common import id_fold
+from strata.llm.common import gathered, id_fold
 from strata.llm.queries import TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -330,6 +331,28 @@ def test_a_passage_counts_wherever_it_stands():
     assert (model.score(texts) >= least - 1e-6).all()
 
 
+def test_scoring_stays_in_single_precision(monkeypatch):
+    seen, heads = set(), toxicity._gru_heads
+    monkeypatch.setattr(toxicity, "_gru_heads", lambda xs, mix, on=None: seen.update({mix.dtype, *(x.dtype for x in xs)}) or heads(xs, mix, on))
+    model = toxicity.Model(toxicity.Net.fresh(), 1.0, 0.0)
+    texts = [words(60, 300), "a b", "", "  ", f"\u2003{words(61, 30)} \x1c x\u00a0y ", words(60, 300)]
+    got = model.score(pa.array(texts))
+    assert seen == {np.dtype(np.float32)}
+    assert np.allclose(got, model.score(texts), rtol=0, atol=1e-7) and got[2] == got[3] < 1e-9 and got[0] == got[5]
+
+
+def test_words_are_split_alike_in_arrow():
+    texts = ["", " a  B. b!\u2003a\x85", "\x1f", "one " * 30, "c\u00a0d\u3000"]
+    (a, x, m), (b, y, n) = toxicity.tokens(texts), toxicity.tokens(pa.array(["cut", *texts]).slice(1))
+    assert a.tolist() == b.tolist() and m.tolist() == n.tolist() and x.word.tolist() == y.word.tolist() and x.gram.tolist() == y.gram.tolist()
+
+
+def test_gathered_batches_keep_rows_and_bounds():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 100] * n, pa.string())], ["t"]) for n in (1, 2, 50, 3, 0, 4)]
+    got = list(gathered(iter(batches), 1000))
+    assert [b.num_rows for b in got] == [3, 50, 7] and list(gathered(iter([]), 10)) == []
+
+
 @pytest.mark.parametrize("rows", [1, 2, 6, 11, 20])
 def test_few_vectors_are_all_found(spark, rows):
     x = np.random.default_rng(rows).normal(size=(rows, 64))
