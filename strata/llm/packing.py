@@ -19,7 +19,6 @@ import bisect
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,23 +28,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import ranges, slices, small_batches, staged, whole_text
+from strata.llm.common import gathered, ranges, slices, small_batches, staged, whole_text
 
 CAPACITY = 2048
 END_ID = 0
 #: Words kept in a worker's cache of token ids (a bound on memory, never on results), some 200 bytes each.
 CACHE_WORDS = 200_000
+#: Bytes of text that share their look-ups (a longer text stays whole), words that are encoded and ids that
+#: are gathered at once.
+SLICE_BYTES, ENCODED, GATHER_IDS = 8 << 20, 1 << 13, 1 << 18
 
 
 #: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the
 #: letters, in lower case, and the marks as two separate pieces.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-^`{-~]*)")
+_PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-^`{-~]*)$"
+
+
+def _strings(words: pa.StringArray) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordCache:
     """Token ids of words.  The vocabulary's pre-tokenizer never joins across blanks, so a text's
     ids are those of its blank-separated words one after the other.  Beyond ``limit`` words those
-    stay that were met again since the last time, the most frequent half of ``limit`` at most."""
+    stay that were met again since the last time, the most frequent half of ``limit`` at most.  Letters of
+    words, without case and marks, are kept apart and more compactly, and beyond twice ``limit``
+    likewise the most frequent ``limit`` stay."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,6 +64,9 @@ class WordCache:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.clear()
+        #: Words of lower-case letters, without a Python object each, and their ids one after the other.
+        self.letters, self.letters_met = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.letters_ids, self.letters_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
@@ -91,40 +102,59 @@ class WordCache:
     def _rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 
+    def _rows_of_letters(self, words: pa.StringArray) -> np.ndarray:
+        """Rows of distinct words of lower-case letters among ``letters``.  New ones are encoded as
+        texts of many and told apart by their end tokens."""
+        if len(self.letters) > 2 * self.limit:
+            keep = np.flatnonzero(self.letters_met)
+            keep = np.sort(keep[np.argsort(-self.letters_met[keep], kind="stable")[:self.limit]])
+            start, size = self.letters_starts[keep], np.diff(self.letters_starts)[keep]
+            self.letters, self.letters_met = self.letters.take(pa.array(keep)), self.letters_met[keep] // 2
+            self.letters_ids, self.letters_starts = self.letters_ids[ranges(start, size)], np.r_[0, np.cumsum(size)]
+        at = pc.index_in(words, value_set=self.letters)
+        new, rows = words.filter(at.is_null()), at.fill_null(-1).to_numpy().astype(np.int64)
+        self.letters_met[rows[rows >= 0]] += 1
+        if len(new):
+            texts = (" ".join(_strings(new.slice(i, ENCODED))) for i in range(0, len(new), ENCODED))
+            ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts])
+            sizes = np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])])
+            if len(sizes) != len(new):
+                ids, sizes = self._singly(_strings(new))
+            rows[rows < 0] = len(self.letters) + np.arange(len(new))
+            self.letters = pa.concat_arrays([self.letters, new])
+            self.letters_met = np.r_[self.letters_met, np.zeros(len(new), np.int32)]
+            self.letters_ids = np.r_[self.letters_ids, ids]
+            self.letters_starts = np.r_[self.letters_starts, self.letters_starts[-1] + np.cumsum(sizes)]
+        return rows
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
     def add(self, words: list[str]) -> None:
-        """Letters-only words are encoded as one text and told apart by their end tokens; words with
-        marks after them are put together from two known ones; all others are encoded singly."""
-        plain, other, split = [], [], []
-        for w in words:
-            if w.islower() and w.isalpha() and w.isascii():
-                plain.append(w)
-                continue
-            m = _PLAIN.fullmatch(w)
-            if m is None:
-                other.append(w)
-            elif m[2] or not w.islower():
-                split.append((w, m[1].lower(), m[2]))
-            else:
-                plain.append(w)
-        known = self.at
-        parts = dict.fromkeys(p for _, a, b in split for p in (a, b) if p and p not in known)
-        plain = list(dict.fromkeys([*plain, *(p for p in parts if p.isalpha())]))
-        other += [p for p in parts if not p.isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(plain):
-                self._store(plain, ids, np.diff(np.r_[-1, last]))
-            else:
-                other += plain
+        """``words`` are distinct and not known yet.  Plain ones are put together from their letters in
+        lower case and their marks, all others are encoded singly."""
+        found = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        is_plain = found.is_valid()
+        found = found.filter(is_plain)
+        letters, marks = pc.utf8_lower(found.field("letters")).dictionary_encode(), found.field("marks").dictionary_encode()
+        ends = _strings(marks.dictionary)
+        other = [words[i] for i in np.flatnonzero(~np.asarray(is_plain)).tolist()]
+        other = list(dict.fromkeys([*other, *(e for e in ends if e and e not in self.at)]))  # marks may stand alone, too
         if other:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._store(other, np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-        if split := [x for x in split if x[0] not in known]:
-            both = np.array([[known[a], known[b] if b else -1] for _, a, b in split], np.int64).ravel()
-            start, size = self._rows(np.maximum(both, 0))
-            size = np.where(both < 0, 0, size)
-            self._store([w for w, _, _ in split], self.ids[ranges(start, size)], size[::2] + size[1::2])
+            self._store(other, *self._singly(other))
+        if len(found):
+            rows = self._rows_of_letters(letters.dictionary)[letters.indices]
+            start, size = self.letters_starts[rows], self.letters_starts[rows + 1] - self.letters_starts[rows]
+            after = np.array([self.at[e] if e else -1 for e in ends], np.int64)[marks.indices]
+            start_after, size_after = self._rows(np.maximum(after, 0))
+            size_after[after < 0] = 0
+            both = size + size_after
+            begin = np.cumsum(both) - both
+            ids = np.empty(int(both.sum()), np.uint32)
+            ids[ranges(begin, size)] = self.letters_ids[ranges(start, size)]
+            ids[ranges(begin + size, size_after)] = self.ids[ranges(start_after, size_after)]
+            self._store([words[i] for i in np.flatnonzero(is_plain).tolist()], ids, both)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls), each followed by END_ID, and the offset of each text's first id.
@@ -134,19 +164,22 @@ class WordCache:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         first = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
-        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+        distinct, codes = _strings(words.dictionary), words.indices.to_numpy()
         at = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         self.met[at[at >= 0]] += 1
         if len(new := np.flatnonzero(at < 0)):
-            missing = distinct[new].tolist()
+            missing = [distinct[i] for i in new.tolist()]
             self.add(missing)
             at[new] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
         start, size = self._rows(at)
-        size = size[codes]
-        lengths = np.diff(np.r_[0, np.cumsum(size)][first - first[0]])
+        sizes, first = size[codes], first - first[0]
+        lengths = np.diff(np.r_[0, np.cumsum(sizes)][first])
         offsets = np.r_[0, np.cumsum(lengths + 1)]
         out = np.full(int(offsets[-1]), END_ID, np.uint32)
-        out[ranges(offsets[:-1], lengths)] = self.ids[ranges(start[codes], size)]
+        runs = np.flatnonzero(np.diff(offsets[:-1] // GATHER_IDS, prepend=-1)).tolist()
+        for a, b in zip(runs, [*runs[1:], len(lengths)], strict=True):
+            some = slice(int(first[a]), int(first[b]))
+            out[ranges(offsets[a:b], lengths[a:b])] = self.ids[ranges(start[codes[some]], sizes[some])]
         return out, offsets
 
 
@@ -167,8 +200,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(tokenizer)
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+        for whole in gathered(batches, SLICE_BYTES):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 ids, offsets = cache.encode(batch.column("text"))
                 lengths = np.diff(offsets)
                 n_pieces = -(-lengths // capacity)

@@ -525,3 +525,30 @@ def test_known_words_are_bounded_and_frequent_ones_stay():
         assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
         assert len(cache.at) <= 300 + 400 and len(cache.ids) <= 1 << 16
     assert all(added.count(w) == 1 for w in often)
+
+
+def test_marks_stand_alone_and_after_a_word_in_one_slice():
+    cache = packing.WordCache(TOKENIZER)
+    texts = ["!! abc!! def ghi. jkl .", "mno? ? Été... ... ß,", "NEW new. pqr STU!!"]
+    for _ in range(2):
+        ids, offsets = cache.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [cache.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_letters_of_forgotten_words_are_not_encoded_again():
+    """Forms of a word share its letters, and these outlast the words made of them."""
+    cache, seen = packing.WordCache(TOKENIZER, 60), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(w for t in texts for w in t.split())
+            return real.encode_batch_fast(texts, **how)
+
+    real, cache.tokenizer = cache.tokenizer, Counted()
+    letters = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(3)) + "x" for i in range(100)]
+    for form in ("{}", "{}.", "{}!", "({}"):
+        texts = [" ".join(form.format(w.upper() if i % 2 else w) for i, w in enumerate(letters)), ""]
+        ids, offsets = cache.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [real.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert all(seen.count(w) == 1 for w in letters)
+    assert len(cache.at) <= 60 + 202 and len(cache.letters) == 100
