@@ -36,7 +36,7 @@ END_ID = 0
 CACHE_WORDS = 200_000
 #: Bytes of text that share their look-ups (a longer text stays whole), words that are encoded and ids that
 #: are gathered at once.
-SLICE_BYTES, ENCODED, GATHER_IDS = 8 << 20, 1 << 13, 1 << 18
+SLICE_BYTES, ENCODED, GATHER_IDS = 4 << 20, 1 << 13, 1 << 18
 
 
 #: A word of plain Latin letters and marks after it: the vocabulary's pre-tokenizer reads the

@@ -37,7 +37,7 @@ HIDE = 0.15
 LEAST_TEXTS = 3
 #: Windows that go through the network at once (their arrays fit a core's cache), and bytes of rows that are
 #: scored at once: the more, the fewer times a frequent word is hashed and projected.
-TOGETHER, SCORED_BYTES = 2048, 8 << 20
+TOGETHER, SCORED_BYTES = 1024, 8 << 20
 _MARKS = re.compile(r"\W+")
 
 
@@ -71,19 +71,42 @@ class Words:
 def tokens(texts: list[str] | pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
     """Word codes of all texts one after the other, the distinct words, words for each text.  Words
     stand between white space and lose case and marks; an Arrow array (no nulls) is split in Arrow."""
+    codes, words, sizes = _split(texts)
+    return codes, Words.of(words), sizes
+
+
+def _split(texts: list[str] | pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Like ``tokens``, the words as text: equal ones if they differ in case and marks alone."""
     if isinstance(texts, list):
         lists = [t.split() for t in texts]
         flat = [w for ws in lists for w in ws]
         codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    else:
-        lists = pc.utf8_split_whitespace(texts)
-        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
-        some = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends leaves empty words
-        sizes = np.diff(np.r_[0, np.cumsum(some)][np.r_[0, ends]])
-        words = (flat if some.all() else flat.filter(pa.array(some))).dictionary_encode()
-        codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-    return codes, Words.of([w.lower() if w.isalnum() else _MARKS.sub("", w.lower()) or w for w in distinct]), sizes
+        return codes, [_clean(w) for w in distinct], np.fromiter(map(len, lists), np.int64, len(lists))
+    lists = pc.utf8_split_whitespace(texts)
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    some = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends leaves empty words
+    sizes = np.diff(np.r_[0, np.cumsum(some)][np.r_[0, ends]])
+    words = (flat if some.all() else flat.filter(pa.array(some))).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), _strings(_cleaned(words.dictionary)), sizes
+
+
+def _strings(words: pa.StringArray) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _clean(word: str) -> str:
+    return word.lower() if word.isalnum() else _MARKS.sub("", word.lower()) or word
+
+
+def _cleaned(words: pa.StringArray) -> pa.StringArray:
+    """``_clean`` of all words; those in ASCII stay in Arrow, whose marks and cases are Python's there."""
+    clean, is_ascii = pc.ascii_lower(words), pc.string_is_ascii(words)
+    marked = pc.and_(is_ascii, pc.invert(pc.ascii_is_alnum(clean)))
+    was = clean.filter(marked)
+    bare = pc.replace_substring_regex(was, r"\W+", "")
+    clean = pc.replace_with_mask(clean, marked, pc.if_else(pc.equal(bare, ""), was, bare))
+    other = pc.invert(is_ascii)
+    return pc.replace_with_mask(clean, other, pa.array([_clean(w) for w in _strings(words.filter(other))], pa.string()))
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,19 +162,19 @@ class Net:
             these = whole[lo:lo + int(np.searchsorted(start[whole[lo:lo + TOGETHER]], first + TOGETHER))]
             n = int(start[these[-1]] - first) + 1
             at = codes[first:first + n + WINDOW - 1]
-            g = np.empty((2, 3 * s, len(at)), np.float32)
-            g[0], g[1] = proj["f"].take(at, 0).T, proj["b"].take(at[::-1], 0).T  # backwards, the last window is the first
+            g = np.empty((3 * s, 2, len(at)), np.float32)
+            g[:, 0], g[:, 1] = proj["f"].take(at, 0).T, proj["b"].take(at[::-1], 0).T  # backwards, the last window is the first
             heads = _gru_heads([g[:, :, t:t + n] for t in range(WINDOW)], mix)
-            out[these] = _pooled(heads[:, 0] + heads[::-1, 1, :, ::-1])[start[these] - first]
+            out[these] = _pooled(heads[:, :, 0] + heads[::-1, :, 1, ::-1])[start[these] - first]
             lo += len(these)
         for lo in range(0, len(short), 1024):
             these = short[lo:lo + 1024]
             t = np.arange(int(size[these].max()))[:, None]
             on = t < size[these]
             at = np.where(on, codes[np.minimum(start[these] + t, len(codes) - 1)], len(x))
-            g = np.stack([proj["f"][at], proj["b"][at[::-1]]], axis=1).transpose(0, 1, 3, 2)
-            heads = _gru_heads(g, mix, np.stack([on, on[::-1]], axis=1)[:, :, None])
-            both = heads[:, 0] + heads[::-1, 1]
+            g = np.stack([proj["f"][at], proj["b"][at[::-1]]], axis=1).transpose(0, 3, 1, 2)
+            heads = _gru_heads(g, mix, np.stack([on, on[::-1]], axis=1)[:, None])
+            both = heads[:, :, 0] + heads[::-1, :, 1]
             both[:, 0] = np.where(on, both[:, 0], -1e9)
             out[these] = _pooled(both)
         return out + self.p["bias"]
@@ -202,27 +225,40 @@ def _pooled(heads: np.ndarray) -> np.ndarray:
     return (a * heads[:, 1]).sum(0) / a.sum(0)
 
 
+def _on_lines(n: int, *rows: int) -> list[np.ndarray]:
+    """Arrays of rows x 2 x n, each of which begins a cache line (NumPy's own lie across them, which splits
+    wide loads) and not at the same place of a page as the one before."""
+    sizes = [-(-2 * k * n // 16) * 16 + 64 for k in rows]
+    room = np.empty(sum(sizes) + 16, np.float32)
+    ends = np.cumsum(sizes) + -room.ctypes.data % 64 // 4
+    return [room[e - size:e - size + 2 * k * n].reshape(k, 2, n) for e, size, k in zip(ends.tolist(), sizes, rows, strict=True)]
+
+
 def _gru_heads(xs, mix, on=None) -> np.ndarray:
-    """Products (steps x directions x 2 x windows) of the last rows of ``mix`` with the states of the
-    network, both directions at once, whose inputs are ``xs`` (by step: directions x gates x windows, in
-    single precision throughout); a window that isn't ``on`` keeps its state."""
+    """Products (steps x 2 x directions x windows) of the last rows of ``mix`` with the states of the
+    network, both directions at once, whose inputs are ``xs`` (by step: gates x directions x windows, in
+    single precision throughout); a window that isn't ``on`` keeps its state.  Directions lie inside
+    the gates, so that all but the inputs are whole runs of memory."""
     s, n = HIDDEN, xs[0].shape[2]
-    h, nh, new, r, zq = (np.zeros((2, k, n), np.float32) for k in (s, s, s, mix.shape[1], 2 * s))
-    out = np.empty((len(xs), 2, mix.shape[1] - 3 * s, n), np.float32)
+    h, nh, new, zq, r = _on_lines(n, s, s, s, 2 * s, mix.shape[1])
+    h[:] = r[:] = 0
+    z, q, gates, last, heads = zq[:s], zq[s:], r[:2 * s], r[2 * s:3 * s], r[3 * s:]
+    products = r.transpose(1, 0, 2)
+    out = np.empty((len(xs), mix.shape[1] - 3 * s, 2, n), np.float32)
     for t, x in enumerate(xs):
-        np.add(x[:, :2 * s], r[:, :2 * s], out=zq)
+        np.add(x[:2 * s], gates, out=zq)
         np.tanh(zq, out=zq)
         zq += 1  # twice the gates
-        np.multiply(r[:, 2 * s:3 * s], zq[:, s:], out=new)
-        new += x[:, 2 * s:]
+        np.multiply(last, q, out=new)
+        new += x[2 * s:]
         np.tanh(new, out=new)
         np.subtract(h, new, out=nh)
-        nh *= zq[:, :s]
+        nh *= z
         nh *= np.float32(0.5)
         nh += new
         h, nh = (nh, h) if on is None else (np.where(on[t], nh, h), nh)
-        np.matmul(mix, h, out=r)
-        out[t] = r[:, 3 * s:]
+        np.matmul(mix, h.transpose(1, 0, 2), out=products)
+        out[t] = heads
     return out
 
 
@@ -266,10 +302,12 @@ class Model:
 
     def score(self, texts: list[str] | pa.Array) -> np.ndarray:
         """0 to 1 for each text, from its worst window; texts without a word score as low as any."""
-        codes, words, sizes = tokens(texts)
+        codes, words, sizes = _split(texts)
         text, start, size = windows(sizes)
         worst = np.full(len(texts), -30.0)
         if len(text):
+            same, words = pd.factorize(np.array(words, dtype=object))  # without case and marks many are equal
+            codes, words = same[codes], Words.of(words)
             first = np.flatnonzero(np.r_[True, np.diff(text) > 0])
             worst[text[first]] = np.maximum(-30, np.maximum.reduceat(self.net.logits(words, codes, start, size), first))
         return _sigmoid(self.slope * (worst - self.shift))

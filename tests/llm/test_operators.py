@@ -552,3 +552,30 @@ def test_letters_of_forgotten_words_are_not_encoded_again():
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [real.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     assert all(seen.count(w) == 1 for w in letters)
     assert len(cache.at) <= 60 + 202 and len(cache.letters) == 100
+
+
+def test_words_that_differ_in_case_and_marks_are_projected_once(monkeypatch):
+    rows, inputs = [], toxicity.Net.inputs
+    monkeypatch.setattr(toxicity.Net, "inputs", lambda net, some: rows.append(len(some.word)) or inputs(net, some))
+    model = toxicity.Model(toxicity.Net.fresh(), 1.0, 0.0)
+    got = model.score(pa.array(["Aa b AA, b! aa" * 9, "aA! B. !? ?", "", "!?"]))
+    assert rows == [5]  # a word of marks alone stays as it is
+    assert np.allclose(got, model.score(["aa b aa b aa" * 9, "aa b !? ?", "", "!?"]), rtol=0, atol=1e-7)
+
+
+def test_words_are_cleaned_alike_in_arrow():
+    rng = np.random.default_rng(6)
+    letters = list("abXYZ_01!?.,-'\"éÉßİı中٣²ª·\x00\x7f́\U0001f642")
+    some = sorted({"".join(rng.choice(letters[:15] if k % 2 else letters, 1 + k % 6)) for k in range(3000)})
+    assert toxicity._cleaned(pa.array(some)).to_pylist() == [toxicity._clean(w) for w in some]
+    assert len(toxicity._cleaned(pa.array([], pa.string()))) == 0
+
+
+def test_states_begin_cache_lines():
+    for n in (1, 7, 1024):
+        rooms = toxicity._on_lines(n, 8, 24, 26)
+        assert all(r.ctypes.data % 64 == 0 and r.flags.c_contiguous for r in rooms)
+        assert [r.shape for r in rooms] == [(8, 2, n), (24, 2, n), (26, 2, n)]
+        for i, r in enumerate(rooms):
+            r[:] = i
+        assert all((r == i).all() for i, r in enumerate(rooms))
