@@ -159,3 +159,77 @@ def test_write_documents_names(spark, tmp_path):
     assert FI.read_documents(spark, path, nested=True).count() == 2
     FI.write_documents(spark.createDataFrame([], "name string, body string"), f"{tmp_path}/none", "name", "body")
     assert FI.read_documents(spark, f"{tmp_path}/none", nested=True).count() == 0
+
+
+def test_nested_documents_are_not_listed_by_the_driver(spark, tmp_path):
+    """The plan holds no status of a document: at 3,000,000 files they exceed the driver's memory."""
+    path = f"{tmp_path}/many"
+    FI.write_documents(spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id bigint, text string"), path)
+    got = FI.read_documents(spark, f"file:{path}", nested=True)
+    assert not [f for f in got.inputFiles() if f.endswith(".txt")] and len(got.inputFiles()) < 50
+    assert {(r.path, r.text) for r in got.collect()} == {(f"file://{path}/doc_id={i}/part-0.txt", f"text {i}\n") for i in range(400)}
+    names = spark.createDataFrame([("a",)], "path string")
+    for number, size, tasks in ((0, 0, 1), (3, 9, 3), (400, 9, 8), (3_000_000, 9, 60), (400, 6 << 30, 48)):
+        assert FI._dealt(names, number, size).rdd.getNumPartitions() == tasks
+
+
+def _put(top, name, data=b"x"):
+    at = os.path.join(os.fsencode(top), name if isinstance(name, bytes) else name.encode())
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    with open(at, "wb") as f:
+        f.write(data)
+
+
+def test_nested_documents_as_spark_reads_them(spark, tmp_path):
+    """Same files, paths and bytes as Spark's own reader: names left out, empty files, links, odd characters."""
+    top = f"{tmp_path}/a b%20#"
+    _put(top, "a.txt", b"top\n")
+    _put(top, "d/bad.txt", b"ok \xff\xfe \xed\xa0\x80 bytes")
+    _put(top, "d/bom.txt", "\ufeffx\r\n".encode())
+    _put(top, "d/nul.txt", b"a\0b")
+    _put(top, "d/long.txt", b"0123456789" * 1_000_000)
+    for name in ("d 1/x.txt", "p%25/q%.txt", "h#/i?.txt", "d/[b]{c}^`|~'\"<>\\;,@&=+$!*().txt", "d/\x01\n.txt", "deep/1/2/3/4/5.txt",
+                 "_k=1/x.txt", "d/_y=1.txt", "d/_metadata/x.txt", "d/x..txt"):
+        _put(top, name)
+    for name in ("_hid/x.txt", ".dot/x.txt", "_temporary/x.txt", "d/.x.txt", "d/.txt", "d/_x.txt", "d/_metadata.txt", "d/a.TXT", "d/a.txt.gz",
+                 "d/a.txt._COPYING_", b"d/bad\xff.txt"):
+        _put(top, name)
+    _put(top, "empty/e.txt", b"")
+    os.symlink(f"{top}/deep", f"{top}/link")
+    os.symlink(f"{top}/a.txt", f"{top}/linked.txt")
+    os.symlink(f"{top}/none", f"{top}/dangling.txt")
+
+    def rows(df):
+        return sorted((r.path, bytes(r.b)) for r in df.select("path", F.col("text").cast("binary").alias("b")).collect())
+
+    by_spark = spark.read.text(top, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    want = rows(by_spark.select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+    for path in (top, f"file:{top}", f"file://{top}//"):
+        got = FI.read_documents(spark, path, nested=True)
+        assert rows(got) == want and len(want) == 17
+        assert [(f.name, f.dataType.simpleString(), f.nullable) for f in got.schema] == [("path", "string", False), ("text", "string", True)]
+    assert FI.read_documents(spark, f"{top}/dee*", nested=True).count() == FI.read_documents(spark, f"{top}/a.txt", nested=True).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        FI.read_documents(spark, f"{top}/none", nested=True)
+
+
+def test_nested_documents_of_other_alphabets(spark, tmp_path):
+    """Names as Spark gives them where the JVM's locale can read them."""
+    names = ["\xe9/\xfc.txt", "\U0001f600.txt", "comb\u0301.txt", "\xa0\u2028\x85.txt"]
+    for name in names:
+        _put(tmp_path, name)
+    got = {r.path for r in FI.read_documents(spark, str(tmp_path), nested=True).collect()}
+    assert got == {f"file://{tmp_path}/{x}" for x in (*names[:3], "%C2%A0%E2%80%A8%C2%85.txt")}
+
+
+def test_nested_documents_check_sums(spark, tmp_path):
+    path = f"{tmp_path}/sums"
+    spark.createDataFrame([("x" * 2000,)], "value string").coalesce(1).write.text(path)
+    (name,) = (f for f in os.listdir(path) if f.endswith(".txt"))
+    assert os.path.exists(f"{path}/.{name}.crc")
+    assert FI.read_documents(spark, path, nested=True).first().text == "x" * 2000 + "\n"
+    with open(f"{path}/{name}", "r+b") as f:
+        f.seek(1500)
+        f.write(b"y")
+    with pytest.raises(Exception, match="(?i)checksum"):
+        FI.read_documents(spark, path, nested=True).collect()
